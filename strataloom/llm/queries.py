@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, quality_rules, sentence_pieces, sharding, substring_dedup, url_filter, warc
+from . import decontaminate, language_id, ngram_join, quality_rules, sentence_pieces, sharding, substring_dedup, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_language_id": language_id.op2_language_id,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_decontamination": decontaminate.op4_decontamination,
