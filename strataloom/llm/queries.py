@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, ngram_join, quality_rules, sentence_pieces, sharding, substring_dedup, url_filter, warc
+from . import decontaminate, language_id, lm_score, ngram_join, quality_rules, sentence_pieces, sharding, substring_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_sharding": sharding.op6_sharding,
         "op7_sentencepiece": sentence_pieces.op7_sentencepiece,
         "op8_warc": warc.op8_warc,
+        "op9_lm_score": lm_score.op9_lm_score,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
