@@ -85,3 +85,11 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(top.parent))
     sc.addPyFile(str(folder / "strataloom_code.zip"))
     sc._strataloom_shipped = True
+
+
+def free(name: str, df: DataFrame) -> str:
+    """The name, or a longer one that df doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

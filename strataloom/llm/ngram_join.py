@@ -361,10 +361,11 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The row of docs with the smallest id of each class, all columns; rows without a word stay, repeated rows once."""
     texts, rows = classes(docs, threshold)
     got = rows.join(texts.withColumn("worded", F.lit(True)), ["node", "worded"], "left")
-    keep = got.where(F.col("id") == F.coalesce("class_id", "id")).select(F.col("id").alias("_id"), F.col("node").alias("_node")).distinct()
-    keyed = docs.withColumns({"_id": _id(docs), "_node": _node()})
-    kept = keyed.join(keep.hint("shuffle_hash"), ["_id", "_node"])
-    return kept.dropDuplicates(["_id", "_node"]).select(*docs.columns)
+    id_, node = _spark.free("_id", docs), _spark.free("_node", docs)
+    keep = got.where(F.col("id") == F.coalesce("class_id", "id")).select(F.col("id").alias(id_), F.col("node").alias(node)).distinct()
+    keyed = docs.withColumns({id_: _id(docs), node: _node()})
+    kept = keyed.join(keep.hint("shuffle_hash"), [id_, node])
+    return kept.dropDuplicates([id_, node]).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

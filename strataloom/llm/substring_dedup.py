@@ -275,11 +275,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     removed = covered(runs, len(text.encode().split()), window)
                     text = without(text, removed)
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f"c_{c}") for c in others), pa.array(texts, pa.string())], [*others, "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"c{k}") for k in range(len(others))), pa.array(texts, pa.string())], [*others, "text"])
 
-    rows = _joined(docs, window, *(F.col(c).alias(f"c_{c}") for c in others))
-    schema = docs.select(*others, F.col("text").cast("string").alias("text")).schema
-    out = _spark.arrow_map(rows, run, schema).select(*columns)
+    rows = _joined(docs, window, *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)))
+    schema = docs.select(*(f"`{c}`" for c in others), F.col("text").cast("string").alias("text")).schema
+    out = _spark.arrow_map(rows, run, schema).select(*(f"`{c}`" for c in columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
