@@ -3,7 +3,8 @@
 Rules on host and path decide first.  What no rule fits is judged by its host:
 personalised PageRank carries trust from hosts whose pages the rules allow along
 the links, and distrust from hosts whose pages they block against them; a host
-with more distrust than trust, and at least THRESHOLD of an even share, is blocked.
+with more distrust than trust, and at least THRESHOLD, is blocked.  Scores are in units
+of what a seed without links has.
 
 Links are reduced to distinct host pairs before they travel.  The two scores are
 rows of one table, so an iteration is one join and one partial-aggregated sum;
@@ -27,7 +28,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 DAMPING = 0.85
 ITERATIONS = 12
 CUT = 4
-THRESHOLD = 0.5
+THRESHOLD = 0.25
 _LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -80,16 +81,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
 
 
 def blocked_hosts(judged: DataFrame, edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Hosts that the method blocks; judged: (host, verdict), null where no rule fits."""
+    """(host, trust, distrust) of hosts that the method blocks; judged: (host, verdict), null where no rule fits."""
     votes = judged.where("host <> ''").groupBy("host").agg(F.count(F.when(F.col("verdict") == "allow", 1)).alias("a"), F.count(F.when(F.col("verdict") == "block", 1)).alias("b"))
     votes = _spark.written(votes, "votes")
     sides = votes.select("host", F.when(F.col("a") > F.col("b"), "trust").when(F.col("b") > F.col("a"), "distrust").alias("kind")).where("kind is not null")
     sizes = sides.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))  # two rows
     seeds = sides.join(F.broadcast(sizes), "kind").select("host", "kind", (F.lit(1.0) / F.col("n")).alias("seed"))
-    scores = propagate(edges, seeds)
-    hosts = votes.agg(F.count(F.lit(1)).alias("hosts"))  # one row
-    wide = scores.groupBy("host").agg(*(F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)), 12).alias(k) for k in ("trust", "distrust")))
-    return wide.join(F.broadcast(hosts)).where((F.col("distrust") > F.col("trust")) & (F.col("distrust") * F.col("hosts") >= threshold)).select("host", "trust", "distrust")
+    scores = propagate(edges, seeds).join(F.broadcast(sizes), "kind").withColumn("score", F.col("score") * F.col("n") / (1 - DAMPING))
+    wide = scores.groupBy("host").agg(*(F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)), 9).alias(k) for k in ("trust", "distrust")))
+    return wide.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
