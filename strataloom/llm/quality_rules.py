@@ -26,7 +26,7 @@ RULES = (
     (0, "few_words", "n_words < 50"),
     (1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     (2, "symbols", "10 * n_symbols > 3 * n_words"),
-    (3, "duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    (3, "duplicate_lines", "n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines"),
     (4, "shouting", "100 * n_upper_words > 30 * n_words"),
     (5, "word_length", "word_chars > 20 * n_words OR word_chars < 2 * n_words"),
     (6, "many_words", "n_words > 1000000"),
