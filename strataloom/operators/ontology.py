@@ -68,7 +68,7 @@ def best_match(pairs: DataFrame, targets: DataFrame, refs: DataFrame, closure: D
     t = targets.join(known, "concept", "left_semi").withColumnRenamed("concept", "a")
     r = refs.join(known, "concept", "left_semi").withColumnRenamed("concept", "b")
     cells = pairs.join(t, "target_id").join(r, "ref_id")
-    cells = cells.join(mica(cells.select("a", "b"), closure, ic), ["a", "b"])
+    cells = cut(cells.join(mica(cells.select("a", "b"), closure, ic), ["a", "b"]))
     side = lambda c: cells.groupBy("target_id", "ref_id", c).agg(F.max("ic").alias("m")).groupBy("target_id", "ref_id").agg(F.avg("m").alias(f"m_{c}"))
     return side("a").join(side("b"), ["target_id", "ref_id"]).select("target_id", "ref_id", ((F.col("m_a") + F.col("m_b")) / 2).alias("bma"))
 
