@@ -29,6 +29,8 @@ DAMPING = 0.85
 ITERATIONS = 12
 CUT = 4
 THRESHOLD = 0.25
+#: A host's pages are dealt to this many tasks when its verdict is joined to them.
+SALTS = 16
 _LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -98,8 +100,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     parsed = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), "html").withColumn("m", matched(F.col("host"), F.col("path"), rules))
     narrow = parsed.select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("by_rule"))
     edges = host_edges(parsed.select("host", F.col("html").cast("string").alias("html")))
-    bad = blocked_hosts(narrow.select("host", F.col("by_rule").alias("verdict")), edges).select("host", F.lit(True).alias("bad"))
-    return narrow.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
+    bad = blocked_hosts(narrow.select("host", F.col("by_rule").alias("verdict")), edges).select("host", F.lit(True).alias("bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(bad, ["host", "salt"], "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
