@@ -328,7 +328,7 @@ def verified(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """By text: (node, copy_of, class_id, n_copies, n_links, worded), where the ids are the smallest ones; and by row: (id, node)."""
+    """By text: (node, copy_of, class_id, class_node, copies, n_links), where the ids are the smallest ones; and by row: (id, node, worded)."""
     sigs = _spark.written(signatures(docs), "signatures")
     worded = sigs.where("sig is not null")
     reps = _spark.written(worded.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
@@ -339,8 +339,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     labels = components(links.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     texts = reps.select("node", "rep", "copies").join(labels, "node", "left").join(counts, "node", "left")
-    first = texts.where("label is not null").groupBy("label").agg(F.min("rep").alias("class_id"))
-    texts = texts.join(first, "label", "left").select("node", F.col("rep").alias("copy_of"), F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    first = texts.where("label is not null").groupBy("label").agg(F.min(F.struct("rep", "node")).alias("first"))
+    texts = texts.join(first, "label", "left").select("node", F.col("rep").alias("copy_of"), F.coalesce("first.rep", "rep").alias("class_id"), F.coalesce("first.node", "node").alias("class_node"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return texts, sigs.select("id", "node", F.col("sig").isNotNull().alias("worded"))
 
 
@@ -360,9 +360,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The row of docs with the smallest id of each class, all columns; rows without a word stay, repeated rows once."""
     texts, rows = classes(docs, threshold)
-    got = rows.join(texts.withColumn("worded", F.lit(True)), ["node", "worded"], "left")
     id_, node = _spark.free("_id", docs), _spark.free("_node", docs)
-    keep = got.where(F.col("id") == F.coalesce("class_id", "id")).select(F.col("id").alias(id_), F.col("node").alias(node)).distinct()
+    first = texts.where("node = class_node").select(F.col("class_id").alias(id_), F.col("node").alias(node))
+    keep = first.unionByName(rows.where("not worded").select(F.col("id").alias(id_), F.col("node").alias(node)).distinct())
     keyed = docs.withColumns({id_: _id(docs), node: _node()})
     kept = keyed.join(keep.hint("shuffle_hash"), [id_, node])
     return kept.dropDuplicates([id_, node]).select(*(f"`{c}`" for c in docs.columns))
