@@ -10,7 +10,7 @@ verified exactly on the shingle sets, and counted, without becoming rows.
 
 A pair at the threshold shares no band with probability (1 - t**ROWS)**BANDS,
 3e-6 at 0.8 and less above.  Large buckets and clusters are cut into blocks of
-BLOCK members; one task compares two blocks.  What a task emits is linear in its
+at most BLOCK members; one task compares two blocks.  What a task emits is linear in its
 members: link counts and a spanning forest.
 
 Defined results: null texts and texts without a word link to nothing and are
@@ -36,6 +36,8 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 512
+#: Clusters of full texts take smaller blocks, as long as these make no more than SPREAD of them.
+SMALL_BLOCK, SPREAD = 128, 16
 _NO_ID = -(1 << 63) + 1
 
 _RNG = np.random.default_rng(7)
@@ -118,9 +120,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return _spark.arrow_map(rows, run, "id long, node long, bands array<long>, sig binary")
 
 
-def _blocks(rows: DataFrame, n: str, by: str) -> DataFrame:
+def _blocks(rows: DataFrame, n: str, by: str, small: bool = False) -> DataFrame:
     """Each row once for every pair of blocks (i, j) that its block, own, belongs to; n: rows with the same key `by`."""
     many = F.ceil(F.col(n) / BLOCK).cast("int")
+    if small:
+        many = F.least(F.ceil(F.col(n) / min(SMALL_BLOCK, BLOCK)).cast("int"), F.greatest(many, F.lit(SPREAD)))
     own = F.pmod(F.xxhash64("node", by), many).cast("int")
     split = rows.withColumn("many", many).withColumn("own", own)
     return split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("many", "other")
@@ -296,7 +300,7 @@ def _exact(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 def verified(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, leader, links): exact links of each member within a pair of blocks, and its leader there (itself, if it has none)."""
     spark = sets.sparkSession
-    dealt = _blocks(sets, "n", "cluster").select("cluster", "i", "j", "own", "node", "shingles").repartition(_spark.parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    dealt = _blocks(sets, "n", "cluster", small=True).select("cluster", "i", "j", "own", "node", "shingles").repartition(_spark.parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
     def run(batches):
         for got in _grouped(batches, ("cluster", "i", "j")):
