@@ -410,6 +410,14 @@ def test_lm_without_training(spark, docs):
     assert len(rows) == len(ROWS) and all(r.n_known == 0 and r.train_tokens == 0 for r in rows)
 
 
+def test_lm_words_beyond_the_most_frequent_have_context(spark):
+    words = [f"w{k}" for k in range(6000)]
+    model, counts = lm_score.train(spark.createDataFrame([(k, " ".join(words)) for k in range(8)], "doc_id long, text string"))
+    mixed = random.Random(1).sample(words, len(words))
+    by = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(mixed))], "doc_id long, text string"), model, counts).collect()}
+    assert by[1] > 0.8 * by[2]
+
+
 # ------------------------------------------------------------- 10
 
 
