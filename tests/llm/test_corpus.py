@@ -410,6 +410,18 @@ def test_lm_without_training(spark, docs):
     assert len(rows) == len(ROWS) and all(r.n_known == 0 and r.train_tokens == 0 for r in rows)
 
 
+def test_lm_score_uses_every_trained_count(spark, docs, monkeypatch):
+    scores = []
+    for head in (1 << 20, 40):
+        monkeypatch.setattr(lm_score.base_model, "__defaults__", (head, 5))
+        model, counts = lm_score.train(docs.where("doc_id < 80"))
+        assert len(model.path_at) == 7
+        scores.append(sorted((r.doc_id is None, r.doc_id, r.n_tokens, r.score) for r in lm_score.score(docs.where("doc_id is not null"), model, counts).collect()))
+    assert len(model.head) <= 40
+    for a, b in zip(*scores):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9, abs=1e-9)
+
+
 def test_lm_words_beyond_the_most_frequent_have_context(spark):
     words = [f"w{k}" for k in range(6000)]
     model, counts = lm_score.train(spark.createDataFrame([(k, " ".join(words)) for k in range(8)], "doc_id long, text string"))
