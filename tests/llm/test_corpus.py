@@ -422,6 +422,23 @@ def test_lm_score_uses_every_trained_count(spark, docs, monkeypatch):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9, abs=1e-9)
 
 
+def test_lm_texts_are_coded_whole(spark, docs, monkeypatch):
+    words = [f"w{k}" for k in range(300)]
+    rng = random.Random(5)
+    model, counts = lm_score.train(spark.createDataFrame([(k, " ".join(rng.choices(words, k=200))) for k in range(200)], "doc_id long, text string"))
+    assert not np.allclose(model.weights, np.array(lm_score.START)[:, None])
+    once = " ".join(rng.choices(words, k=1024))
+    texts = spark.createDataFrame([(1, once), (2, once + " " + once)] + [(k, " ".join(rng.choices(words, k=k))) for k in range(3, 60)], "doc_id long, text string")
+    scores = []
+    for few in (1, 10, 1000):  # in step, and by themselves
+        monkeypatch.setattr(lm_score, "FEW", few)
+        _, h, offs = lm_score.tokens(pa.array([r.text for r in texts.collect()]))
+        scores.append(lm_score._mixed(model, model.symbol[lm_score._find(model, h)], offs))
+    assert np.allclose(scores[0], scores[1], rtol=1e-9) and np.allclose(scores[0], scores[2], rtol=1e-9)
+    by = {r.doc_id: r.score for r in lm_score.score(texts, model, counts).collect()}
+    assert by[2] > 1.9 * by[1]  # the second time is learned from the first
+
+
 def test_lm_words_beyond_the_most_frequent_have_context(spark):
     words = [f"w{k}" for k in range(6000)]
     model, counts = lm_score.train(spark.createDataFrame([(k, " ".join(words)) for k in range(8)], "doc_id long, text string"))
