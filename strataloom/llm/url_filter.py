@@ -8,7 +8,8 @@ of what a seed without links has.
 
 Links are reduced to distinct host pairs before they travel.  The two scores are
 rows of one table, so an iteration is one join and one partial-aggregated sum;
-every CUT iterations the scores are written to the shared folder.
+every CUT iterations the scores are written to the shared folder.  The iteration
+ends when what is still to come is at most TOLERANCE of what a seed without links has.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits
 no rule and is allowed; hosts without links keep their seed; ties are allowed.
@@ -16,6 +17,7 @@ no rule and is allowed; hosts without links keep their seed; ties are allowed.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +28,9 @@ from . import _spark
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 DAMPING = 0.85
-ITERATIONS = 12
+TOLERANCE = 1e-13
+#: As many suffice for a single seed; the mass to come falls by DAMPING at least.
+ITERATIONS = math.ceil(math.log(TOLERANCE * (1 - DAMPING)) / math.log(DAMPING))
 CUT = 4
 THRESHOLD = 0.25
 #: A host's pages are dealt to this many tasks when its verdict is joined to them.
@@ -61,10 +65,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.select(F.col("host").alias("src"), _lower(F.col("dst")).alias("dst")).where("src <> '' AND src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, kind, score): kind 'trust' flows along the edges (src, dst), 'distrust' against them.
 
-    seeds: (host, kind, seed), where the seeds of a kind sum to 1.
+    seeds: (host, kind, seed), where the seeds of a kind sum to 1.  No score is short by
+    more than the tolerance times what the least seed of its kind has without links.
     """
     ways = []
     for kind, a, b in (("trust", "src", "dst"), ("distrust", "dst", "src")):
@@ -73,13 +78,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     flows = _spark.written(reduce(DataFrame.unionByName, ways), "flows")
     seeds = _spark.written(seeds, "seeds")
     base = seeds.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))
-    scores = seeds.select("host", "kind", F.col("seed").alias("score"))
-    for k in range(iterations):
-        moved = scores.join(flows, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("part")).alias("score"))
-        scores = moved.unionByName(base).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if (k + 1) % CUT == 0:
-            scores = _spark.written(scores, "scores")
-    return scores
+    enough = {r["kind"]: tolerance * (1 - damping) * r["least"] for r in seeds.groupBy("kind").agg(F.min("seed").alias("least")).collect()}  # two rows
+    # last: what the last iteration added; the iterations after it add damping / (1 - damping) times its sum at most
+    scores = base.withColumn("last", F.col("score"))
+    base = base.withColumn("last", F.lit(0.0))
+    old = None
+    while enough:
+        for _ in range(CUT):
+            moved = scores.join(flows, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("part")).alias("score"), (F.col("last") * F.col("part")).alias("last"))
+            scores = moved.unionByName(base).groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("last").alias("last"))
+        scores = _spark.written(scores, "scores")
+        if old is not None:
+            _spark.drop_written(old)
+        old = scores
+        if all(r["mass"] * damping / (1 - damping) <= enough[r["kind"]] for r in scores.groupBy("kind").agg(F.sum("last").alias("mass")).collect()):
+            break
+    return scores.drop("last")
 
 
 def blocked_hosts(judged: DataFrame, edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

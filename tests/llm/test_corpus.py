@@ -478,6 +478,25 @@ def test_propagation_matches_power_iteration(spark):
             assert abs(got.get((h, kind), 0.0) - s) < 1e-12
 
 
+def test_propagation_converges_along_chains(spark):
+    chain = [(f"h{k + 1:02}", f"h{k:02}") for k in range(20)]
+    ring = [("a", "b"), ("b", "a"), ("a", "h03")]
+    edges = spark.createDataFrame(chain + ring, "src string, dst string")
+    seeds = spark.createDataFrame([("h00", "distrust", 0.5), ("b", "distrust", 0.5)], "host string, kind string, seed double")
+    got = {r.host: r.score for r in url_filter.propagate(edges, seeds).collect()}
+    hosts = sorted({h for e in chain + ring for h in e})
+    flow = np.zeros((len(hosts), len(hosts)))
+    for a, b in chain + ring:  # distrust goes from b to a
+        flow[hosts.index(a), hosts.index(b)] = 1 / sum(y == b for _, y in chain + ring)
+    start = np.array([0.5 * (h in ("h00", "b")) for h in hosts])
+    exp = np.linalg.solve(np.eye(len(hosts)) - url_filter.DAMPING * flow, (1 - url_filter.DAMPING) * start)
+    for h, s in zip(hosts, exp):
+        assert abs(got.get(h, 0.0) - s) < 1e-12
+    judged = spark.createDataFrame([("h00", "block")], "host string, verdict string")
+    bad = {r.host: r.distrust for r in url_filter.blocked_hosts(judged, spark.createDataFrame(chain, "src string, dst string")).collect()}
+    assert bad == pytest.approx({f"h{k:02}": 0.85**k for k in range(9)}, abs=1e-9)  # 0.85 ** 9 is under the threshold
+
+
 # ------------------------------------------------------------- all
 
 
