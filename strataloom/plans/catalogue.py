@@ -559,12 +559,19 @@ ovs AS (SELECT * FROM ov JOIN ts USING (target_id) JOIN rs USING (ref_id))"""
 _GRAPH = f", {si.edges_sql(False)}, root AS (SELECT target_id AS root_set, concept AS v FROM t), {si.bfs_sql(2)}, syn AS (SELECT root_set AS target_id, v AS concept FROM found WHERE depth > 0 AND all_sy), so AS (SELECT target_id, ref_id, sum({si.WEIGHT})::DOUBLE AS ws FROM syn JOIN r USING (concept) GROUP BY 1, 2)"
 
 
-def _pairing(spark, d, search: bool = False, **more) -> costs.Pairing:
+#: The reference's max_expl_depth.
+_REACH = 10
+
+
+def _pairing(spark, d, search: bool = False, depth: int = 2, only: DataFrame | None = None, **more) -> costs.Pairing:
+    """Pairs of the targets, or of `only` some (target_id), with their graph search where a cost needs it."""
     pos, neg = mentions.concept_pairs(si.mentions(spark, d))
     t, r = si.split_sets(pos)
+    if only is not None:
+        t = t.join(only, "target_id", "left_semi")
     tn, rn = si.split_sets(neg)
     if search:
-        more["found"] = graph.bfs(graph.both_ways(_edges(spark, d, False)), t.select(F.col("target_id").alias("root_set"), F.col("concept").alias("v")), 2)
+        more["found"] = graph.bfs(graph.both_ways(_edges(spark, d, False)), t.select(F.col("target_id").alias("root_set"), F.col("concept").alias("v")), depth)
     return costs.Pairing(t, r, weight=si.weight(pos.unionByName(neg)), target_neg=tn, ref_neg=rn, **more)
 
 
@@ -769,8 +776,7 @@ def greedy_retrieval(spark, d):
     """Greedy retrieval without replacement over the round-robin turns, by the default metric."""
     turns = _turns(spark, d)
     seeds = turns.select(F.col("seed_id").alias("target_id")).distinct()
-    p = _pairing(spark, d)
-    p = costs.Pairing(**{**p.__dict__, "targets": p.targets.join(seeds, "target_id", "left_semi")})
+    p = _pairing(spark, d, search=True, depth=_REACH, only=seeds)
     cost = costs.cost("sym_tversky", p).join(seeds.withColumnRenamed("target_id", "ref_id"), "ref_id", "left_anti")
     ranked = vectors.top(cost, "target_id", [F.asc("cost"), F.asc("ref_id")], sum(b for _, _, b in _BUDGETS))
     return retrieve.greedy(turns, ranked.select(F.col("target_id").alias("seed_id"), "ref_id", "cost", "rank"))
