@@ -699,17 +699,20 @@ _SEEDS_SQL = "seed AS (SELECT * FROM (SELECT o_orderpriority AS cls, row_number(
 _TURNS = "turn AS (SELECT g.step::INTEGER AS step, cls_no, b.cls, seed_id FROM (VALUES " + ", ".join(map(str, _BUDGETS)) + ") b(cls_no, cls, budget), LATERAL (SELECT unnest(range(0, budget)) AS step) g JOIN (SELECT cls, count(*) AS n FROM seed GROUP BY 1) n ON n.cls = b.cls JOIN seed ON seed.cls = b.cls AND pos = g.step % n.n)"
 
 
-def _turns(spark, d):
+def _turns(spark, d, most: int | None = None):
+    """Turns over all seeds of the classes, or over the first `most` of each."""
     pos, _ = mentions.concept_pairs(si.mentions(spark, d))
     o = table(spark, d, "orders").where(si.is_query("o_orderkey")).join(pos.select(F.col("report_id").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
     rank = F.row_number().over(prep.Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) - 1
-    seeds = o.select(F.col("o_orderpriority").alias("cls"), rank.alias("pos"), F.col("o_orderkey").alias("seed_id")).where("pos < 5")
+    seeds = o.select(F.col("o_orderpriority").alias("cls"), rank.alias("pos"), F.col("o_orderkey").alias("seed_id"))
+    if most is not None:
+        seeds = seeds.where(F.col("pos") < most)
     return retrieve.schedule(spark.createDataFrame(_BUDGETS, "cls_no int, cls string, budget int"), seeds)
 
 
 @query(f"WITH {si.SETS}, {_SEEDS_SQL}, {_TURNS} SELECT * FROM turn")
 def round_robin_schedule(spark, d):
-    return _turns(spark, d)
+    return _turns(spark, d, 5)  # as the SQL has it
 
 
 def _dice(t: DataFrame, r: DataFrame) -> DataFrame:
