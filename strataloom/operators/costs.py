@@ -48,8 +48,13 @@ def _sized(p: Pairing) -> DataFrame:
     return sets.overlaps(p.targets, p.refs).join(n(p.targets, "target_id", "nt"), "target_id").join(n(p.refs, "ref_id", "nr"), "ref_id")
 
 
+def _rounded(cost: Column) -> Column:
+    """Six digits, and 0.0 for -0.0, whose sign would depend on the order of a sum."""
+    return F.round(cost, 6) + F.lit(0.0)
+
+
 def _cost(pairs: DataFrame, sim: Column) -> DataFrame:
-    return pairs.select("target_id", "ref_id", F.round(1 - sim, 6).alias("cost"))
+    return pairs.select("target_id", "ref_id", _rounded(1 - sim).alias("cost"))
 
 
 def jaccard(p: Pairing) -> DataFrame:
@@ -153,7 +158,7 @@ def umls(p: Pairing) -> DataFrame:
 def lin(p: Pairing) -> DataFrame:
     """Information content, for the given pairs, or else those that share a concept."""
     pairs = p.pairs if p.pairs is not None else sets.overlaps(p.targets, p.refs).select("target_id", "ref_id")
-    return ontology.lin_cost(pairs, p.targets, p.refs, p.closure, p.ic).withColumn("cost", F.round("cost", 6))
+    return ontology.lin_cost(pairs, p.targets, p.refs, p.closure, p.ic).withColumn("cost", _rounded(F.col("cost")))
 
 
 REGISTRY: dict[str, Callable[[Pairing], DataFrame]] = {"jac": jaccard, "dice": dice, "overlap": overlap, "tversky": tversky, "sym_tversky": sym_tversky, "umls_neg": umls_neg, "depth": depth, "umls": umls, "lin": lin}

@@ -642,7 +642,7 @@ def cost_umls(spark, d):
     return _best(costs.cost("umls", costs.Pairing(**{**p.__dict__, "distances": far})))
 
 
-@query(_BMA + " " + _top("SELECT target_id, ref_id, round(CASE WHEN x.m + y.m = 0 THEN 1.0 ELSE 1 - 2 * bma / (x.m + y.m) END, 6) AS cost FROM bma JOIN mean x ON x.id = target_id JOIN mean y ON y.id = ref_id"))
+@query(_BMA + " " + _top("SELECT target_id, ref_id, round(CASE WHEN x.m + y.m = 0 THEN 1.0 ELSE 1 - 2 * bma / (x.m + y.m) END, 6) + 0.0 AS cost FROM bma JOIN mean x ON x.id = target_id JOIN mean y ON y.id = ref_id"))
 def cost_lin(spark, d):
     return _best(costs.cost("lin", _part_pairing(spark, d)))
 
