@@ -412,31 +412,104 @@ def test_lm_without_training(spark, docs):
 
 def test_lm_score_uses_every_trained_count(spark, docs, monkeypatch):
     scores = []
-    for head in (1 << 20, 40):
-        monkeypatch.setattr(lm_score.base_model, "__defaults__", (head, 5))
+    for head in (1 << 20, 40):  # with one symbol, all tokens of a class share a leaf, and those outside the head the last one
+        monkeypatch.setattr(lm_score.base_model, "__defaults__", (head, 1))
         model, counts = lm_score.train(docs.where("doc_id < 80"))
-        assert len(model.path_at) == 7
-        scores.append(sorted((r.doc_id is None, r.doc_id, r.n_tokens, r.score) for r in lm_score.score(docs.where("doc_id is not null"), model, counts).collect()))
-    assert len(model.head) <= 40
-    for a, b in zip(*scores):
-        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9, abs=1e-9)
-
-
-def test_lm_texts_are_coded_whole(spark, docs, monkeypatch):
+        scores.append({r.doc_id: r.score for r in lm_score.score(docs.where("doc_id between 0 and 79"), model, counts).collect()})
+    assert len(model.head) <= 40 and sum(model.rest) + model.count[model.symbol < model.top].sum() == model.total
+    assert all(abs(scores[0][i] - x) < 0.25 * abs(x) for i, x in scores[1].items())
+
+
+def lm_scored_by_hand(model, counts, text):
+    """log10 probability of a text, one decision after another."""
+    one32 = 2**32 - 1
+    tok = [w.encode() for w in re.findall(WORD, (text or "").translate(LOWER))] + [None]
+    prints = lm_score.tokens(pa.array([text], pa.string()))[1].tolist()
+    place = {h: k for k, h in enumerate(model.head.tolist())}
+    last = len(model.path_at) - 2
+    leaf = [int(model.symbol[place[h]]) if h in place else last for h in prints]
+    path = lambda x: range(model.path_at[x], model.path_at[x + 1])
+    many = sum(len(path(x)) for x in leaf)
+    mask = lambda least, wanted: (1 << max(least, math.ceil(math.log2(max(wanted, 1))))) - 1
+    masks = mask(lm_score.NODE_BITS, many / 8), mask(lm_score.PAIR_BITS, many / 2)
+    own = [collections.defaultdict(lambda: [0, 0]) for _ in masks]
+    weights = [list(map(float, w)) for w in model.weights.T]
+    total, begin = 0.0, 0
+    while begin < len(leaf):
+        end = max(2, min(2 * begin, begin + lm_score.BLOCK))
+        slope, times, seen = collections.defaultdict(lambda: [0.0] * 5), collections.Counter(), []
+        for t in range(begin, min(end, len(leaf))):
+            for depth, at in enumerate(path(leaf[t])):
+                node, bit, gate = int(model.path_node[at]), int(model.path_bit[at]), min(depth, lm_score.GATES - 1)
+                pair = ((leaf[t - 1] + 1 if t else 0) * 0x9E3779B1 ^ (node + 1) * 0xC2B2AE35) & one32
+                pair = (pair ^ pair >> 15) * 0x2C1B3C6D & one32
+                pair = (pair ^ pair >> 13) * 0x297A2D39 & one32
+                pair ^= pair >> 16
+                slots = node & masks[0], pair & masks[1]
+                tables = [model.pairs[:, pair >> 32 - model.slot_bits], own[0][slots[0]], own[1][slots[1]]]
+                x = [float(model.node_logit[node])]
+                p1 = 1 / (1 + math.exp(-x[0]))
+                x += [math.log((n[1] + c * p1) / (n[0] + c * (1 - p1))) - x[0] for n, c in zip(tables, lm_score.PRIOR)] + [1.0]
+                p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, weights[gate]))))
+                total += math.log(p if bit else 1 - p)
+                slope[gate] = [g + (bit - p) * a for g, a in zip(slope[gate], x)]
+                times[gate] += 1
+                seen.append((slots, bit))
+        for slots, bit in seen:
+            for table, slot in zip(own, slots):
+                table[slot][bit] += 1
+        for gate, g in slope.items():
+            weights[gate] = [w + lm_score.RATE / math.sqrt(times[gate]) * a for w, a in zip(weights[gate], g)]
+        begin = end
+    before = collections.defaultdict(collections.Counter)
+    for word, h, x in zip(tok, prints, leaf):
+        if x < model.top:
+            continue
+        past = before[x]
+        n, repeats = sum(past.values()), sum(past.values()) - len(past)
+        if past[h]:
+            total += math.log((repeats + 0.5) / (n + 1) * past[h] / n)
+        else:
+            total += math.log((n - repeats + 0.5) / (n + 1))
+            if x < last:
+                total += math.log(counts[h] / model.rest[x - model.top])
+            elif counts.get(h):
+                total += math.log(counts[h] / (model.rest[-1] + 1))
+            else:
+                total -= math.log(model.rest[-1] + 1)
+                one = two = 0x20
+                for k, byte in enumerate(word + b" " if word else b""):
+                    total += float(model.letters[(((one << 8) + (two if k > 1 else 0x20)) * 40503 >> 4) % lm_score.LETTER_CONTEXTS, byte])
+                    one, two = byte, one
+        past[h] += 1
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("head,symbols", [(1 << 20, 1 << 15), (60, 8)])
+def test_lm_scores_match_brute_force(spark, docs, monkeypatch, head, symbols):
+    monkeypatch.setattr(lm_score.base_model, "__defaults__", (head, symbols))
+    model, counts = lm_score.train(docs.where("doc_id < 90"))
+    n = {r.h % 2**64: r.n for r in counts.collect()}
+    got = lm_score.score(docs.select("doc_id", "text"), model, counts).collect()
+    assert len(got) == len(ROWS)
+    exp = sorted((i is None, i or 0, lm_scored_by_hand(model, n, t)) for i, t, *_ in ROWS)
+    for (_, _, e), r in zip(exp, sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.score))):
+        assert r.score == pytest.approx(e, rel=1e-5), r.doc_id
+
+
+def test_lm_texts_are_coded_whole(spark):
     words = [f"w{k}" for k in range(300)]
     rng = random.Random(5)
-    model, counts = lm_score.train(spark.createDataFrame([(k, " ".join(rng.choices(words, k=200))) for k in range(200)], "doc_id long, text string"))
+    model, counts = lm_score.train(spark.createDataFrame([(k, " ".join(rng.choices(words, k=200))) for k in range(600)], "doc_id long, text string"))
     assert not np.allclose(model.weights, np.array(lm_score.START)[:, None])
     once = " ".join(rng.choices(words, k=1024))
-    texts = spark.createDataFrame([(1, once), (2, once + " " + once)] + [(k, " ".join(rng.choices(words, k=k))) for k in range(3, 60)], "doc_id long, text string")
-    scores = []
-    for few in (1, 10, 1000):  # in step, and by themselves
-        monkeypatch.setattr(lm_score, "FEW", few)
-        _, h, offs = lm_score.tokens(pa.array([r.text for r in texts.collect()]))
-        scores.append(lm_score._mixed(model, model.symbol[lm_score._find(model, h)], offs))
-    assert np.allclose(scores[0], scores[1], rtol=1e-9) and np.allclose(scores[0], scores[2], rtol=1e-9)
-    by = {r.doc_id: r.score for r in lm_score.score(texts, model, counts).collect()}
-    assert by[2] > 1.9 * by[1]  # the second time is learned from the first
+    texts = [once, once + " " + once] + [" ".join(rng.choices(words, k=k)) for k in range(3, 60)]
+    _, h, offs = lm_score.tokens(pa.array(texts))
+    leaf = lm_score._leaves(model, h)[1]
+    together = lm_score._mixed(model, leaf, offs)
+    alone = [lm_score._mixed(model, leaf[a:b], np.array([0, b - a]))[0] for a, b in zip(offs[:-1], offs[1:])]
+    assert np.allclose(together, alone, rtol=1e-6)  # what else is in the chunk doesn't matter
+    assert together[1] > 1.9 * together[0]  # the second time is learned from the first
 
 
 def test_lm_words_beyond_the_most_frequent_have_context(spark):
