@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round maps every node to its smallest neighbour's smallest neighbour and
     contracts the edges, so stars vanish in one round and chains shrink by a
-    factor; rounds are cut by tables in the shared folder.
+    factor; rounds are cut by tables in the shared folder, which go when the next round is written.
     """
 
     def tidy(e: DataFrame) -> DataFrame:
@@ -26,8 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
         near = _spark.written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "near")
         jump = near.alias("x").join(near.alias("y"), F.col("x.m") == F.col("y.a"), "left")
         step = _spark.written(jump.select("x.a", F.coalesce("y.m", "x.m").alias("to")), "step")
-        labels = labels.join(step.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        old, before = labels, edges
+        labels = old.join(step.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         labels = _spark.written(labels, "labels")
         moved = edges.join(step.withColumnRenamed("to", "ta"), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b")
         edges = _spark.written(tidy(moved.select(F.col("ta").alias("a"), F.col("tb").alias("b"))), "edges")
+        _spark.drop_written(before, near, step, *([old] if hasattr(old, "_written_to") else []))
     return labels

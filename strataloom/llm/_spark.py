@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; only a local session (tests) gets an own one where it is unset."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="strataloom-")
         sc.setCheckpointDir(folder)
     return folder
@@ -34,27 +36,51 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table made by written()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written(), once nothing that is still to run reads them."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Settings of the batches of Arrow maps.  Spark reads them when the plan runs, so they hold for the session; they are lowered only.
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow in batches of bounded rows and bytes."""
     ship(df.sparkSession)
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in _LIMITS.items():
+        now = conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
     return df.mapInArrow(fn, schema)
 
 
+#: A key with more than one in so many of all rows is joined by broadcast: there are at most as many of those.
+HEAVY = 4096
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of distinct keys, where column n of the table counts the rows with that key and total all rows.
+
+    The table's keys with over total / HEAVY rows (at most HEAVY of them) are broadcast, so that no task gets all rows of one;
+    the rest is joined by shuffle.  Both inputs are read twice.
+    """
+    heavy = table.where(F.col(n) * F.lit(HEAVY) > total)
+    light = table.where(F.col(n) * F.lit(HEAVY) <= total)
+    often = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return often.unionByName(rest)
+
+
 def fold_of(doc_id, folds: int):
     """crc32 of the id as text, modulo the folds; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -68,9 +94,12 @@ def id_type(df: DataFrame, column: str = "doc_id") -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of the rows."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """The optimizer's estimate of the size of the rows; where it has none, the bytes of their texts."""
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if guess < 1 << 60:
+        return guess
+    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def ship(spark: SparkSession) -> None:
