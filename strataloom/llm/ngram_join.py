@@ -1,21 +1,24 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Texts are sets of word shingles (words [^\\x20\\x09-\\x0D]+, unchanged; a text of
-fewer words is one shingle).  Equal texts form one class, whose representative
-alone is compared.  MinHash bands bring candidates together.  Their MinHash values
-are compared a few at a time, and a pair goes as soon as the posterior
+fewer words is one shingle).  Equal texts (by SHA-1) form one class, whose
+representative alone is compared; it gets a number of its own, so that no two
+texts are taken for one.  MinHash bands bring candidates together.  Their MinHash
+values are compared a few at a time, and a pair goes as soon as the posterior
 probability that it reaches the threshold, given the matches so far, is below
-TOLERANCE.  What survives spans small clusters; inside a cluster all pairs are
-verified exactly on the shingle sets, and counted, without becoming rows.
+TOLERANCE.  What survives spans clusters; inside a cluster the same pruning is
+applied to each pair, and those that it leaves are verified exactly on the
+shingle sets, and counted, without becoming rows.
 
 A pair at the threshold shares no band with probability (1 - t**ROWS)**BANDS,
 3e-6 at 0.8 and less above.  Large buckets and clusters are cut into blocks of
-at most BLOCK members; one task compares two blocks.  What a task emits is linear in its
-members: link counts and a spanning forest.
+at most BLOCK members and about BLOCK_BYTES of shingles; one task compares two
+blocks.  What a task emits is linear in its members: link counts and a spanning forest.
 
 Defined results: null texts and texts without a word link to nothing and are
 classes of their own; repeated rows are copies; rows of one id with different
-texts are different texts, and the class takes its smallest id.
+texts are different texts, and the class takes its smallest id; a text of any length
+is one set, and one text alone may exceed the bytes of a block.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ TOLERANCE = 1e-6
 BLOCK = 512
 #: Clusters of full texts take smaller blocks, as long as these make no more than SPREAD of them.
 SMALL_BLOCK, SPREAD = 128, 16
+#: Bytes of the shingles of a block, on average.
+BLOCK_BYTES = 32 << 20
 _NO_ID = -(1 << 63) + 1
 
 _RNG = np.random.default_rng(7)
@@ -74,11 +79,11 @@ def shingles(column, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return row, h
 
 
-def signatures_chunk(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that have shingles, and for them band keys (rows, BANDS) and MinHash bytes (rows, HASHES)."""
+def signatures_chunk(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that have shingles, and for them their number, band keys (rows, BANDS) and MinHash bytes (rows, HASHES)."""
     row, h = shingles(column)
     if not len(row):
-        return row, np.zeros((0, BANDS), np.int64), np.zeros((0, HASHES), np.uint8)
+        return row, row, np.zeros((0, BANDS), np.int64), np.zeros((0, HASHES), np.uint8)
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     low = np.empty((HASHES, len(first)), np.uint64)
     for k in range(HASHES):
@@ -89,42 +94,45 @@ def signatures_chunk(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for r in range(ROWS):
         band = _text.mix(band * np.uint64(31) + keys[:, :, r])
     band = _text.mix(band + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return row[first], band.view(np.int64), (low >> np.uint64(56)).astype(np.uint8)
+    return row[first], np.diff(np.r_[first, len(row)]), band.view(np.int64), (low >> np.uint64(56)).astype(np.uint8)
 
 
 def _id(docs: DataFrame):
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
 
 
-def _node():
-    return F.xxhash64(F.sha1(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+def _sha():
+    return F.unhex(F.sha1(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, node, bands, sig) of every text; node stands for the text, bands and sig are null without shingles."""
+    """(id, sha, size, bands, sig) of every text; size: shingles; bands and sig are null without shingles."""
 
     def run(batches):
         for part in _text.chunks(batches):
-            rows, band, sig = signatures_chunk(part.column("text"))
+            rows, size, band, sig = signatures_chunk(part.column("text"))
             n = part.num_rows
             has = np.zeros(n, bool)
             has[rows] = True
+            sizes = np.zeros(n, np.int64)
+            sizes[rows] = size
             at = np.r_[0, np.cumsum(has)]
             null = pa.array(~has)
             bands = pa.ListArray.from_arrays(pa.array(at * BANDS, pa.int32()), pa.array(band.ravel()), mask=null)
             sigs = np.full(n, None, object)
             sigs[rows] = [s.tobytes() for s in sig]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), bands, pa.array(sigs, pa.binary())], ["id", "node", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("sha"), pa.array(sizes), bands, pa.array(sigs, pa.binary())], ["id", "sha", "size", "bands", "sig"])
 
-    rows = docs.select(_id(docs).alias("id"), _node().alias("node"), F.col("text").cast("string").alias("text"))
-    return _spark.arrow_map(rows, run, "id long, node long, bands array<long>, sig binary")
+    rows = docs.select(_id(docs).alias("id"), _sha().alias("sha"), F.col("text").cast("string").alias("text"))
+    return _spark.arrow_map(rows, run, "id long, sha binary, size long, bands array<long>, sig binary")
 
 
 def _blocks(rows: DataFrame, n: str, by: str, small: bool = False) -> DataFrame:
-    """Each row once for every pair of blocks (i, j) that its block, own, belongs to; n: rows with the same key `by`."""
+    """Each row once for every pair of blocks (i, j) that its block, own, belongs to; n: rows with the same key `by`; small: there are full texts, of `bytes` for the key."""
     many = F.ceil(F.col(n) / BLOCK).cast("int")
     if small:
         many = F.least(F.ceil(F.col(n) / min(SMALL_BLOCK, BLOCK)).cast("int"), F.greatest(many, F.lit(SPREAD)))
+        many = F.least(F.greatest(many, F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")), F.col(n).cast("int"))
     own = F.pmod(F.xxhash64("node", by), many).cast("int")
     split = rows.withColumn("many", many).withColumn("own", own)
     return split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("many", "other")
@@ -210,8 +218,8 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     """(a, b): spanning forests of the pairs that share a band and survive the pruning; reps: node, bands, sig."""
     need = needed(threshold, tolerance)
     banded = reps.select("node", F.explode("bands").alias("key"))
-    counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = banded.join(counts, "key")
+    counts = _spark.written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    shared = _spark.spread_join(banded, counts, "key", "n", BANDS * reps.count())
     members = _blocks(shared.join(reps.select("node", "sig"), "node"), "n", "key")
     spark = reps.sparkSession
     dealt = members.select("key", "i", "j", "own", "node", "sig").repartition(_spark.parts(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -247,23 +255,25 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, tolerance: float =
 
 
 def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(cluster, n, node, shingles): sorted distinct fingerprints of the members' texts; members: node, rep, cluster, n."""
-    texts = docs.select(_id(docs).alias("rep"), _node().alias("node"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(members.hint("shuffle_hash"), ["node", "rep"]).select("cluster", "n", "node", "text")
+    """(cluster, n, bytes, node, sig, shingles): sorted distinct fingerprints of the members' texts; members: node, sha, rep, sig, cluster, n, bytes."""
+    texts = docs.select(_id(docs).alias("rep"), _sha().alias("sha"), F.col("text").cast("string").alias("text"))
+    names = ["cluster", "n", "bytes", "node", "sig"]
+    joined = texts.join(members.hint("shuffle_hash"), ["sha", "rep"]).select(*names, "text")
 
     def run(batches):
         for part in _text.chunks(batches):
             row, h = shingles(part.column("text"))
             edge = np.searchsorted(row, np.arange(part.num_rows + 1))
             sets = [np.unique(h[a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("n"), part.column("node"), pa.array(sets, pa.binary())], ["cluster", "n", "node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
-    return _spark.arrow_map(joined, run, "cluster long, n long, node long, shingles binary")
+    return _spark.arrow_map(joined, run, "cluster long, n long, bytes long, node long, sig binary, shingles binary")
 
 
-def _exact(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of left x right) whose Jaccard similarity reaches the threshold; equal positions are left out, i < j if both sides are one."""
+def _exact(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b) of positions, those whose Jaccard similarity reaches the threshold."""
     size = np.array([len(s) for s in sets])
+    left, right = np.unique(a), np.unique(b)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
@@ -280,8 +290,8 @@ def _exact(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     both = np.zeros((len(left), len(right)), np.float32)
     width = 4096
     for at in range(0, int(often.sum()), width):
-        a, b = np.searchsorted(term, [at, at + width])
-        t, o = term[a:b] - at, owner[a:b]
+        low, high = np.searchsorted(term, [at, at + width])
+        t, o = term[low:high] - at, owner[low:high]
         planes = []
         for name, side in (("l", left), ("r", right)):
             plane = np.zeros((len(side), width), np.float32)
@@ -289,36 +299,35 @@ def _exact(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
             plane[mine[mine >= 0], t[mine >= 0]] = 1
             planes.append(plane)
         both += planes[0] @ planes[1].T
-    union = size[left][:, None] + size[right][None, :] - both
-    ok = both >= threshold * union - 1e-6
-    if left is right:
-        ok = np.triu(ok, 1)
-    x, y = np.nonzero(ok)
-    return left[x], right[y]
+    common = both[place["l"][a], place["r"][b]]
+    ok = common >= threshold * (size[a] + size[b] - common) - 1e-6
+    return a[ok], b[ok]
 
 
-def verified(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, leader, links): exact links of each member within a pair of blocks, and its leader there (itself, if it has none)."""
-    spark = sets.sparkSession
-    dealt = _blocks(sets, "n", "cluster", small=True).select("cluster", "i", "j", "own", "node", "shingles").repartition(_spark.parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+def verified(sets: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """(node, leader, links): exact links of each member within a pair of blocks, and its leader there (itself, if it has none); only pairs that the pruning leaves are verified."""
+    spark, need = sets.sparkSession, needed(threshold, tolerance)
+    dealt = _blocks(sets, "n", "cluster", small=True).select("cluster", "i", "j", "own", "node", "sig", "shingles").repartition(_spark.parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
     def run(batches):
         for got in _grouped(batches, ("cluster", "i", "j")):
             cluster, i, j, own, node = (np.asarray(got.column(c)) for c in ("cluster", "i", "j", "own", "node"))
             blobs = got.column("shingles").to_pylist()
+            sig = np.frombuffer(b"".join(got.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
             edge = _edges_of(cluster, i, j)
             out = []
             for start, end in zip(edge[:-1], edge[1:]):
                 names, index = np.unique(node[start:end], return_index=True)  # repeated rows are one text
-                sets = [np.frombuffer(blobs[start + k], np.uint64) for k in index]
-                if i[start] == j[start]:
-                    left = right = np.arange(len(names))
-                else:
-                    side = own[start:end][index]
-                    left, right = np.flatnonzero(side == i[start]), np.flatnonzero(side == j[start])
-                if not len(left) or not len(right):
+                place = np.arange(start, end)[index]
+                a, b = _pairs(own[place], i[start], j[start])
+                a, b = _surviving(sig[place], a, b, need)
+                if not len(a):
                     continue
-                x, y = _exact(sets, left, right, threshold)
+                left, right = np.unique(a), np.unique(b)
+                some = np.union1d(left, right)
+                sets = [np.frombuffer(blobs[place[k]], np.uint64) for k in some]
+                x, y = _exact(sets, np.searchsorted(some, a), np.searchsorted(some, b), threshold)
+                x, y = some[x], some[y]
                 if len(x):
                     links = np.bincount(np.r_[x, y], minlength=len(names))
                     lead = _leaders(len(names), x, y)
@@ -332,20 +341,26 @@ def verified(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """By text: (node, copy_of, class_id, class_node, copies, n_links), where the ids are the smallest ones; and by row: (id, node, worded)."""
+    """By text with a word: (sha, copy_of, class_id, class_sha, copies, n_links), where the ids are the smallest ones; and by row: (id, sha, worded)."""
     sigs = _spark.written(signatures(docs), "signatures")
     worded = sigs.where("sig is not null")
-    reps = _spark.written(worded.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
+    reps = worded.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # written with its numbers, which are a text's name from here on
+    reps = _spark.written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
     clusters = components(candidates(reps, threshold))
-    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    members = clusters.join(sizes, "label").join(reps.select("node", "rep"), "node").select("node", "rep", F.col("label").alias("cluster"), "n")
+    linked = clusters.join(reps.select("node", "sha", "rep", "size", "sig"), "node").withColumnRenamed("label", "cluster")
+    sizes = _spark.written(linked.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * 8).alias("bytes")), "sizes")
+    n = clusters.count()
+    members = _spark.spread_join(linked, sizes, "cluster", "n", n)
     links = _spark.written(verified(_sets(docs, members), threshold), "links")
     labels = components(links.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("n_links"))
-    texts = reps.select("node", "rep", "copies").join(labels, "node", "left").join(counts, "node", "left")
-    first = texts.where("label is not null").groupBy("label").agg(F.min(F.struct("rep", "node")).alias("first"))
-    texts = texts.join(first, "label", "left").select("node", F.col("rep").alias("copy_of"), F.coalesce("first.rep", "rep").alias("class_id"), F.coalesce("first.node", "node").alias("class_node"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return texts, sigs.select("id", "node", F.col("sig").isNotNull().alias("worded"))
+    texts = reps.select("node", "sha", "rep", "copies")
+    grouped = texts.join(labels, "node").join(counts, "node", "left")
+    first = _spark.written(grouped.groupBy("label").agg(F.min(F.struct("rep", "sha")).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    grouped = _spark.spread_join(grouped, first, "label", "n", n).select("sha", F.col("rep").alias("copy_of"), F.col("first.rep").alias("class_id"), F.col("first.sha").alias("class_sha"), "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = texts.join(labels, "node", "left_anti").select("sha", F.col("rep").alias("copy_of"), F.col("rep").alias("class_id"), F.col("sha").alias("class_sha"), "copies", F.lit(0).cast("long").alias("n_links"))
+    return grouped.unionByName(alone), sigs.select("id", "sha", F.col("sig").isNotNull().alias("worded"))
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -355,8 +370,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     smallest id with the same text; n_links: different texts that reach the threshold.
     """
     texts, rows = classes(docs, threshold)
+    texts = _spark.written(texts.drop("class_sha"), "texts")
+    got = _spark.spread_join(rows.where("worded").select("id", "sha"), texts, "sha", "copies", rows.count())
+    got = got.unionByName(rows.where("not worded").select("id", "sha"), allowMissingColumns=True)
     own = F.when(F.col("id") != _NO_ID, F.col("id"))
-    got = rows.join(texts.withColumn("worded", F.lit(True)), ["node", "worded"], "left")
     pick = lambda c: F.when(F.coalesce(c, "id") != _NO_ID, F.coalesce(c, "id"))
     return got.select(own.alias("doc_id"), pick("class_id").alias("class_id"), pick("copy_of").alias("copy_of"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -364,12 +381,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The row of docs with the smallest id of each class, all columns; rows without a word stay, repeated rows once."""
     texts, rows = classes(docs, threshold)
-    id_, node = _spark.free("_id", docs), _spark.free("_node", docs)
-    first = texts.where("node = class_node").select(F.col("class_id").alias(id_), F.col("node").alias(node))
-    keep = first.unionByName(rows.where("not worded").select(F.col("id").alias(id_), F.col("node").alias(node)).distinct())
-    keyed = docs.withColumns({id_: _id(docs), node: _node()})
-    kept = keyed.join(keep.hint("shuffle_hash"), [id_, node])
-    return kept.dropDuplicates([id_, node]).select(*(f"`{c}`" for c in docs.columns))
+    id_, sha = _spark.free("_id", docs), _spark.free("_sha", docs)
+    first = texts.where("sha = class_sha").select(F.col("class_id").alias(id_), F.col("sha").alias(sha))
+    keep = first.unionByName(rows.where("not worded").select(F.col("id").alias(id_), F.col("sha").alias(sha)).distinct())
+    keyed = docs.withColumns({id_: _id(docs), sha: _sha()})
+    kept = keyed.join(keep.hint("shuffle_hash"), [id_, sha])
+    return kept.dropDuplicates([id_, sha]).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
