@@ -3,16 +3,19 @@
 Every window of WINDOW words is filed under one suffix: the one that starts at
 the window's minimal PREFIX-word fingerprint.  So equal windows stand at the same
 offset of suffixes with equal prefixes, and only a few suffixes of a text are
-needed.  The prefix fingerprint splits the suffixes into memory-sized groups; a
-group that is still heavy holds few different suffixes under one prefix, since
-equal ones are folded before they travel.  In a group, a prefix that occurs once
-is a leaf and is dropped at once; below the others, the tree is grown to the
-windows: a node that is reached by two starts and is WINDOW words deep is a
+needed.  Prefixes have variable length, so that every group fits into memory: a
+first pass counts the suffixes by buckets of their prefixes, after equal suffixes of
+a task are folded; where a bucket has more than CAP, the prefixes in it are lengthened to the
+whole window, which deals its windows to other groups.  In a group, a
+prefix that occurs once is a leaf and is dropped at once; below the others, the tree is
+grown to the windows: a node that is reached by two starts and is WINDOW words deep is a
 repeat, and the runs of such starts are the maximal repeats.  Edges of the tree
-are held as fingerprints of their words (64 bits for the prefix, 48 for the rest).
+are held as fingerprints of their words (64 bits for the prefix, 48 for the rest),
+since the words themselves would double what travels.
 
 Defined results: null and short texts have no window and stay as they are; equal
-rows repeat each other; rows of one id with different texts are kept apart.
+rows repeat each other; rows of one id with different texts are kept apart; a text
+of any length is split into its suffixes like others.
 """
 
 from __future__ import annotations
@@ -34,12 +37,19 @@ FLUSH = 24 << 20
 #: Bytes of input per group, and groups per partition at least.
 GROUP_BYTES = 8 << 20
 GROUPS_EACH = 8
+#: Suffixes of a bucket of prefixes from which these are lengthened, buckets for each CAP of suffixes that the input may have, and the fewest buckets.
+CAP = 1 << 18
+BUCKETS_EACH, LEAST_BUCKETS = 16, 1 << 12
 
-_HEAD = "id long, chk int"
+_HEAD = "id long, chk long"
 
 
-def _suffixes(ids, chk, column, window: int, prefix: int):
-    """Per suffix: prefix fingerprint, id, chk, first window start, number of windows; and all windows' fingerprints."""
+def _bucket(head: np.ndarray, buckets: int) -> np.ndarray:
+    return (_text.mix(head + np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _suffixes(ids, chk, column, window: int, prefix: int, heavy: np.ndarray | None = None):
+    """Per suffix: prefix fingerprint, id, chk, first window start, number of windows; and all windows' fingerprints.  heavy: for each bucket of prefixes, whether they are lengthened to the window."""
     w = _text.Words(column)
     ok = _text.window_ok(w.row, window)
     if not ok.any():
@@ -49,10 +59,19 @@ def _suffixes(ids, chk, column, window: int, prefix: int):
     anchor = _text.sliding_min(head, window - prefix + 1)
     at = np.flatnonzero(ok)
     anchor, whole, row = anchor[at], whole[at], w.row[at]
-    first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]
+    long = None
+    if heavy is not None and heavy.any():
+        first = np.flatnonzero(new)
+        long = np.repeat(heavy[_bucket(head[anchor[first]], len(heavy))], np.diff(np.r_[first, len(at)]))
+        new |= long
+    first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(at)])
     row = row[first]
-    return head[anchor[first]], ids[row], chk[row], (at[first] - w.first[row]).astype(np.int32), count.astype(np.uint8), whole
+    key = head[anchor[first]]
+    if long is not None:
+        key = np.where(long[first], _text.mix(whole[first] + np.uint64(11)), key)
+    return key, ids[row], chk[row], (at[first] - w.first[row]).astype(np.int32), count.astype(np.uint16), whole
 
 
 def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -61,8 +80,8 @@ def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def _packed(groups: int, head, ids, chk, start, count, whole):
-    """Rows (grp, kind, n, blob): kind 0 for suffixes to compare, kind 1 for starts that are known to repeat."""
+def _folded(head, ids, chk, start, count, whole):
+    """Of equal suffixes, the places of the first ones, and whether each suffix has equal ones; and the edges of the suffixes in whole."""
     edge = np.r_[0, np.cumsum(count.astype(np.int64))]
     total = np.zeros(len(whole) + 1, np.uint64)
     np.cumsum(_text.mix(whole + np.uint64(1)), out=total[1:])
@@ -72,7 +91,12 @@ def _packed(groups: int, head, ids, chk, start, count, whole):
     size = np.diff(np.r_[np.flatnonzero(new), len(order)])
     twice = np.zeros(len(head), bool)
     twice[order] = np.repeat(size > 1, size)
-    keep = np.sort(order[new])
+    return np.sort(order[new]), twice, edge
+
+
+def _packed(groups: int, head, ids, chk, start, count, whole):
+    """Rows (grp, kind, n, blob): kind 0 for suffixes to compare, kind 1 for starts that are known to repeat."""
+    keep, twice, edge = _folded(head, ids, chk, start, count, whole)
     grp = (head % np.uint64(groups)).astype(np.int64)
     pick = keep[np.argsort(grp[keep], kind="stable")]
     bounds = np.searchsorted(grp[pick], np.arange(groups + 1))
@@ -96,30 +120,85 @@ def _batch(rows, names, types):
 _SENT = (("grp", "kind", "n", "blob"), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))
 
 
-def _map(window: int, prefix: int, groups: int):
-    def run(batches):
-        held, size = [], 0
+def _flushes(batches, window: int, prefix: int, heavy: np.ndarray | None = None):
+    """The suffixes of FLUSH bytes of text at a time."""
+    held, size = [], 0
+    for part in _text.chunks(batches):
+        ids, chk = (np.asarray(part.column(c)) for c in ("id", "chk"))
+        got = _suffixes(ids, chk, part.column("text"), window, prefix, heavy)
+        if got is not None:
+            held.append(got)
+            size += part.column("text").nbytes
+            if size > FLUSH:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
-        def flush():
-            rows = _packed(groups, *(np.concatenate(x) for x in zip(*held)))
+
+def _map(window: int, prefix: int, groups: int, heavy: np.ndarray | None):
+    def run(batches):
+        for suffixes in _flushes(batches, window, prefix, heavy):
+            rows = _packed(groups, *suffixes)
             for at in range(0, len(rows), 64):
                 yield _batch(rows[at : at + 64], *_SENT)
 
-        for part in _text.chunks(batches):
-            ids, chk = (np.asarray(part.column(c)) for c in ("id", "chk"))
-            got = _suffixes(ids, chk, part.column("text"), window, prefix)
-            if got is not None:
-                held.append(got)
-                size += part.column("text").nbytes
-                if size > FLUSH:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
+    return run
+
+
+#: Buckets of one row of counts.
+_SLICE = 1 << 16
+
+
+def _counting(window: int, prefix: int, buckets: int):
+    """Rows (slice, blob): the buckets of a slice and their numbers of different suffixes, as two arrays of int64."""
+
+    def run(batches):
+        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for suffixes in _flushes(batches, window, prefix):
+            key, n = np.unique(_bucket(suffixes[0][_folded(*suffixes)[0]], buckets), return_counts=True)
+            total = _summed([total, (key, n)])
+        edge = np.searchsorted(total[0], np.arange(0, buckets + _SLICE, _SLICE))
+        rows = [(k, np.concatenate([x[a:b] for x in total]).tobytes()) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if a < b]
+        for at in range(0, len(rows), 64):
+            yield _batch(rows[at : at + 64], ("slice", "blob"), (pa.int32(), pa.binary()))
+
+    return run
+
+
+def _summed(parts) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (np.concatenate(x) for x in zip(*parts))
+    key, place = np.unique(key, return_inverse=True)
+    return key, np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)
+
+
+def _over(cap: int):
+    """Rows (bucket) of slices' buckets with more than cap."""
+
+    def run(batches):
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist()):
+                x = np.frombuffer(blob, np.int64)
+                part = x[: len(x) // 2], x[len(x) // 2 :]
+                held[k] = _summed([held[k], part]) if k in held else part
+        for key, n in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array(key[n > cap])], ["bucket"])
 
     return run
 
 
+def heavy_prefixes(docs: DataFrame, window: int, prefix: int) -> np.ndarray:
+    """For each bucket of prefixes, whether these are lengthened.  What reaches the driver, and is broadcast, is a bit for each CAP / BUCKETS_EACH suffixes at most."""
+    spark = docs.sparkSession
+    # a word takes two bytes at least, and a window has a new suffix every few words
+    buckets = max(LEAST_BUCKETS, 1 << int(np.ceil(np.log2(max(1, BUCKETS_EACH * _spark.input_bytes(docs) / 8 / CAP)))))
+    counts = _spark.arrow_map(docs.select("id", "chk", "text"), _counting(window, prefix, buckets), "slice int, blob binary").repartition(_spark.parts(spark), "slice")
+    heavy = np.zeros(buckets, bool)
+    heavy[[r["bucket"] for r in _spark.arrow_map(counts, _over(CAP), "bucket long").toLocalIterator()]] = True
+    return heavy
+
+
 def _unpack(blob: bytes, n: int, kinds):
     at, out = 0, []
     for kind in kinds:
@@ -141,14 +220,14 @@ def _runs(ids, chk, start, length):
     return [(int(ids[joined[a]]), int(chk[joined[a]]), pairs[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:])]
 
 
-_REPLY = (("id", "chk", "runs"), (pa.int64(), pa.int32(), pa.binary()))
+_REPLY = (("id", "chk", "runs"), (pa.int64(), pa.int64(), pa.binary()))
 
 
 def _repeats(blobs):
     """Runs of starts whose windows repeat within one group of suffixes."""
     parts = [[], [], [], [], [], [], [], []]
     for n, blob in blobs:
-        fields, at = _unpack(blob, n, (np.uint64, np.int64, np.int32, np.int32, np.uint8, np.uint8))
+        fields, at = _unpack(blob, n, (np.uint64, np.int64, np.int64, np.int32, np.uint16, np.uint8))
         total = int(fields[4].sum(dtype=np.int64))
         (low,), step = _unpack(blob[at:], total, (np.uint32,))
         (high,), _ = _unpack(blob[at + step :], total, (np.uint16,))
@@ -193,7 +272,7 @@ def _reduce(batches):
                     yield from out(_repeats(held))
                 held, now = [], grp
             if kind:
-                (ids, chk, start, count), _ = _unpack(blob, n, (np.int64, np.int32, np.int32, np.uint8))
+                (ids, chk, start, count), _ = _unpack(blob, n, (np.int64, np.int64, np.int32, np.uint16))
                 yield from out(_runs(ids, chk, start.astype(np.int64), count.astype(np.int64)))
             else:
                 held.append((n, blob))
@@ -202,10 +281,13 @@ def _reduce(batches):
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """(id, chk, runs) of texts with repeated windows; docs: id long, chk int, text.  runs: arrays of int32 (first start, number of starts)."""
-    spark = docs.sparkSession
+    """(id, chk, runs) of texts with repeated windows; docs: id long, chk long, text.  runs: arrays of int32 (first start, number of starts)."""
+    if not 0 < window < 1 << 16:
+        raise ValueError("a window has 1 to 65535 words")
+    spark, prefix = docs.sparkSession, min(prefix, window)
+    heavy = heavy_prefixes(docs, window, prefix)
     groups = max(GROUPS_EACH * _spark.parts(spark), _spark.input_bytes(docs) // GROUP_BYTES)
-    sent = _spark.arrow_map(docs.select("id", "chk", "text"), _map(window, min(prefix, window), groups), "grp int, kind int, n int, blob binary")
+    sent = _spark.arrow_map(docs.select("id", "chk", "text"), _map(window, prefix, groups, heavy), "grp int, kind int, n int, blob binary")
     dealt = sent.repartition(max(_spark.parts(spark), groups // GROUPS_EACH), "grp").sortWithinPartitions("grp")
     found = _spark.arrow_map(dealt, _reduce, f"{_HEAD}, runs binary")
     return found.groupBy("id", "chk").agg(F.collect_list("runs").alias("runs"))
@@ -213,7 +295,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
 
 def _keyed(docs: DataFrame, *more) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1)).alias("id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").bitwiseAND(0x7FFFFFFF).cast("int").alias("chk"), text.alias("text"), *more)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1)).alias("id"), F.xxhash64(text).alias("chk"), text.alias("text"), *more)
 
 
 def covered(runs, n_words: int, window: int = WINDOW) -> np.ndarray:
