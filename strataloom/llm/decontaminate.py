@@ -4,10 +4,14 @@ Patterns are the 13-word windows of the benchmark items (an item of fewer words
 is one shorter pattern).  Patterns of one length share a block shift table: the
 last two words under the search position give the number of positions that
 cannot end an occurrence and are skipped; where the shift is 0, the suffix hash
-selects a bucket of test strings, and direct comparison of all the words
-confirms occurrences.  Many text segments are searched in step (one numpy lane
+selects a bucket of test strings, and direct comparison of all the words, byte by
+byte, confirms occurrences.  Many text segments are searched in step (one numpy lane
 each), so skipping stays vectorised; segments keep very long texts balanced.
 
+The benchmark goes out in blocks of at most BLOCK_WORDS words or one item, one pass over the documents for
+each; what a pass found travels with its row, written to the shared folder.  So the
+driver, a broadcast and a worker hold one block at a time.
+
 Defined results: null or word-less text has no hit; items without words and
 items with a null id have no pattern; repeated items with one id count once;
 an empty benchmark leaves every document clean.
@@ -21,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _spark, _text
 
@@ -29,20 +34,23 @@ WINDOW = 13
 PER_WORDS = 20
 _LANE = 256
 _SLOTS = 16
-#: Words of benchmark text in one broadcast block of patterns; a larger benchmark goes in several blocks.
+#: Words of benchmark text in one broadcast block of patterns; a larger benchmark goes in several passes.
 BLOCK_WORDS = 2_000_000
 
 
 class Patterns:
     """Tables of the patterns of one length; items: sorted (pattern, item) pairs."""
 
-    def __init__(self, words: np.ndarray, owner: np.ndarray):
-        self.length = m = words.shape[1]
+    def __init__(self, text: _text.Words, place: np.ndarray, owner: np.ndarray):
+        """place: (patterns, length) words of the items' text."""
+        self.length = m = place.shape[1]
+        words = text.hash[place]
         order = np.lexsort(words.T[::-1])
-        words, owner = words[order], owner[order]
+        words, owner, place = words[order], owner[order], place[order]
         new = np.r_[True, (words[1:] != words[:-1]).any(1)]
         ids = np.cumsum(new) - 1
-        self.words = words[new]
+        self.words, place = words[new], place[new]
+        self.data, self.start, self.size = text.data, text.start[place], (text.end - text.start)[place]
         pairs = np.unique(np.stack([ids, owner], 1), axis=0)
         self.owners, self.owner_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1))
         self.block = min(2, m)
@@ -62,9 +70,9 @@ class Patterns:
     def _key_at(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self._key(h[at], h[at - 1] if self.block == 2 else None)
 
-    def search(self, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences in the texts of words h[first:first+count]: (start, pattern)."""
-        m = self.length
+    def search(self, w: _text.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences in the texts of w: (start, pattern)."""
+        m, h, first, count = self.length, w.hash, w.first, w.count
         lanes = np.maximum(count - m + 1 + _LANE - 1, 0) // _LANE
         text = np.repeat(np.arange(len(first)), lanes)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -85,11 +93,24 @@ class Patterns:
         n = self.bucket_at[key + 1] - self.bucket_at[key]
         pos = np.repeat(at - m + 1, n)
         which = self.bucket[np.repeat(self.bucket_at[key], n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)]
-        for j in range(m):
+        for j in range(m):  # fingerprints first, so that few are left for the bytes
             same = h[pos + j] == self.words[which, j]
             pos, which = pos[same], which[same]
+        for j in range(m):
+            same = self._same_bytes(w, pos + j, which, j)
+            pos, which = pos[same], which[same]
         return pos, which
 
+    def _same_bytes(self, w: _text.Words, word: np.ndarray, which: np.ndarray, j: int) -> np.ndarray:
+        """Whether words of w are, byte by byte, the j-th words of patterns."""
+        size = self.size[which, j]
+        same = (w.end - w.start)[word] == size
+        size = np.where(same, size, 0)
+        stop = np.cumsum(size)
+        inside = np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(stop - size, size)
+        differ = w.data[np.repeat(w.start[word], size) + inside] != self.data[np.repeat(self.start[which, j], size) + inside]
+        return same & (_text.row_sums(differ, np.r_[0, stop]) == 0)
+
 
 def patterns(items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[list[str], list[Patterns]]:
     """Names of the items and the tables of their patterns by length."""
@@ -100,53 +121,98 @@ def patterns(items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple
     for (item, _), first, count in zip(items, w.first, w.count):
         m = min(window, int(count))
         if m:
-            own = np.lib.stride_tricks.sliding_window_view(w.hash[first : first + count], m)
+            own = np.lib.stride_tricks.sliding_window_view(np.arange(first, first + count), m)
             by.setdefault(m, []).append((own, np.full(len(own), number[item])))
-    return names, [Patterns(*(np.concatenate(x) for x in zip(*parts))) for _, parts in sorted(by.items())]
+    return names, [Patterns(w, *(np.concatenate(x) for x in zip(*parts))) for _, parts in sorted(by.items())]
 
 
 def _blocks(benchmark: DataFrame, window: int):
-    """Broadcasts of the benchmark's patterns, each of a bounded number of words."""
-    sc, held, size = benchmark.sparkSession.sparkContext, [], 0
-    out = []
+    """The benchmark's patterns in blocks, one at a time."""
+    held, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     for r in rows.toLocalIterator():
-        held.append((r["item"], r["text"]))
-        size += len(r["text"] or "") // 2
-        if size > BLOCK_WORDS:
-            out.append(sc.broadcast(patterns(held, window)))
+        more = len(r["text"] or "") // 2
+        if held and size + more > BLOCK_WORDS:
+            yield patterns(held, window)
             held, size = [], 0
-    return [*out, sc.broadcast(patterns(held, window))] if held else out
+        held.append((r["item"], r["text"]))
+        size += more
+    yield patterns(held, window)
 
 
-def scan_chunk(column, blocks) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-    """Words, hit words and items of each text; blocks: patterns()."""
+def scan_chunk(column, block, spans=None, items=None) -> tuple[np.ndarray, list[bytes], list[set[str]]]:
+    """Words, spans of hit words (int32 starts and lengths) and items of each text, with those of earlier blocks; block: patterns()."""
     w = _text.Words(column, _text.NON_ALNUM, _text.LOWER)
-    hit = np.zeros(len(w.hash) + 1, np.int32)
-    items: dict[int, set[str]] = {}
-    for names, tables in blocks:
-        for p in tables:
-            start, which = p.search(w.hash, w.first, w.count)
-            np.add.at(hit, start, 1)
-            np.add.at(hit, start + p.length, -1)
-            for row, pattern in np.unique(np.stack([w.row[start], which], 1), axis=0):
-                items.setdefault(int(row), set()).update(names[i] for i in p.owners[p.owner_at[pattern] : p.owner_at[pattern + 1]])
-    n_hit = np.bincount(w.row, weights=np.cumsum(hit[:-1]) > 0, minlength=w.rows()).astype(np.int64)
-    return w.count, n_hit, [items.get(i, set()) for i in range(w.rows())]
+    rows = w.rows()
+    spans = [x or b"" for x in spans] if spans is not None else [b""] * rows
+    items = [set(x or ()) for x in items] if items is not None else [set() for _ in range(rows)]
+    names, tables = block
+    for p in tables:
+        start, which = p.search(w)
+        if not len(start):
+            continue
+        row = w.row[start]
+        for r, pattern in np.unique(np.stack([row, which], 1), axis=0):
+            items[r].update(names[i] for i in p.owners[p.owner_at[pattern] : p.owner_at[pattern + 1]])
+        order = np.lexsort((start, row))
+        start, row = start[order], row[order]
+        new = np.r_[True, (row[1:] != row[:-1]) | (start[1:] > start[:-1] + p.length)]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(start)] - 1
+        pairs = np.stack([start[first] - w.first[row[first]], start[last] - start[first] + p.length], 1).astype(np.int32)
+        for k, r in zip(range(len(first)), row[first].tolist()):
+            spans[r] += pairs[k].tobytes()
+    return w.count, spans, items
+
+
+def hit_words(spans: bytes) -> int:
+    """Words in any of the spans."""
+    pairs = np.frombuffer(spans, np.int32).reshape(-1, 2).astype(np.int64)
+    if len(pairs) < 2:
+        return int(pairs[:, 1].sum())
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(pairs.sum(1))
+    return int((reach - np.maximum(pairs[:, 0], np.r_[0, reach[:-1]])).clip(0).sum())
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, schema, finish) -> DataFrame:
+    """docs (c0, c1, .., text) with what finish(batch, words, spans, items) makes of each batch, after all blocks."""
+    spark = docs.sparkSession
+    carried = T.StructType([*docs.schema.fields, T.StructField("_spans", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))])
+    before, blocks = None, _blocks(benchmark, window)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        held = spark.sparkContext.broadcast(block)
+
+        def run(batches, held=held, more=after is not None):
+            for part in _text.chunks(batches):
+                old = [part.column(c).to_pylist() if c in part.schema.names else None for c in ("_spans", "_items")]
+                n, spans, items = scan_chunk(part.column("text"), held.value, *old)
+                if not more:
+                    yield finish(part, n, spans, items)
+                    continue
+                own = [c for c in part.schema.names if c not in ("_spans", "_items")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(spans, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*own, "_spans", "_items"])
+
+        if after is None:
+            return _spark.arrow_map(docs, run, schema)
+        docs = _spark.written(_spark.arrow_map(docs, run, carried), "scanned")
+        held.destroy()
+        if before is not None:
+            _spark.drop_written(before)
+        before, block = docs, after
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, items) of every whole text; items: sorted array of item ids as strings."""
-    blocks = _blocks(benchmark, window)
 
-    def run(batches):
-        held = [b.value for b in blocks]
-        for part in _text.chunks(batches):
-            n, hit, items = scan_chunk(part.column("text"), held)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
+    def finish(part, n, spans, items):
+        hit = [hit_words(x) for x in spans]
+        return pa.RecordBatch.from_arrays([part.column("c0"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return _spark.arrow_map(rows, run, f"doc_id {_spark.id_type(docs)}, n_words long, n_hit long, items array<string>")
+    rows = docs.select(F.col("doc_id").alias("c0"), F.col("text").cast("string").alias("text"))
+    return _scanned(rows, benchmark, window, f"doc_id {_spark.id_type(docs)}, n_words long, n_hit long, items array<string>", finish)
 
 
 def verdict():
@@ -160,15 +226,16 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    blocks = _blocks(benchmark, WINDOW)
+    others = [c for c in docs.columns if c != "text"]
 
-    def run(batches):
-        held = [b.value for b in blocks]
-        for part in _text.chunks(batches):
-            n, hit, _ = scan_chunk(part.column("text"), held)
-            yield part.filter(pa.array((hit == 0) | (hit * PER_WORDS < n)))
+    def finish(part, n, spans, items):
+        hit = np.array([hit_words(x) for x in spans], np.int64)
+        kept = pa.array((hit == 0) | (hit * PER_WORDS < n))
+        return pa.RecordBatch.from_arrays([*(part.column(f"c{k}") for k in range(len(others))), part.column("text")], [*others, "text"]).filter(kept)
 
-    return _spark.arrow_map(docs, run, docs.schema)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)), F.col("text").cast("string").alias("text"))
+    schema = docs.select(*(f"`{c}`" for c in others), F.col("text").cast("string").alias("text")).schema
+    return _scanned(rows, benchmark, WINDOW, schema, finish).select(*(f"`{c}`" for c in docs.columns))
 
 
 _TOKENS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
