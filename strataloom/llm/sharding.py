@@ -9,8 +9,10 @@ shard's rows into one task, each shard is cut into BUCKETS buckets by the key's
 chain; rows are ranked in their bucket, and the buckets' counts (a table of
 shards x BUCKETS rows, whatever the corpus) give the offsets.
 
-Defined results: a null key counts as 0; equal keys share a shard; fully equal
-rows take adjacent slots in either order; null text has size 1 and crc 0.
+Defined results: a null key counts as 0; keys that are not integers count by their
+64-bit hash; equal keys share a shard; fully equal rows take adjacent slots in either
+order; null text has size 1 and crc 0, and a text of any length only gives its size and
+crc; columns named shard, grown_shard or slot are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -63,14 +65,19 @@ def bucket(key: Column, buckets: int = BUCKETS) -> Column:
 
 def assign(rows: DataFrame, key: str, shards: int = SHARDS, order: tuple[str, ...] = ()) -> DataFrame:
     """rows with shard, grown_shard (with one shard more) and slot; `order` breaks ties of equal keys."""
-    dealt = rows.withColumns({"shard": jump(F.col(key), shards), "grown_shard": jump(F.col(key), shards + 1), "_bucket": bucket(F.col(key))})
-    counts = dealt.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(key, *order))
-    ranked = dealt.withColumn("_rank", rank)
-    out = ranked.join(F.broadcast(offsets), ["shard", "_bucket"])  # shards x BUCKETS rows
-    return out.withColumn("slot", (F.col("_before") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_before", "_rank")
+    integer = rows.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    number = F.col(f"`{key}`").cast("long") if integer else F.xxhash64(F.col(f"`{key}`").cast("string"))
+    number = number if integer else F.when(F.col(f"`{key}`").isNotNull(), number)
+    bucket_, rank_, before_, n_ = (_spark.free(c, rows) for c in ("_bucket", "_rank", "_before", "_n"))
+    dealt = rows.withColumns({"shard": jump(number, shards), "grown_shard": jump(number, shards + 1), bucket_: bucket(number)})
+    counts = dealt.groupBy("shard", bucket_).agg(F.count(F.lit(1)).alias(n_))
+    before = Window.partitionBy("shard").orderBy(bucket_).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", bucket_, F.coalesce(F.sum(n_).over(before), F.lit(0)).alias(before_))
+    rank = F.row_number().over(Window.partitionBy("shard", bucket_).orderBy(*(F.col(f"`{c}`") for c in (key, *order))))
+    ranked = dealt.withColumn(rank_, rank)
+    out = ranked.join(F.broadcast(offsets), ["shard", bucket_])  # shards x BUCKETS rows
+    out = out.withColumn("slot", (F.col(before_) + F.col(rank_) - 1).cast("long"))
+    return out.select(*(f"`{c}`" for c in rows.columns if c not in ("shard", "grown_shard", "slot")), "shard", "grown_shard", "slot")
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:

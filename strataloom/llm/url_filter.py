@@ -4,10 +4,13 @@ Rules on host and path decide first.  What no rule fits is judged by its host:
 personalised PageRank carries trust from hosts whose pages the rules allow along
 the links, and distrust from hosts whose pages they block against them; a host
 with more distrust than trust, and at least THRESHOLD, is blocked.  Scores are in units
-of what a seed without links has.
+of what a seed without links has.  What reaches hosts without onward links returns to the
+seeds; that multiplies all scores of a kind by one number, and the unit by the same, so
+verdicts don't need it, and propagate() does it at the end.
 
 Links are reduced to distinct host pairs before they travel.  The two scores are
-rows of one table, so an iteration is one join and one partial-aggregated sum;
+rows of one table, so an iteration is one join and one partial-aggregated sum; the
+links of a hub are dealt to several tasks;
 every CUT iterations the scores are written to the shared folder.  The iteration
 ends when what is still to come is at most TOLERANCE of what a seed without links has.
 
@@ -65,17 +68,23 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.select(F.col("host").alias("src"), _lower(F.col("dst")).alias("dst")).where("src <> '' AND src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, kind, score): kind 'trust' flows along the edges (src, dst), 'distrust' against them.
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, kind, score): kind 'trust' flows along the edges (src, dst), 'distrust' against them; what reaches hosts without onward links is lost.
 
     seeds: (host, kind, seed), where the seeds of a kind sum to 1.  No score is short by
     more than the tolerance times what the least seed of its kind has without links.
     """
-    ways = []
+    edges = _spark.written(edges, "links")
+    total = edges.count()
+    each = max(1, -(-total // _spark.HEAVY))
+    ways, hubs = [], []
     for kind, a, b in (("trust", "src", "dst"), ("distrust", "dst", "src")):
-        degree = edges.groupBy(a).agg(F.count(F.lit(1)).alias("n"))
-        ways.append(edges.join(degree, a).select(F.col(a).alias("host"), F.lit(kind).alias("kind"), F.col(b).alias("to"), (F.lit(damping) / F.col("n")).alias("part")))
+        degree = _spark.written(edges.groupBy(a).agg(F.count(F.lit(1)).alias("n")), "degrees")
+        salts = F.ceil(F.col("n") / each).cast("int")
+        ways.append(_spark.spread_join(edges, degree, a, "n", total).select(F.col(a).alias("host"), F.lit(kind).alias("kind"), F.pmod(F.xxhash64(b), salts).cast("int").alias("salt"), F.col(b).alias("to"), (F.lit(damping) / F.col("n")).alias("part")))
+        hubs.append(degree.where(F.col("n") > each).select(F.col(a).alias("host"), F.lit(kind).alias("kind"), salts.alias("salts")))
     flows = _spark.written(reduce(DataFrame.unionByName, ways), "flows")
+    hubs = _spark.written(reduce(DataFrame.unionByName, hubs), "hubs")  # 2 * HEAVY rows at most
     seeds = _spark.written(seeds, "seeds")
     base = seeds.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))
     enough = {r["kind"]: tolerance * (1 - damping) * r["least"] for r in seeds.groupBy("kind").agg(F.min("seed").alias("least")).collect()}  # two rows
@@ -85,7 +94,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     old = None
     while enough:
         for _ in range(CUT):
-            moved = scores.join(flows, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("part")).alias("score"), (F.col("last") * F.col("part")).alias("last"))
+            salted = scores.join(F.broadcast(hubs), ["host", "kind"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+            moved = salted.join(flows, ["host", "kind", "salt"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("part")).alias("score"), (F.col("last") * F.col("part")).alias("last"))
             scores = moved.unionByName(base).groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("last").alias("last"))
         scores = _spark.written(scores, "scores")
         if old is not None:
@@ -96,6 +106,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     return scores.drop("last")
 
 
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, kind, score): personalised PageRank of both kinds, each of which sums to 1; see spread()."""
+    scores = spread(edges, seeds, damping, tolerance)
+    sums = scores.groupBy("kind").agg(F.sum("score").alias("all"))  # two rows
+    return scores.join(F.broadcast(sums), "kind").select("host", "kind", (F.col("score") / F.col("all")).alias("score"))
+
+
 def blocked_hosts(judged: DataFrame, edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(host, trust, distrust) of hosts that the method blocks; judged: (host, verdict), null where no rule fits."""
     votes = judged.where("host <> ''").groupBy("host").agg(F.count(F.when(F.col("verdict") == "allow", 1)).alias("a"), F.count(F.when(F.col("verdict") == "block", 1)).alias("b"))
@@ -103,7 +120,7 @@ def blocked_hosts(judged: DataFrame, edges: DataFrame, threshold: float = THRESH
     sides = votes.select("host", F.when(F.col("a") > F.col("b"), "trust").when(F.col("b") > F.col("a"), "distrust").alias("kind")).where("kind is not null")
     sizes = sides.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))  # two rows
     seeds = sides.join(F.broadcast(sizes), "kind").select("host", "kind", (F.lit(1.0) / F.col("n")).alias("seed"))
-    scores = propagate(edges, seeds).join(F.broadcast(sizes), "kind").withColumn("score", F.col("score") * F.col("n") / (1 - DAMPING))
+    scores = spread(edges, seeds).join(F.broadcast(sizes), "kind").withColumn("score", F.col("score") * F.col("n") / (1 - DAMPING))
     wide = scores.groupBy("host").agg(*(F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)), 9).alias(k) for k in ("trust", "distrust")))
     return wide.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold))
 

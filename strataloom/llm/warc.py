@@ -122,9 +122,10 @@ def classify(pages: DataFrame, least: int = 0) -> DataFrame:
     # equal digests have equal html, so any of them will do; copies are folded before they travel
     first = large.groupBy("sha").agg(last, F.first("size").alias("size"), F.first("html").alias("html"))
     responses = first.select("last.page_id", "last.u.url", "sha", "size", "html", none.alias("refers_to"), F.lit("response").alias("kind"))
-    light = large.drop("html").groupBy("sha", "page_id", "url", "size").agg(F.count(F.lit(1)).alias("n"))
-    chosen = large.drop("html").groupBy("sha").agg(last).select("sha", F.col("last.page_id").alias("refers_to"), F.col("last.u.url").alias("its_url"))
-    more = light.join(chosen, "sha").withColumn("n", F.col("n") - (F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("url").eqNullSafe(F.col("its_url"))).cast("long")).where("n > 0")
+    light = _spark.written(large.drop("html").groupBy("sha", "page_id", "url", "size").agg(F.count(F.lit(1)).alias("n")), "payloads")
+    # only what has copies is joined, and the rows of one payload are not put into one task
+    chosen = light.groupBy("sha").agg(last, F.count(F.lit(1)).alias("rows"), F.sum("n").alias("copies")).where("copies > 1").select("sha", "rows", F.col("last.page_id").alias("refers_to"), F.col("last.u.url").alias("its_url"))
+    more = _spark.spread_join(light, _spark.written(chosen, "chosen"), "sha", "rows", light.count()).withColumn("n", F.col("n") - (F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("url").eqNullSafe(F.col("its_url"))).cast("long")).where("n > 0")
     revisits = more.select("page_id", "url", "sha", "size", F.lit(None).cast("binary").alias("html"), "refers_to", F.lit("revisit").alias("kind"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).drop("i")
     out = responses.unionByName(revisits)
     if least > 0:
