@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_lm_score": lm_score.op9_lm_score,
         "op10_url_filter": url_filter.op10_url_filter,
+        "quality_ablation": quality_rules.quality_ablation,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.ORACLE_SQL,
         "op6_sharding": sharding.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
+        "quality_ablation": quality_rules.ABLATION_SQL,
     }

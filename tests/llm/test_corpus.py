@@ -198,9 +198,14 @@ def test_quality_rules(spark, sf_dir):
 
 def test_ledger_policies_and_ablation(docs):
     book = quality_rules.ledger(docs).cache()
-    v1, v2 = (quality_rules.apply_policy(book, v).where("kept").count() for v in (1, 2))
-    assert v1 >= v2 > 0
-    bits = [r.fail_bits & quality_rules.mask(2) for r in book.collect()]
+    v1, v2, v3 = (quality_rules.apply_policy(book, v).where("kept").count() for v in (1, 2, 3))
+    assert v1 >= v3 >= v2 > 0
+    own = ((3, "long", "n_words > 10"), (5, "lines", "n_lines > 3"))
+    other = quality_rules.ledger(docs, rules=own)
+    kept = quality_rules.apply_policy(other, 9, own, {9: ("lines",)})
+    assert all(r.kept == (r.n_lines <= 3) for r in kept.collect())
+    assert {r.rule: r.n_failed for r in quality_rules.ablation(other, 9, own, {9: ("lines",)}).collect()} == {"lines": sum(not r.kept for r in kept.collect())}
+    bits = [r.fail_bits & quality_rules.mask(3) for r in book.collect()]
     for r in quality_rules.ablation(book).collect():
         bit = next(b for b, n, _ in quality_rules.RULES if n == r.rule)
         assert r.n_failed == sum(x >> bit & 1 for x in bits) and r.n_only == sum(x == 1 << bit for x in bits)
@@ -244,12 +249,33 @@ def test_wu_manber_finds_all_lengths(monkeypatch):
     text = " ".join(rng.choice("abc") for _ in range(1500))
     items = [(f"i{n}", " ".join(rng.choice("abc") for _ in range(n))) for n in (1, 2, 3, 4, 5, 6, 13, 14, 20)] + [("own", " ".join(text.split()[700:730]))]
     monkeypatch.setattr(decontaminate, "_LANE", 7)
-    n, hit, found = decontaminate.scan_chunk(pa.array([text, "", None, "a"]), [decontaminate.patterns(items)])
+    n, spans, found = decontaminate.scan_chunk(pa.array([text, "", None, "a"]), decontaminate.patterns(items))
+    hit = [decontaminate.hit_words(x) for x in spans]
     exp = contaminated_by_hand([(0, text), (1, ""), (2, None), (3, "a")], items)
     for i in range(4):
         assert (i, n[i], hit[i], len(found[i]), decontaminate.items_digest(found[i]), bool(hit[i]) and 20 * hit[i] >= n[i]) in exp
 
 
+def test_decontamination_in_passes(spark, sf_dir, monkeypatch):
+    """A block for each item; columns with clashing names stay."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    exp = contaminated_by_hand(ROWS, items)
+    assert by_row(decontaminate.op4_decontamination(spark, sf_dir), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == exp
+    clash = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "1 as c0", "2 as _spans", "3 as items", "4 as `a.b`")
+    got = decontaminate.drop_contaminated(clash, bench)
+    assert got.columns == clash.columns
+    left = collections.Counter(i for i, *_, bad in exp.elements() if not bad)
+    assert collections.Counter(r.doc_id for r in got.collect()) == left
+
+
+def test_occurrences_are_confirmed_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(_text, "mix", lambda h: h * np.uint64(0))  # all fingerprints are equal
+    n, spans, found = decontaminate.scan_chunk(pa.array(["x ab c", "ab d"]), decontaminate.patterns([("one", "ab c"), ("two", "b")]))
+    assert [decontaminate.hit_words(x) for x in spans] == [2, 0] and found == [{"one"}, set()]
+
+
 # ------------------------------------------------------------- 5
 
 
@@ -272,6 +298,37 @@ def test_substring_dedup(docs, size, prefix, monkeypatch):
     assert got == exp
 
 
+def test_substring_dedup_long_windows(docs):
+    got = by_row(substring_dedup.measure(docs, 300), "doc_id", "n_removed")
+    assert got == collections.Counter((i, len(gone)) for i, _, gone in repeats_by_hand(ROWS, 300))
+    with pytest.raises(ValueError):
+        substring_dedup.measure(docs, 1 << 16)
+
+
+def test_substring_dedup_lengthens_common_prefixes(spark, monkeypatch):
+    """One head of 40 words, continued differently by every text: its prefixes are lengthened, and no group holds all of it."""
+    rng = random.Random(9)
+    head = " ".join(f"h{k}" for k in range(40))
+    texts = [head + " " + " ".join(f"{rng.randrange(10**6)}" for _ in range(60)) for _ in range(300)]
+    texts[7] = texts[8]
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    real, sizes = substring_dedup._repeats, {}
+    keyed = substring_dedup._keyed(docs)
+    monkeypatch.setattr(substring_dedup, "LEAST_BUCKETS", 1 << 16)
+    for cap in (1 << 18, 50):
+        monkeypatch.setattr(substring_dedup, "CAP", cap)
+        heavy = substring_dedup.heavy_prefixes(keyed, 35, 12)
+        ids = np.arange(300), np.arange(300)
+        head_, *_, count, _ = substring_dedup._suffixes(*ids, pa.array(texts), 35, 12, heavy)
+        sizes[cap] = np.unique(head_, return_counts=True)[1].max(), heavy.sum(), count.max()
+        got = by_row(substring_dedup.measure(docs), "doc_id", "n_removed")
+        assert got == collections.Counter((i, len(gone)) for i, _, gone in repeats_by_hand(rows, 35))
+    assert sizes[1 << 18][1] == 0 and sizes[50][1] > 0
+    # the six windows inside the head are the same for all; those that leave it are dealt apart
+    assert real is substring_dedup._repeats and sizes[50][2] <= 24
+
+
 def test_remove_repeats(docs):
     clash = docs.selectExpr("*", "doc_id as id", "text as runs", "3 as chk", "4 as `a.b`")
     got = substring_dedup.remove_repeats(clash)
@@ -305,6 +362,15 @@ def test_sharding(spark, sf_dir):
     assert all(r.grown_shard in (r.shard, 8) and r.law == "key" for r in rows)
 
 
+def test_sharding_keeps_columns(spark, docs):
+    clash = docs.selectExpr("doc_id", "1 as _bucket", "2 as _rank", "3 as _before", "text as shard", "4 as `a.b`", "5 as _n")
+    got = sharding.assign(clash, "doc_id", 8, ("shard",))
+    assert got.columns == ["doc_id", "_bucket", "_rank", "_before", "a.b", "_n", "shard", "grown_shard", "slot"]
+    assert {tuple(r)[1:6] for r in got.collect()} == {(1, 2, 3, 4, 5)}
+    named = spark.createDataFrame([("x",), ("y",), (None,), ("12",)], "k string")
+    assert sorted(r.k or "" for r in sharding.assign(named, "k").collect()) == ["", "12", "x", "y"]
+
+
 def test_jump_is_even_and_consistent(spark):
     ids = spark.range(20000).withColumnRenamed("id", "doc_id")
     got = ids.select(sharding.jump(ids.doc_id, 10).alias("a"), sharding.jump(ids.doc_id, 13).alias("b")).toPandas()
@@ -537,16 +603,19 @@ def test_url_filter(spark, sf_dir):
 
 
 def test_propagation_matches_power_iteration(spark):
-    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("d", "a")]
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("d", "a"), ("b", "end")]
     seeds = [("a", "trust", 1.0), ("c", "distrust", 1.0)]
     got = {(r.host, r.kind): r.score for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(seeds, "host string, kind string, seed double")).collect()}
     for kind, start, flow in (("trust", "a", edges), ("distrust", "c", [(b, a) for a, b in edges])):
         score = {start: 1.0}
         for _ in range(url_filter.ITERATIONS):
-            new = collections.defaultdict(float, {start: 1 - url_filter.DAMPING})
+            onward = {a for a, _ in flow}
+            lost = sum(s for h, s in score.items() if h not in onward)  # goes back to the seed
+            new = collections.defaultdict(float, {start: 1 - url_filter.DAMPING + url_filter.DAMPING * lost})
             for a, b in flow:
                 new[b] += url_filter.DAMPING * score.get(a, 0) / sum(x == a for x, _ in flow)
             score = new
+        assert abs(sum(score.values()) - 1) < 1e-9
         for h, s in score.items():
             assert abs(got.get((h, kind), 0.0) - s) < 1e-12
 
@@ -556,7 +625,7 @@ def test_propagation_converges_along_chains(spark):
     ring = [("a", "b"), ("b", "a"), ("a", "h03")]
     edges = spark.createDataFrame(chain + ring, "src string, dst string")
     seeds = spark.createDataFrame([("h00", "distrust", 0.5), ("b", "distrust", 0.5)], "host string, kind string, seed double")
-    got = {r.host: r.score for r in url_filter.propagate(edges, seeds).collect()}
+    got = {r.host: r.score for r in url_filter.spread(edges, seeds).collect()}
     hosts = sorted({h for e in chain + ring for h in e})
     flow = np.zeros((len(hosts), len(hosts)))
     for a, b in chain + ring:  # distrust goes from b to a
