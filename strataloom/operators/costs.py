@@ -1,7 +1,9 @@
 """Similarity costs of report pairs, lower is better; a registry by name.
 
 A cost function takes a Pairing and gives (target_id, ref_id, cost) for the pairs
-that have something in common; every pair that it leaves out has DEFAULT.
+that have something in common; every pair that it leaves out has DEFAULT.  best() gives
+the k best references of each target without a row for each pair; it is the way for many
+references.
 """
 
 from __future__ import annotations
@@ -10,10 +12,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ontology, sets
+from . import blocks, ontology, sets
+from .vectors import top
 
 DEFAULT = 1.0
 
@@ -169,3 +173,111 @@ def cost(name: str, p: Pairing) -> DataFrame:
     if name not in REGISTRY:
         raise NotImplementedError(f"no cost is named {name!r}; there are {sorted(REGISTRY)}")
     return REGISTRY[name](p)
+
+
+def _measured(pairs: DataFrame, key: str, weight: DataFrame | None, n: str, w: str, concepts: str | None = None) -> DataFrame:
+    """(key, n, w), and the concepts as an array: number and weight of each key's concepts."""
+    weighed = pairs.withColumn("weight", F.lit(1)) if weight is None else pairs.join(weight, "concept", "left")
+    more = [F.collect_list("concept").alias(concepts)] if concepts else []
+    return weighed.groupBy(key).agg(F.count(F.lit(1)).alias(n), F.sum(F.coalesce("weight", F.lit(0))).cast("double").alias(w), *more)
+
+
+def _weights(pairs: DataFrame, weight: DataFrame | None) -> DataFrame:
+    """(target_id, concept, w)."""
+    if weight is None:
+        return pairs.select("target_id", "concept", F.lit(1.0).alias("w"))
+    return pairs.join(weight, "concept", "left").select("target_id", "concept", F.coalesce("weight", F.lit(0)).alias("w"))
+
+
+def compared(name: str, p: Pairing, targets: DataFrame | None = None, refs: DataFrame | None = None) -> tuple[blocks.Search, blocks.Formula]:
+    """What a block search sums for the named cost, and the formula (valid, cost) of the sums; targets, refs: further (target_id | ref_id) without concepts."""
+    if name not in REGISTRY or name == "lin":
+        raise NotImplementedError(f"no cost that can be compared in blocks is named {name!r}")
+    none = p.refs.limit(0)
+    neg = p.ref_neg if p.ref_neg is not None else none
+    r = _measured(p.refs, "ref_id", p.weight, "nr", "wr", "pos").join(_measured(neg, "ref_id", p.weight, "nrn", "wrn", "neg"), "ref_id", "full")
+    r = r if refs is None else refs.select("ref_id").distinct().join(r, "ref_id", "left")
+    r = r.select("ref_id", "pos", "neg", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("nr", "wr", "nrn", "wrn")))
+    t_neg = p.target_neg if p.target_neg is not None else p.targets.limit(0)
+    t = _measured(p.targets, "target_id", p.weight, "nt", "wt").join(_measured(t_neg, "target_id", p.weight, "ntn", "wtn"), "target_id", "full")
+    t = t if targets is None else targets.select("target_id").distinct().join(t, "target_id", "left")
+    if p.target_neg is not None and p.weight is not None:
+        t = t.join(_contradictions(p), "target_id", "left")
+    else:
+        t = t.withColumn("wc", F.lit(0.0))
+    t = t.select("target_id", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("nt", "wt", "ntn", "wtn", "wc")))
+    kinds, least = {"own": ("pos", _weights(p.targets, p.weight))}, {}
+    found = p.found.withColumnsRenamed({"root_set": "target_id", "v": "concept"}) if p.found is not None else None
+    if name in ("sym_tversky", "umls_neg") and found is not None:
+        kinds["syn"] = "pos", _weights(found.where("depth > 0 and all_sy"), p.weight)
+    if name == "umls_neg":
+        kinds["negated"] = "neg", _weights(t_neg, p.weight)
+    if name == "depth":
+        kinds = {"near": ("pos", found.where("depth > 0").select("target_id", "concept", F.exp(-p.gamma * (F.col("depth") - 1)).alias("w")))}
+    if name == "umls":
+        deepest = found.agg(F.max("depth")).first()[0] or 0
+        kinds = {f"f{d}": ("pos", _weights(found.where(F.col("depth") == d), p.weight)) for d in range(deepest + 1)}
+        reverse = p.targets.join(p.distances, "concept").where(F.col("depth").between(0, p.max_depth)).join(p.weight, "concept", "left")
+        least = {"far": ("pos", reverse.select("target_id", F.col("concept").alias("own"), F.col("other").alias("concept"), F.col("depth").alias("w"), F.coalesce("weight", F.lit(0)).alias("v")))}
+    alpha, beta, decay, max_depth = p.alpha, p.beta, p.decay, p.max_depth
+
+    def formula(s, t, r):
+        ratio = lambda a, b, other: np.divide(a, b, out=np.broadcast_to(np.asarray(other, np.float64), np.shape(b)).copy(), where=b > 0)
+        if name == "depth":
+            return s["n_near"] > 0, blocks.rounded(1 / (1 + s["near"]))
+        if name == "umls":
+            return _umls(s, r, decay, max_depth)
+        n, w = s["n_own"], s["own"]
+        valid, syn = n > 0, s.get("syn", 0.0)
+        if name == "jac":
+            sim = n / np.maximum(t["nt"] + r["nr"] - n, 1)
+        elif name == "dice":
+            sim = 2 * n / np.maximum(t["nt"] + r["nr"], 1)
+        elif name == "overlap":
+            sim = n / np.maximum(np.minimum(t["nt"], r["nr"]), 1)
+        elif name == "tversky":
+            sim = ratio(w, w + alpha * (r["wr"] - w) + beta * (t["wt"] - w), 0.0)
+        elif name == "sym_tversky":
+            forward, backward = r["wr"] - w - syn, t["wt"] - w
+            sim = ratio(w, w + beta * (alpha * np.minimum(forward, backward) + (1 - alpha) * np.maximum(forward, backward)) + t["wc"], w)
+        else:
+            common, lost = w + syn, s["negated"]
+            sim = alpha * ratio(common, t["wt"] + r["wr"] - w + t["wc"], common) + beta * ratio(lost, t["wtn"] + r["wrn"] - lost + t["wc"], lost)
+            valid = valid | (s["n_negated"] > 0) | (s["n_syn"] > 0 if "n_syn" in s else False)
+        return valid, blocks.rounded(1 - sim)
+
+    return blocks.Search(kinds, t, r, least), formula
+
+
+def _umls(s: dict, r: dict, decay: float, max_depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The formula of umls(); f0, f1, ..: weights by depth; far: the least depth of each target concept."""
+    forward = [s[f"f{d}"] for d in range(sum(c.startswith("f") and c[1:].isdigit() for c in s))]
+    shape = forward[0].shape
+    valid = sum(s[f"n_f{d}"] for d in range(len(forward))) > 0
+    w, seen = forward[0], sum(forward)
+    first = np.flatnonzero(np.r_[True, s["far_of"][1:] != s["far_of"][:-1]]) if len(s["far_of"]) else np.zeros(0, np.int64)
+    levels = []
+    for d in range(1, max(len(forward) - 1, max_depth) + 1):
+        a = forward[d].copy() if d < len(forward) else np.zeros(shape)
+        if d <= max_depth and len(first):
+            a[:, s["far_of"][first]] += np.add.reduceat((s["far"] == d) * s["far_v"], first, axis=1)
+        levels.append(a)
+    m = np.zeros(shape)
+    for d, a in enumerate(levels, 1):
+        m = np.where(a > 0, d - 1, m)
+    added = sum(np.where(d - 1 <= m, np.exp(-decay * (m + 2 - d)) * d * a, 0.0) for d, a in enumerate(levels, 1)) if levels else 0.0
+    den = w + added + 2 * (r["wr"] - seen) * (m + 1)
+    return valid, blocks.rounded(1 - np.divide(w, den, out=np.zeros(shape), where=den != 0))
+
+
+def best(name: str, p: Pairing, k: int) -> DataFrame:
+    """(target_id, ref_id, cost, rank): the k references of least named cost of each target, ties by ref_id, among those that cost() would give."""
+    if name == "lin":
+        return top(cost("lin", p), "target_id", [F.asc("cost"), F.asc("ref_id")], k)
+    what, formula = compared(name, p)
+
+    def columns(s, t, r):
+        valid, value = formula(s, t, r)
+        return valid, {"cost": value}
+
+    return blocks.search(what, columns, ["cost"], k)

@@ -16,10 +16,13 @@ CUT = 4
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that the executors share (an own one where the session has none)."""
+    """df from a checkpoint in the folder that the executors share; only a local session (tests) gets an own one where it is unset."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strataloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strataloom-"))
     return df.checkpoint()
 
 
@@ -83,6 +86,19 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     return seen.withColumn("steps", _steps(F.col("path"))).drop("path")
 
 
+def distances(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """(root, v, depth): bfs() without the tree, from single roots (root)."""
+    one = edges.select("src", F.col("dst").alias("v"))
+    seen = frontier = cut(roots.select("root").distinct().select("root", F.col("root").alias("v"), F.lit(0).alias("depth")))
+    for depth in range(1, max_depth + 1):
+        out = frontier.select("root", F.col("v").alias("src")).join(one, "src").select("root", "v").distinct()
+        frontier = cut(out.join(seen.select("root", "v"), ["root", "v"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def _steps(path: Column) -> Column:
     """The walk from a concept up to its root: 0.5 at a root; an edge of synonym codes alone counts 1 if nothing was counted before it."""
     counted = F.aggregate(path, F.lit(0.0), lambda n, step: F.when(step, n + 1.0).when(n == 0.0, F.lit(1.0)).otherwise(n))

@@ -14,7 +14,11 @@ def leaf_paths(hier: DataFrame) -> DataFrame:
     leaves = nodes.join(hier.select(F.col("parent").alias("node")), "node", "left_anti")
     level = cut(leaves.withColumn("n", F.lit(1).cast("long")))
     every = level
+    left = nodes.count()
     while True:
+        left -= 1
+        if left < -1:
+            raise ValueError("the hierarchy has a cycle")  # no path is longer than there are nodes
         level = cut(level.join(hier, level["node"] == hier["child"]).groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("n")))
         if level.isEmpty():
             break

@@ -70,7 +70,7 @@ def _pick(source: str, n: int, part: str) -> str:
     return f"SELECT * EXCLUDE (r), '{part}' AS part FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_MD5.format(seed=1, key='o_orderkey')}, o_orderkey) AS r FROM {source}) WHERE r <= {n}"
 
 
-_SIZES = (20, 30, 70)
+_SIZES = (vocab.TEST_ROWS, vocab.RETRIEVE_ROWS, vocab.TRAIN_ROWS)
 _THREE = f"""WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders), a AS ({_pick("o", _SIZES[0], "test")}),
 o2 AS (SELECT * FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM a)), b AS ({_pick("o2", _SIZES[1], "retrieve")}),
 o3 AS (SELECT * FROM o2 WHERE o_custkey NOT IN (SELECT o_custkey FROM b)), c AS ({_pick("o3", _SIZES[2], "train")}),
@@ -383,13 +383,14 @@ def edge_relations(spark, d):
     return _edges(spark, d).select("a", "b", F.array_join("rels", ",").alias("rels"))
 
 
-@query(f"WITH {si.edges_sql(False)}, keep AS (SELECT 's' || s_suppkey AS c FROM supplier UNION SELECT 'c' || c_custkey FROM customer), e AS (SELECT a AS c FROM edge UNION ALL SELECT b FROM edge), n AS (SELECT c, count(*) AS degree FROM e GROUP BY 1) SELECT coalesce(keep.c, n.c) AS concept, coalesce(degree, 0) AS degree FROM keep FULL JOIN n ON keep.c = n.c")
+@query(f"WITH {si.edges_sql()}, keep AS (SELECT 's' || s_suppkey AS c FROM supplier UNION SELECT 'c' || c_custkey FROM customer), e AS (SELECT a AS c FROM edge UNION ALL SELECT b FROM edge), n AS (SELECT c, count(*) AS degree FROM e GROUP BY 1) SELECT coalesce(keep.c, n.c) AS concept, coalesce(degree, 0) AS degree FROM keep FULL JOIN n ON keep.c = n.c")
 def vertices_isolated(spark, d):
     keep = table(spark, d, "supplier").select(si.key("s_suppkey", "s").alias("concept")).unionByName(table(spark, d, "customer").select(si.key("c_custkey", "c").alias("concept")))
-    return graph.vertices(_edges(spark, d, False), keep)
+    return graph.vertices(_edges(spark, d), keep)
 
 
-_DEPTH = 3
+#: The depth that the configuration asks for.
+_DEPTH = 10
 _BFS = f"WITH {si.edges_sql()}, {si.ROOTS}, {si.bfs_sql(_DEPTH)}"
 
 
@@ -464,14 +465,14 @@ def edges_dropped(spark, d):
 _REGION = "root AS (SELECT 'r' || r_regionkey AS root_set, 'r' || r_regionkey AS v FROM region)"
 
 
-@query(f"WITH {si.edges_sql()}, {_REGION}, {si.bfs_sql(2)} SELECT DISTINCT root_set, a, b FROM edge JOIN found ON v = a OR v = b")
+@query(f"WITH {si.edges_sql()}, {_REGION}, {si.bfs_sql(_DEPTH)} SELECT DISTINCT root_set, a, b FROM edge JOIN found ON v = a OR v = b")
 def bfs_trim(spark, d):
-    return graph.trimmed(_edges(spark, d), si.roots(spark, d).where("v like 'r%'"), 2)
+    return graph.trimmed(_edges(spark, d), si.roots(spark, d).where("v like 'r%'"), _DEPTH)
 
 
-@query(f"WITH {si.edges_sql()}, {_REGION}, {si.bfs_sql(2)} SELECT x.root_set, src, dst FROM way JOIN found x ON x.v = src JOIN found y ON y.v = dst AND y.root_set = x.root_set WHERE y.depth > x.depth")
+@query(f"WITH {si.edges_sql()}, {_REGION}, {si.bfs_sql(_DEPTH)} SELECT x.root_set, src, dst FROM way JOIN found x ON x.v = src JOIN found y ON y.v = dst AND y.root_set = x.root_set WHERE y.depth > x.depth")
 def level_dag(spark, d):
-    return graph.level_dag(_edges(spark, d), si.roots(spark, d).where("v like 'r%'"), 2)
+    return graph.level_dag(_edges(spark, d), si.roots(spark, d).where("v like 'r%'"), _DEPTH)
 
 
 def _hier_nodes(hier):
@@ -541,8 +542,8 @@ def resnik_bma(spark, d):
 _K = 3
 
 
-def _best(rows: DataFrame) -> DataFrame:
-    return vectors.top(rows, "target_id", [F.asc("cost"), F.asc("ref_id")], _K).select("target_id", "ref_id", "cost", "rank")
+def _best(name: str, pairing: costs.Pairing) -> DataFrame:
+    return costs.best(name, pairing, _K).select("target_id", "ref_id", "cost", "rank")
 
 
 def _top(sql: str) -> str:
@@ -556,14 +557,10 @@ ts AS (SELECT target_id, count(*) AS nt, sum({si.WEIGHT})::DOUBLE AS wt FROM t G
 tns AS (SELECT target_id, sum({si.WEIGHT})::DOUBLE AS wtn FROM tn GROUP BY 1), rns AS (SELECT ref_id, sum({si.WEIGHT})::DOUBLE AS wrn FROM rn GROUP BY 1),
 con AS (SELECT target_id, sum({si.WEIGHT})::DOUBLE AS wc FROM t JOIN tn USING (target_id, concept) GROUP BY 1),
 ovs AS (SELECT * FROM ov JOIN ts USING (target_id) JOIN rs USING (ref_id))"""
-_GRAPH = f", {si.edges_sql(False)}, root AS (SELECT target_id AS root_set, concept AS v FROM t), {si.bfs_sql(2)}, syn AS (SELECT root_set AS target_id, v AS concept FROM found WHERE depth > 0 AND all_sy), so AS (SELECT target_id, ref_id, sum({si.WEIGHT})::DOUBLE AS ws FROM syn JOIN r USING (concept) GROUP BY 1, 2)"
+_GRAPH = f", {si.edges_sql()}, root AS (SELECT target_id AS root_set, concept AS v FROM t), {si.bfs_sql(_DEPTH)}, syn AS (SELECT root_set AS target_id, v AS concept FROM found WHERE depth > 0 AND all_sy), so AS (SELECT target_id, ref_id, sum({si.WEIGHT})::DOUBLE AS ws FROM syn JOIN r USING (concept) GROUP BY 1, 2)"
 
 
-#: The reference's max_expl_depth.
-_REACH = 10
-
-
-def _pairing(spark, d, search: bool = False, depth: int = 2, only: DataFrame | None = None, **more) -> costs.Pairing:
+def _pairing(spark, d, search: bool = False, only: DataFrame | None = None, **more) -> costs.Pairing:
     """Pairs of the targets, or of `only` some (target_id), with their graph search where a cost needs it."""
     pos, neg = mentions.concept_pairs(si.mentions(spark, d))
     t, r = si.split_sets(pos)
@@ -571,28 +568,28 @@ def _pairing(spark, d, search: bool = False, depth: int = 2, only: DataFrame | N
         t = t.join(only, "target_id", "left_semi")
     tn, rn = si.split_sets(neg)
     if search:
-        more["found"] = graph.bfs(graph.both_ways(_edges(spark, d, False)), t.select(F.col("target_id").alias("root_set"), F.col("concept").alias("v")), depth)
+        more["found"] = graph.bfs(graph.both_ways(_edges(spark, d)), t.select(F.col("target_id").alias("root_set"), F.col("concept").alias("v")), _DEPTH)
     return costs.Pairing(t, r, weight=si.weight(pos.unionByName(neg)), target_neg=tn, ref_neg=rn, **more)
 
 
 @query(_OV + _top("SELECT target_id, ref_id, round(1 - n / (nt + nr - n), 6) AS cost FROM ovs"))
 def cost_jaccard(spark, d):
-    return _best(costs.cost("jac", _pairing(spark, d)))
+    return _best("jac", _pairing(spark, d))
 
 
 @query(_OV + _top("SELECT target_id, ref_id, round(1 - 2 * n / (nt + nr), 6) AS cost FROM ovs"))
 def cost_dice(spark, d):
-    return _best(costs.cost("dice", _pairing(spark, d)))
+    return _best("dice", _pairing(spark, d))
 
 
 @query(_OV + _top("SELECT target_id, ref_id, round(1 - n / least(nt, nr), 6) AS cost FROM ovs"))
 def cost_overlap(spark, d):
-    return _best(costs.cost("overlap", _pairing(spark, d)))
+    return _best("overlap", _pairing(spark, d))
 
 
 @query(_OV + _top("SELECT target_id, ref_id, round(1 - coalesce(w / nullif(w + 0.1::DOUBLE * (wr - w) + 0.9::DOUBLE * (wt - w), 0), 0), 6) AS cost FROM ovs"))
 def cost_tversky(spark, d):
-    return _best(costs.cost("tversky", _pairing(spark, d, alpha=0.1, beta=0.9)))
+    return _best("tversky", _pairing(spark, d, alpha=0.1, beta=0.9))
 
 
 _SYM = "SELECT target_id, ref_id, round(1 - CASE WHEN den > 0 THEN w / den ELSE w END, 6) AS cost FROM (SELECT *, w + 0.5::DOUBLE * (least(wr - w - coalesce(ws, 0), wt - w) + greatest(wr - w - coalesce(ws, 0), wt - w)) + coalesce(wc, 0) AS den FROM ovs LEFT JOIN so USING (target_id, ref_id) LEFT JOIN con USING (target_id))"
@@ -600,7 +597,7 @@ _SYM = "SELECT target_id, ref_id, round(1 - CASE WHEN den > 0 THEN w / den ELSE
 
 @query(_OV + _GRAPH + _top(_SYM))
 def cost_sym_tversky(spark, d):
-    return _best(costs.cost("sym_tversky", _pairing(spark, d, search=True)))
+    return _best("sym_tversky", _pairing(spark, d, search=True))
 
 
 _NEG = """SELECT target_id, ref_id, round(1 - (0.5::DOUBLE * CASE WHEN d1 > 0 THEN (w + ws) / d1 ELSE w + ws END + 0.5::DOUBLE * CASE WHEN d2 > 0 THEN wn / d2 ELSE wn END), 6) AS cost FROM (
@@ -612,17 +609,17 @@ SELECT target_id, ref_id, sum(w) AS w, sum(ws) AS ws, sum(wn) AS wn FROM (SELECT
 
 @query(_OV + _GRAPH + _top(_NEG))
 def cost_umls_neg(spark, d):
-    return _best(costs.cost("umls_neg", _pairing(spark, d, search=True, beta=0.5)))
+    return _best("umls_neg", _pairing(spark, d, search=True, beta=0.5))
 
 
 @query(_OV + _GRAPH + _top("SELECT root_set AS target_id, ref_id, round(1 / (1 + sum(exp(-1.0 * (depth - 1)))), 6) AS cost FROM found JOIN r ON concept = v WHERE depth > 0 GROUP BY 1, 2"))
 def cost_depth(spark, d):
-    return _best(costs.cost("depth", _pairing(spark, d, search=True)))
+    return _best("depth", _pairing(spark, d, search=True))
 
 
-_UMLS = f"""{_GRAPH}, single AS (SELECT DISTINCT concept FROM t), n1 AS (SELECT concept, dst AS other, 1 AS depth FROM single JOIN way ON src = concept WHERE dst <> concept),
-n2 AS (SELECT DISTINCT concept, dst AS other, 2 AS depth FROM n1 JOIN way ON src = other WHERE dst <> concept AND NOT EXISTS (SELECT 1 FROM n1 m WHERE m.concept = n1.concept AND m.other = dst)),
-dist AS (SELECT concept, concept AS other, 0 AS depth FROM single UNION ALL SELECT DISTINCT * FROM n1 UNION ALL SELECT * FROM n2),
+_UMLS = f"""{_GRAPH}, single AS (SELECT DISTINCT concept FROM t),
+walk AS (SELECT concept, concept AS other, 0 AS depth FROM single UNION SELECT concept, dst, depth + 1 FROM walk JOIN way ON src = other WHERE depth < {_DEPTH}),
+dist AS MATERIALIZED (SELECT concept, other, min(depth) AS depth FROM walk GROUP BY 1, 2),
 hit AS (SELECT root_set AS target_id, ref_id, concept, depth, {si.WEIGHT}::DOUBLE AS w FROM found JOIN r ON concept = v),
 fw AS (SELECT target_id, ref_id, depth AS d, sum(w) AS f FROM hit WHERE depth > 0 GROUP BY 1, 2, 3),
 rc AS (SELECT target_id, ref_id, sum(CASE WHEN depth = 0 THEN w ELSE 0 END) AS w, sum(w) AS seen FROM hit GROUP BY 1, 2),
@@ -634,17 +631,16 @@ ad AS (SELECT target_id, ref_id, coalesce(m, 0) AS m, sum(CASE WHEN d - 1 <= coa
 um AS (SELECT target_id, ref_id, w, w + coalesce(added, 0) + 2 * (wr - seen) * (coalesce(m, 0) + 1) AS den FROM rc JOIN rs USING (ref_id) LEFT JOIN ad USING (target_id, ref_id))"""
 
 
-@query(_OV + _UMLS + _top("SELECT target_id, ref_id, round(1 - CASE WHEN den = 0 THEN 0 ELSE w / den END, 6) AS cost FROM um"))
+@query(_OV.replace("WITH", "WITH RECURSIVE", 1) + _UMLS + _top("SELECT target_id, ref_id, round(1 - CASE WHEN den = 0 THEN 0 ELSE w / den END, 6) AS cost FROM um"))
 def cost_umls(spark, d):
     p = _pairing(spark, d, search=True)
-    single = p.targets.select(F.col("concept").alias("root_set"), F.col("concept").alias("v")).distinct()
-    far = graph.bfs(graph.both_ways(_edges(spark, d, False)), single, 2).select(F.col("root_set").alias("concept"), F.col("v").alias("other"), "depth")
-    return _best(costs.cost("umls", costs.Pairing(**{**p.__dict__, "distances": far})))
+    far = graph.distances(graph.both_ways(_edges(spark, d)), p.targets.select(F.col("concept").alias("root")), _DEPTH)
+    return _best("umls", costs.Pairing(**{**p.__dict__, "distances": far.select(F.col("root").alias("concept"), F.col("v").alias("other"), "depth")}))
 
 
 @query(_BMA + " " + _top("SELECT target_id, ref_id, round(CASE WHEN x.m + y.m = 0 THEN 1.0 ELSE 1 - 2 * bma / (x.m + y.m) END, 6) + 0.0 AS cost FROM bma JOIN mean x ON x.id = target_id JOIN mean y ON y.id = ref_id"))
 def cost_lin(spark, d):
-    return _best(costs.cost("lin", _part_pairing(spark, d)))
+    return _best("lin", _part_pairing(spark, d))
 
 
 _VEC = f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v),
@@ -667,13 +663,17 @@ def cost_cosine(spark, d):
     return _knn(spark, d, 1).select("query_id", "ref_id", F.round(1 - F.col("score"), 6).alias("cost"))
 
 
+#: Candidates of a mention that linking looks through.
+_CANDIDATES = 128
+
+
 def _typed(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("cui"), F.concat(F.lit("T"), "label").alias("tui"))
 
 
-@query(_VEC + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (rl = 7) DESC, rank) AS p FROM k WHERE rank <= 20) SELECT query_id AS mention, ref_id::VARCHAR AS cui, rank::INTEGER AS rank, rl = 7 AS allowed FROM f WHERE p = 1")
+@query(_VEC + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (rl = 7) DESC, rank) AS p FROM k WHERE rank <= 128) SELECT query_id AS mention, ref_id::VARCHAR AS cui, rank::INTEGER AS rank, rl = 7 AS allowed FROM f WHERE p = 1")
 def link_first_allowed(spark, d):
-    ranked = _knn(spark, d, 20).select(F.col("query_id").alias("mention"), F.lit("Observation").alias("category"), "rank", F.col("ref_id").cast("string").alias("cui"))
+    ranked = _knn(spark, d, _CANDIDATES).select(F.col("query_id").alias("mention"), F.lit("Observation").alias("category"), "rank", F.col("ref_id").cast("string").alias("cui"))
     return mentions.link(ranked, _typed(spark, d), {"Observation": ["T7"]})
 
 
@@ -694,38 +694,42 @@ def acc_table_pivot(spark, d):
     return retrieve.accuracy_table(retrieve.running_accuracy(_hits(spark, d)), list(range(10)))
 
 
-_BUDGETS = [(0, "1-URGENT", 7), (1, "3-MEDIUM", 12), (2, "5-LOW", 4)]
-_SEEDS_SQL = "seed AS (SELECT * FROM (SELECT o_orderpriority AS cls, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS seed_id FROM orders WHERE o_orderkey IN (SELECT DISTINCT report_id FROM pos) AND o_orderkey % 100 = 0) WHERE pos < 5)"
+_BUDGETS = [(k, c, b) for k, (c, b) in enumerate(zip(PRIORITIES, (7, 9, 12, 5, 4)))]
+_SEEDS_SQL = "seed AS (SELECT * FROM (SELECT o_orderpriority AS cls, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS seed_id FROM orders WHERE o_orderkey IN (SELECT DISTINCT report_id FROM pos) AND o_orderkey % 100 = 0))"
 _TURNS = "turn AS (SELECT g.step::INTEGER AS step, cls_no, b.cls, seed_id FROM (VALUES " + ", ".join(map(str, _BUDGETS)) + ") b(cls_no, cls, budget), LATERAL (SELECT unnest(range(0, budget)) AS step) g JOIN (SELECT cls, count(*) AS n FROM seed GROUP BY 1) n ON n.cls = b.cls JOIN seed ON seed.cls = b.cls AND pos = g.step % n.n)"
 
 
-def _turns(spark, d, most: int | None = None):
-    """Turns over all seeds of the classes, or over the first `most` of each."""
+def _turns(spark, d):
+    """Turns over all seeds of the classes."""
     pos, _ = mentions.concept_pairs(si.mentions(spark, d))
     o = table(spark, d, "orders").where(si.is_query("o_orderkey")).join(pos.select(F.col("report_id").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
     rank = F.row_number().over(prep.Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) - 1
     seeds = o.select(F.col("o_orderpriority").alias("cls"), rank.alias("pos"), F.col("o_orderkey").alias("seed_id"))
-    if most is not None:
-        seeds = seeds.where(F.col("pos") < most)
     return retrieve.schedule(spark.createDataFrame(_BUDGETS, "cls_no int, cls string, budget int"), seeds)
 
 
 @query(f"WITH {si.SETS}, {_SEEDS_SQL}, {_TURNS} SELECT * FROM turn")
 def round_robin_schedule(spark, d):
-    return _turns(spark, d, 5)  # as the SQL has it
+    return _turns(spark, d)
 
 
-def _dice(t: DataFrame, r: DataFrame) -> DataFrame:
-    return costs.dice(costs.Pairing(t, r))
-
-
-def _closest(spark, d, keep=None) -> DataFrame:
-    pos, neg = mentions.concept_pairs(si.mentions(spark, d))
-    t, r = si.split_sets(pos)
-    tn, rn = si.split_sets(neg)
+def _nearest(spark, d, metric: str, k: int, search: bool = False, only: DataFrame | None = None, alien=None, **more) -> DataFrame:
+    """The closest reports of all query reports, or of `only` some (target_id)."""
+    p = _pairing(spark, d, search, only)
     all_ = si.reports(spark, d)
     targets = all_.where(si.is_query("report_id")).withColumnRenamed("report_id", "target_id")
-    return retrieve.closest(targets, all_.withColumnRenamed("report_id", "ref_id"), t, tn, r, rn, _K, _dice)
+    t_neg = p.target_neg
+    if only is not None:
+        targets, t_neg = targets.join(only, "target_id", "left_semi"), t_neg.join(only, "target_id", "left_semi")
+    t_pos = p.targets if alien is None else alien(p.targets)
+    pos = costs.Pairing(t_pos, p.refs, weight=p.weight, target_neg=t_neg, ref_neg=p.ref_neg, found=p.found)
+    neg = costs.Pairing(t_neg, p.ref_neg, weight=p.weight)
+    reach = p.found.select(F.col("root_set").alias("target_id"), F.col("v").alias("concept")) if search else None
+    return retrieve.nearest(targets, more.pop("refs", all_.withColumnRenamed("report_id", "ref_id")), pos, neg, metric, k, reach, **more)
+
+
+def _closest(spark, d) -> DataFrame:
+    return _nearest(spark, d, "dice", _K)
 
 
 _CLOSE = f"""{_OV}, tg AS (SELECT o_orderkey AS target_id FROM orders WHERE o_orderkey % {si.QUERY_STEP} = 0), em AS (SELECT o_orderkey AS ref_id FROM orders WHERE o_orderkey NOT IN (SELECT report_id FROM pos)), ng AS (SELECT DISTINCT ref_id FROM rn),
@@ -762,26 +766,61 @@ def topk_neg_only(spark, d):
     return _closest(spark, d).where("branch in ('neg', 'random')")
 
 
-@query()
+#: All pairs with their places in the order of retrieve.nearest(): {positive}, {negated}: costs of pairs; {shares}: pairs that a target reaches; {known}: references that count.
+_PLACES = """tg AS (SELECT o_orderkey AS target_id FROM orders WHERE o_orderkey % 100 = 0), pz AS (SELECT ref_id, count(*) AS size FROM r GROUP BY 1), nz AS (SELECT DISTINCT ref_id FROM rn), hp AS (SELECT DISTINCT target_id FROM ta), hn AS (SELECT DISTINCT target_id FROM tn),
+rf AS (SELECT o_orderkey AS ref_id, coalesce(size, 0) AS size, nz.ref_id IS NOT NULL AS rneg FROM orders LEFT JOIN pz ON pz.ref_id = o_orderkey LEFT JOIN nz ON nz.ref_id = o_orderkey WHERE {known}),
+ft AS (SELECT ref_id, size FROM rf ORDER BY size, ref_id LIMIT 1),
+ins AS (SELECT rf.ref_id FROM rf WHERE size = 0 OR ((SELECT size FROM ft) > 0 AND NOT EXISTS (SELECT 1 FROM r WHERE r.ref_id = rf.ref_id AND r.concept NOT IN (SELECT concept FROM r JOIN ft USING (ref_id))))),
+pcost AS ({positive}), ncost AS ({negated}), sh AS (SELECT DISTINCT target_id, ref_id FROM ({shares}) JOIN r USING (concept) WHERE target_id IN (SELECT target_id FROM hp)),
+x1 AS (SELECT tg.target_id, rf.ref_id, size, rneg, ins.ref_id IS NOT NULL AS inside, hp.target_id IS NOT NULL AS tp, hn.target_id IS NOT NULL AS tneg, sh.ref_id IS NOT NULL AS shares, coalesce(pcost.cost, 1.0)::DOUBLE AS pc, coalesce(ncost.cost, 1.0)::DOUBLE AS nc,
+ ('0x' || substr(md5('1:' || rf.ref_id), 1, 13))::BIGINT / pow(2.0, 52) AS draw
+ FROM tg CROSS JOIN rf LEFT JOIN ins ON ins.ref_id = rf.ref_id LEFT JOIN hp ON hp.target_id = tg.target_id LEFT JOIN hn ON hn.target_id = tg.target_id LEFT JOIN sh ON sh.target_id = tg.target_id AND sh.ref_id = rf.ref_id
+ LEFT JOIN pcost ON pcost.target_id = tg.target_id AND pcost.ref_id = rf.ref_id LEFT JOIN ncost ON ncost.target_id = tg.target_id AND ncost.ref_id = rf.ref_id),
+x2 AS (SELECT *, CASE WHEN tp THEN CASE WHEN shares THEN CASE WHEN rneg OR NOT tneg THEN 0 ELSE 1 END ELSE 2 END WHEN size = 0 THEN CASE WHEN rneg OR NOT tneg THEN 0 ELSE 1 END ELSE 2 END AS tier FROM x1),
+x3 AS (SELECT *, CASE WHEN tier = 2 THEN 1.0 WHEN tp THEN pc WHEN NOT tneg THEN 0.0 ELSE nc END::DOUBLE AS cost, CASE WHEN tp THEN CASE WHEN tneg AND rneg THEN nc ELSE 0.0 END WHEN tier = 2 THEN nc ELSE 0.0 END::DOUBLE AS neg_cost FROM x2),
+x4 AS (SELECT *, CASE WHEN tier = 2 THEN 32 + CASE WHEN NOT tp THEN size WHEN inside THEN 0 ELSE size + 1 END + CASE WHEN tneg AND NOT rneg THEN 0.5 ELSE 0 END ELSE 16 * tier + CASE WHEN tp OR tneg THEN cost ELSE draw END END::DOUBLE AS place FROM x3),
+x5 AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY place, cost, neg_cost, ref_id) AS rank, min(CASE WHEN tier = 2 THEN place ELSE tier END) OVER (PARTITION BY target_id) AS lead FROM x4)"""
+_FIRST = f" SELECT target_id, ref_id, cost, neg_cost, CASE WHEN tp THEN CASE WHEN tier = 2 THEN 'subset' ELSE 'main' END WHEN tier = 2 THEN 'smallest' WHEN tneg THEN 'neg' ELSE 'random' END AS branch, rank::INTEGER AS rank FROM x5 WHERE rank <= {_K} AND CASE WHEN tier = 2 THEN place ELSE tier END = lead AND (tier < 2 OR tp OR tneg)"
+_DICE_NEG = "SELECT target_id, ref_id, round(1 - 2 * count(*) / (any_value(a.n) + any_value(b.n)), 6) AS cost FROM tn JOIN rn USING (concept) JOIN (SELECT target_id, count(*) AS n FROM tn GROUP BY 1) a USING (target_id) JOIN (SELECT ref_id, count(*) AS n FROM rn GROUP BY 1) b USING (ref_id) GROUP BY 1, 2"
+_SYM_NEG = f"SELECT target_id, ref_id, round(1 - CASE WHEN w + 0.5::DOUBLE * (least(wrn - w, wtn - w) + greatest(wrn - w, wtn - w)) > 0 THEN w / (w + 0.5::DOUBLE * (least(wrn - w, wtn - w) + greatest(wrn - w, wtn - w))) ELSE w END, 6) AS cost FROM (SELECT target_id, ref_id, sum({si.WEIGHT})::DOUBLE AS w FROM tn JOIN rn USING (concept) GROUP BY 1, 2) JOIN tns USING (target_id) JOIN rns USING (ref_id)"
+
+
+def _some_alien(t: DataFrame) -> DataFrame:
+    """Every second target has concepts that no reference has."""
+    return t.withColumn("concept", F.when(F.col("target_id") % 200 == 0, F.concat(F.lit("x"), "concept")).otherwise(F.col("concept")))
+
+
+@query(_OV + ", ta AS (SELECT target_id, CASE WHEN target_id % 200 = 0 THEN 'x' || concept ELSE concept END AS concept FROM t), " + _PLACES.format(positive="SELECT target_id, ref_id, round(1 - 2 * n / (nt + nr), 6) AS cost FROM ovs WHERE target_id % 200 <> 0", negated=_DICE_NEG, shares="SELECT * FROM ta", known="coalesce(size, 0) > 0") + _FIRST)
 def topk_fallback(spark, d):
     """Targets with negated concepts alone against references that all have positive ones, and targets that share nothing."""
-    pos, neg = mentions.concept_pairs(si.mentions(spark, d))
-    t, r = si.split_sets(pos)
-    tn, rn = si.split_sets(neg)
-    all_ = si.reports(spark, d)
-    targets = all_.where(si.is_query("report_id")).withColumnRenamed("report_id", "target_id")
-    alien = t.withColumn("concept", F.concat(F.lit("x"), "concept")).where("target_id % 200 = 0").unionByName(t.where("target_id % 200 <> 0"))
-    return retrieve.closest(targets, all_.withColumnRenamed("report_id", "ref_id"), alien, tn, r, rn, _K, _dice, allow_empty=False)
+    return _nearest(spark, d, "dice", _K, alien=_some_alien, allow_empty=False)
+
+
+_DEFAULT = _OV + _GRAPH + ", ta AS (SELECT * FROM t), " + _PLACES.format(positive=_SYM, negated=_SYM_NEG, shares="SELECT root_set AS target_id, v AS concept FROM found", known="true")
+
+
+@query(_DEFAULT + _FIRST)
+def topk_default(spark, d):
+    """The closest reports by the default metric, among all that a report's concepts reach in the graph."""
+    return _nearest(spark, d, "sym_tversky", _K, search=True)
+
+
+_TOTAL = sum(b for _, _, b in _BUDGETS)
 
 
-@query()
+@query(_DEFAULT.replace("WITH", "WITH RECURSIVE", 1) + f", {_SEEDS_SQL}, {_TURNS}" + """, nth AS (SELECT *, row_number() OVER (ORDER BY step, cls_no) AS n FROM turn),
+ls AS (SELECT target_id AS seed_id, ref_id, cost, row_number() OVER (PARTITION BY target_id ORDER BY place, cost, neg_cost, ref_id) AS rk FROM x4 WHERE target_id IN (SELECT seed_id FROM turn) AND ref_id NOT IN (SELECT seed_id FROM turn)),
+lst AS MATERIALIZED (SELECT * FROM ls WHERE rk <= (SELECT count(*) FROM turn)),
+g(n, used, step, cls_no, seed_id, ref_id, cost) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::INTEGER, NULL::INTEGER, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE
+ UNION ALL SELECT nth.n, list_append(any_value(g.used), arg_min(lst.ref_id, rk)), any_value(nth.step), any_value(nth.cls_no), any_value(nth.seed_id), arg_min(lst.ref_id, rk), arg_min(lst.cost, rk)
+ FROM g JOIN nth ON nth.n = g.n + 1 LEFT JOIN lst ON lst.seed_id = nth.seed_id AND NOT list_contains(g.used, lst.ref_id) GROUP BY nth.n)
+SELECT step, cls_no, seed_id, ref_id, cost FROM g WHERE n > 0 AND ref_id IS NOT NULL""")
 def greedy_retrieval(spark, d):
     """Greedy retrieval without replacement over the round-robin turns, by the default metric."""
     turns = _turns(spark, d)
     seeds = turns.select(F.col("seed_id").alias("target_id")).distinct()
-    p = _pairing(spark, d, search=True, depth=_REACH, only=seeds)
-    cost = costs.cost("sym_tversky", p).join(seeds.withColumnRenamed("target_id", "ref_id"), "ref_id", "left_anti")
-    ranked = vectors.top(cost, "target_id", [F.asc("cost"), F.asc("ref_id")], sum(b for _, _, b in _BUDGETS))
+    pool = si.reports(spark, d).withColumnRenamed("report_id", "ref_id").join(seeds.withColumnRenamed("target_id", "ref_id"), "ref_id", "left_anti")
+    ranked = _nearest(spark, d, "sym_tversky", _TOTAL, search=True, only=seeds, refs=pool, spill=True)
     return retrieve.greedy(turns, ranked.select(F.col("target_id").alias("seed_id"), "ref_id", "cost", "rank"))
 
 

@@ -124,13 +124,13 @@ def bfs_sql(depth: int, root: str = "root") -> str:
     """found (root_set, v, depth, pred, all_sy, only_sy, steps, cost), level by level."""
     out = [f"l0 AS (SELECT DISTINCT root_set, v, 0 AS depth, NULL::VARCHAR AS pred, true AS all_sy, true AS only_sy, 0 AS n_true, 0.5::DOUBLE AS steps, 0.0::DOUBLE AS cost FROM {root})", "s0 AS (SELECT * FROM l0)"]
     for k in range(1, depth + 1):
-        out.append(f"""c{k} AS (SELECT l.root_set, w.dst AS v, l.v AS src, l.all_sy AND list_contains(rels, 'SY') AS all_sy, l.only_sy AND list_has_any(rels, ['RL', 'RQ', 'SY']) AS only_sy,
+        out.append(f"""c{k} AS MATERIALIZED (SELECT l.root_set, w.dst AS v, l.v AS src, l.all_sy AND list_contains(rels, 'SY') AS all_sy, l.only_sy AND list_has_any(rels, ['RL', 'RQ', 'SY']) AS only_sy,
  n_true, len(list_filter(rels, lambda x: x NOT IN ('RQ', 'SY'))) > 0 AS step, l.cost + CASE WHEN len(list_filter(rels, lambda x: x NOT IN ('RQ', 'SY'))) = 0 THEN 0.0 WHEN list_contains(rels, 'CHD') THEN 0.5 ELSE 1.0 END AS cost
  FROM l{k - 1} l JOIN way w ON w.src = l.v),
-l{k} AS (SELECT root_set, v, {k} AS depth, src AS pred, all_sy, only_sy, n_true + step::INT AS n_true, (n_true + step::INT + (NOT step)::INT)::DOUBLE AS steps, cost
+l{k} AS MATERIALIZED (SELECT root_set, v, {k} AS depth, src AS pred, all_sy, only_sy, n_true + step::INT AS n_true, (n_true + step::INT + (NOT step)::INT)::DOUBLE AS steps, cost
  FROM (SELECT *, row_number() OVER (PARTITION BY root_set, v ORDER BY src) AS k FROM c{k}) c WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.root_set = c.root_set AND s.v = c.v)),
-s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM l{k})""")
-    return ",\n".join([*out, f"found AS (SELECT * FROM s{depth})"])
+s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM l{k})""")
+    return ",\n".join([*out, f"found AS MATERIALIZED (SELECT * FROM s{depth})"])
 
 
 HIER = """hier AS (SELECT DISTINCT child, parent FROM (SELECT 'p' || p_partkey AS child, 'b' || p_brand AS parent FROM part UNION ALL SELECT 'p' || p_partkey, 't' || p_type FROM part
