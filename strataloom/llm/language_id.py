@@ -2,11 +2,16 @@
 
 One bit-sliced Bloom filter serves all languages: each slot holds a bitmask
 with one bit per language, so ANDing the slots of an n-gram gives all
-languages whose training text contains it.  A text's predicted language has
-the largest popcount over its n-grams after the expected false positives of
-that language's slice are taken off.
+languages whose training text contains it, which means: at least twice, and with at
+least MIN_SHARE of that language's n-grams (a text in the wrong language, or a
+foreign name, would otherwise make its n-grams part of every language, once there is enough text).
+A text's predicted language has the largest popcount over its n-grams after the
+expected false positives of that language's slice are taken off.
 
-Defined results: null text, empty text or text without a letter gives `und`
+The filter is made by the executors: what reaches the driver are its slots, and one row a language.
+
+Defined results: rows are judged one by one, so repeated rows are equal; a text of
+any length is judged whole; null text, empty text or text without a letter gives `und`
 with score 0; without any labelled text every prediction is `und`; equal
 counts go to the language with more training n-grams, then by name.
 """
@@ -25,10 +30,8 @@ from . import _spark, _text
 #: Bytes in an n-gram.
 GRAM = 4
 #: An n-gram enters a language's slice from this share of that language's n-grams
-#: (so a slice holds 1 / MIN_SHARE n-grams at most, whatever the corpus) ...
+#: (so a slice holds 1 / MIN_SHARE n-grams at most, whatever the corpus).
 MIN_SHARE = 5e-6
-#: ... and this part of its largest share in any language.
-MIN_RATIO = 0.5
 #: Slots of the filter and hashes per n-gram.
 SLOT_BITS, HASHES = 20, 2
 
@@ -93,33 +96,34 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([lang[part], pa.array((keys[part] & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n[part].astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(labelled: DataFrame, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO, slot_bits: int = SLOT_BITS, hashes: int = HASHES) -> Filter:
-    """The filter of all rows (text, lang) with a non-null lang.  What reaches the driver is bounded: 1 / min_share n-grams a language."""
+def train(labelled: DataFrame, min_share: float = MIN_SHARE, slot_bits: int = SLOT_BITS, hashes: int = HASHES) -> Filter:
+    """The filter of all rows (text, lang) with a non-null lang."""
+    spark = labelled.sparkSession
     rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = _spark.written(_spark.arrow_map(rows, _counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
     totals = sorted(((r["lang"], r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()), key=lambda x: (-x[1], x[0]))
     languages = [x for x, _ in totals]
-    kept = {}
-    for lang, total in totals:
-        got = counts.where((F.col("lang") == lang) & (F.col("n") >= max(2, min_share * total))).select("gram", "n").toPandas()
-        kept[lang] = (got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.float64) / total)
-    _spark.drop_written(counts)
     slots = np.zeros((max(1, -(-len(languages) // 64)), 1 << slot_bits), np.uint64)
     if languages:
-        every = np.unique(np.concatenate([g for g, _ in kept.values()]))
-        most = np.zeros(len(every))
-        for g, share in kept.values():
-            at = np.searchsorted(every, g)
-            most[at] = np.maximum(most[at], share)
-    for k, lang in enumerate(languages):
-        g, share = kept[lang]
-        g = g[share >= min_ratio * most[np.searchsorted(every, g)]]
-        for at in _positions(g.astype(np.uint64), slot_bits, hashes):
-            slots[k // 64, at] |= np.uint64(1) << np.uint64(k % 64)
+        # a row a language
+        index = spark.createDataFrame([(x, k, float(max(2, min_share * n))) for k, (x, n) in enumerate(totals)], "lang string, k int, least double")
+        kept = counts.join(F.broadcast(index), "lang").where("n >= least").select("k", "gram")
+        masks = _spark.arrow_map(kept, lambda b: _masks(b, slot_bits, hashes), "word int, slot int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+        slots[masks["word"].to_numpy(), masks["slot"].to_numpy()] = masks["mask"].to_numpy(np.int64).view(np.uint64)
+    _spark.drop_written(counts)
     fill = [float(((slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(languages))]
     return Filter(languages, slots, np.array(fill) ** hashes)
 
 
+def _masks(batches, slot_bits: int, hashes: int):
+    """(word, slot, mask): language bits of the slots of n-grams; rows (k, gram)."""
+    for batch in batches:
+        k = np.asarray(batch.column("k"), np.int64)
+        mask = (np.uint64(1) << (k % 64).astype(np.uint64)).view(np.int64)
+        for at in _positions(np.asarray(batch.column("gram"), np.int64).astype(np.uint64), slot_bits, hashes):
+            yield pa.RecordBatch.from_arrays([pa.array(k // 64, pa.int32()), pa.array(at, pa.int32()), pa.array(mask)], ["word", "slot", "mask"])
+
+
 def _positions(gram: np.ndarray, slot_bits: int, hashes: int):
     h = _text.mix(gram.astype(np.uint64) + np.uint64(0x51ED270B9F652295))
     return [((h >> np.uint64(64 - slot_bits * (j + 1))) & np.uint64((1 << slot_bits) - 1)).astype(np.int64) for j in range(hashes)]
