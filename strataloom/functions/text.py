@@ -103,3 +103,9 @@ def rewritten_path(path: Column, base: str, suffix: str = ".jpg") -> Column:
 
 def json_of(mention: Column) -> Column:
     return F.to_json(mention)
+
+
+def trainer_path(path: Column, base: str, suffix: str = ".jpg") -> Column:
+    """base/path with its last four characters replaced; an absolute path stands for itself."""
+    joined = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path))
+    return F.concat(F.substring(joined, F.lit(1), F.greatest(F.length(joined) - 4, F.lit(0))), F.lit(suffix))

@@ -6,23 +6,18 @@ array of relation codes.  A search runs for all root sets in one loop of joins.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workers import shared_folder
+
 #: Levels after which the search's tables are cut from their lineage.
 CUT = 4
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that the executors share; only a local session (tests) gets an own one where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strataloom-"))
+    """df from a checkpoint in the folder that the executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

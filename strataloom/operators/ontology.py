@@ -84,3 +84,17 @@ def lin_cost(pairs: DataFrame, targets: DataFrame, refs: DataFrame, closure: Dat
     den = F.col("mt") + F.col("mr")
     cost = F.when(F.col("mt").isNull() & F.col("mr").isNull(), 0.0).when(F.col("mt").isNull() | F.col("mr").isNull(), 1.0).when(den == 0, 1.0).otherwise(1 - F.try_divide(2 * F.col("bma"), den))
     return got.select("target_id", "ref_id", cost.alias("cost"))
+
+
+def kept(hier: DataFrame, keep: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """The hierarchy up to max_depth levels above the kept nodes (node), and the kept nodes that have no edge there (node)."""
+    level, edges = keep.select("node").distinct(), None
+    for _ in range(max_depth):
+        up = cut(level.join(hier, level["node"] == hier["child"]).select("child", "parent").distinct())
+        if up.isEmpty():
+            break
+        edges = up if edges is None else edges.unionByName(up)
+        level = up.select(F.col("parent").alias("node")).distinct()
+    edges = hier.limit(0).select("child", "parent") if edges is None else cut(edges.distinct())
+    inside = edges.select(F.col("child").alias("node")).union(edges.select("parent"))
+    return edges, keep.select("node").distinct().join(inside, "node", "left_anti")

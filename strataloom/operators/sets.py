@@ -40,3 +40,8 @@ def overlaps(targets: DataFrame, refs: DataFrame, weight: DataFrame | None = Non
 
 def sizes(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.count(F.lit(1)).cast("long").alias("size"))
+
+
+def important(pairs: DataFrame, weight: DataFrame) -> DataFrame:
+    """The pairs whose concept has a weight over 0; weight: (concept, weight)."""
+    return pairs.join(weight.where("weight > 0").select("concept"), "concept", "left_semi")

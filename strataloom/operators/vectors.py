@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the vectors takes.
-QUERY_BLOCK = 4096
+#: Queries that one pass over the vectors takes, and vectors that it compares at once.
+QUERY_BLOCK, STEP = 1024, 1024
 
 
 def norm(v: Column) -> Column:
@@ -35,11 +35,14 @@ def mean_pool(tokens: Column, mask: Column, size: int) -> Column:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """(query_id, ref_id, score, rank): the k largest cosine similarities of each query, ties by ref_id.
 
-    queries, vectors: (id, embedding).  Queries go out in blocks of QUERY_BLOCK (a
+    queries, vectors: (id, embedding), ids of numbers or text.  Queries go out in blocks of QUERY_BLOCK (a
     bounded broadcast); each partition of vectors keeps its own k best of a query,
     so what is shuffled is k rows a query and partition.
     """
     spark = queries.sparkSession
+    kind = "long" if vectors.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string"
+    schema = f"query_id {kind}, ref_id {kind}, score double"
+    plain = lambda x: x.astype(str) if x.dtype == object else x
     found, block = None, []
 
     def scan(block):
@@ -51,35 +54,75 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = Tru
         def run(batches):
             ids, q = held.value
             best_s = np.full((len(ids), 0), -np.inf)
-            best_i = np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ref = np.asarray(batch.column("id"))
+            best_i = np.zeros((len(ids), 0), ids.dtype)
+            parts = (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP))
+            for batch in parts:
+                ref = plain(np.asarray(batch.column("id")))
                 x = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(batch.num_rows, -1)
                 n = np.linalg.norm(x, axis=1, keepdims=True)
                 s = np.round(q @ np.divide(x, n, out=x.copy(), where=n > 0).T, 6)
                 if exclude_self:
                     s[ids[:, None] == ref[None, :]] = -np.inf
+                if best_s.shape[1] == k:  # only what reaches the k-th best so far can enter
+                    some = np.flatnonzero((s >= best_s[:, -1:]).any(0))
+                    s, ref = s[:, some], ref[some]
                 s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ref, s.shape)], 1)
                 order = np.lexsort((i, -s), axis=1)[:, :k]
                 best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
             row, col = np.nonzero(best_s > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row].astype(np.int64)), pa.array(best_i[row, col]), pa.array(best_s[row, col])], ["query_id", "ref_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_i[row, col]), pa.array(best_s[row, col])], ["query_id", "ref_id", "score"])
 
-        return vectors.select(F.col("id").cast("long").alias("id"), "embedding").where("embedding is not null").mapInArrow(run, "query_id long, ref_id long, score double")
+        return vectors.select(F.col("id").cast(kind).alias("id"), "embedding").where("embedding is not null").mapInArrow(run, schema)
 
-    for r in queries.select(F.col("id").cast("long").alias("id"), "embedding").where("embedding is not null").toLocalIterator():
+    for r in queries.select(F.col("id").cast(kind).alias("id"), "embedding").where("embedding is not null").toLocalIterator():
         block.append(r)
         if len(block) == QUERY_BLOCK:
             found, block = scan(block) if found is None else found.unionByName(scan(block)), []
     if block:
         found = scan(block) if found is None else found.unionByName(scan(block))
     if found is None:
-        return spark.createDataFrame([], "query_id long, ref_id long, score double, rank int")
+        return spark.createDataFrame([], schema + ", rank int")
     return top(found, "query_id", [F.desc("score"), F.asc("ref_id")], k)
 
 
 def top(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     """The k first rows of each key, with rank; Spark keeps k rows a key and task before it shuffles."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def hashed(text: Column, size: int = 64) -> Column:
+    """A bag of lower-case words as a vector: counts by hash.  It stands where no text encoder is plugged in."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    place = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % size)
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("double"))
+
+
+def embedded(texts: DataFrame, encode=None) -> DataFrame:
+    """(id, embedding) of (id, text): unit vectors by the encoder, a function from (id, text) to (id, embedding) rows; by default, hashed words."""
+    got = texts.select("id", hashed(F.col("text")).alias("embedding")) if encode is None else encode(texts)
+    return got.select("id", unit(F.col("embedding")).alias("embedding"))
+
+
+def save_index(vectors: DataFrame, path: str) -> None:
+    """Writes (id, embedding) as a Parquet table, which is the index: the search is exact."""
+    vectors.select("id", "embedding").write.mode("overwrite").parquet(path)
+
+
+def load_index(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def index_exists(spark, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def remove_ids(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index without the ids (id)."""
+    return index.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def synonym_index(names: DataFrame, encode=None) -> tuple[DataFrame, DataFrame]:
+    """The index of all names of concepts, one vector for each name, and the map (id, cui) of its ids; names: (cui, name)."""
+    rows = names.select("cui", "name").distinct().withColumn("id", F.xxhash64("cui", "name"))
+    return embedded(rows.select("id", F.col("name").alias("text")), encode), rows.select("id", "cui")

@@ -1,4 +1,4 @@
-"""Gives the executors this package: they need not have it installed."""
+"""What operators share with the executors: a folder, and this package, which they need not have installed."""
 
 from __future__ import annotations
 
@@ -9,6 +9,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session (tests) gets a folder of its own where it is unset."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="strataloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package's code, once a session; functions that run in Python on executors need it."""
     sc = spark.sparkContext

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import vocab
 
+# Columns of study tables that hold text, and numbers.
 _TEXT = ("dicom_id", "PerformedProcedureStepDescription", "ViewPosition", "ProcedureCodeSequence_CodeMeaning", "ViewCodeSequence_CodeMeaning", "PatientOrientationCodeSequence_CodeMeaning", "p", "path", "split", "report_path", "impression", "Finding Label", "Finding Labels")
 _NUMBER = ("subject_id", "study_id", "Rows", "Columns", "StudyDate", "StudyTime", *vocab.CLASSES, "Pleural Other", "Support Devices")
 #: Types of the columns of a study table; others are text.
@@ -31,6 +32,19 @@ class Config:
     path_column: str = "path"
     image_base_path: str = ""
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Config:
+        """From a YAML file of plain `key: value` lines, in sections or not; other keys are ignored."""
+        names = {"cost_function": "metric", "max_expl_depth": "max_depth", "image_path_column": "path_column"}
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        values = {}
+        for line in "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect()).splitlines():  # one small file
+            key, _, value = line.partition("#")[0].partition(":")
+            name, value = names.get(key.strip(), key.strip()), value.strip().strip("\"'")
+            if name in kinds and value:
+                values[name] = value.lower() == "true" if kinds[name] is bool else kinds[name](value)
+        return cls(**values)
+
     @classmethod
     def of(cls, values: dict) -> Config:
         known = {f.name for f in fields(cls)}
@@ -55,6 +69,7 @@ def study_table(spark: SparkSession, path: str | None = None, df: DataFrame | No
     return got.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c, t in got.dtypes if t == "double"})
 
 
+# Columns of the published ontology files.
 RRF = {
     "MRCONSO": ["CUI", "LAT", "TS", "LUI", "STT", "SUI", "ISPREF", "AUI", "SAUI", "SCUI", "SDUI", "SAB", "TTY", "CODE", "STR", "SRL", "SUPPRESS", "CVF"],
     "MRSTY": ["CUI", "TUI", "STN", "STY", "ATUI", "CVF"],
@@ -91,8 +106,8 @@ def definitions(mrdef: DataFrame, order: str = "line") -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Adds `line`, which grows in the order of a file's lines."""
-    return rows.withColumn("line", F.monotonically_increasing_id())
+    """Adds `line`, which grows in the order of a file's lines, and of files by path; rows: as a reader of files gives them."""
+    return rows.withColumn("line", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
 
 
 def parent_relations(mrrel: DataFrame, types: DataFrame, allowed=vocab.PARENT_TYPES) -> DataFrame:
@@ -128,6 +143,11 @@ def cached(spark: SparkSession, path: str, make, key: str = "report_id", texts:
     return spark.read.parquet(path).join(texts.select(key, F.xxhash64("text").alias("text_hash")), [key, "text_hash"], "left_semi").drop("text_hash")
 
 
+def resolve_ids(rows: DataFrame, id_map: DataFrame, column: str = "id") -> DataFrame:
+    """rows with the concept of a vector id; id_map: (id, cui)."""
+    return rows.join(id_map.select(F.col("id").alias(column), "cui"), column, "left")
+
+
 def output_name(prefix: str, config: Config, classes: list[str] | None = None, model: str = "", suffix: str = "") -> str:
     """File stem from the parameters of a run."""
     parts = [prefix, config.metric, f"a{config.alpha:g}", f"b{config.beta:g}", model, "-".join(c.replace(" ", "") for c in classes or []), suffix]
