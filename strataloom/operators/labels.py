@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from ..functions import text, vocab
 
 
-def _names(labels: list[str]) -> Column:
-    return F.array(*(F.struct(F.lit(k).alias("pos"), F.lit(x).alias("label")) for k, x in enumerate(labels)))
-
-
 def _has(name: Column, label: Column) -> Column:
     return F.coalesce(F.contains(F.lower(name), F.lower(label)), F.lit(False))
 
 
 def direct(mentions: DataFrame, names: DataFrame, labels: list[str] = vocab.LABELS) -> DataFrame:
-    """(report_id, seq, assertion, label, score): the best label in the names of a mention's two concepts; the earlier label wins ties."""
-    by = lambda c, out: names.select(F.col("cui").alias(c), F.col("name").alias(out))
+    """(report_id, seq, assertion, label, score): the best label in the names of a mention's two concepts; the earlier label wins ties.
+
+    Names are searched once each: the first label in a name is the one that can win with its score.
+    """
+    first = F.coalesce(*(F.when(_has(F.col("name"), F.lit(x)), k) for k, x in enumerate(labels)))
+    known = names.select("cui", first.alias("_first"))
+    by = lambda c, out: known.select(F.col("cui").alias(c), F.col("_first").alias(out))
     named = mentions.join(by("cui", "_surface"), "cui", "left").join(by("cui_text", "_text"), "cui_text", "left")
-    scored = F.transform(_names(labels), lambda x: F.struct(F.greatest(F.when(_has(F.col("_text"), x["label"]), F.col("score_text")).otherwise(0.0), F.when(_has(F.col("_surface"), x["label"]), F.col("score_surface")).otherwise(0.0)).alias("score"), (-x["pos"]).alias("first"), x["label"].alias("label")))
-    best = F.array_max(scored)
-    return named.withColumn("_b", best).where("_b.score > 0").select("report_id", "seq", "assertion", F.col("_b.label").alias("label"), F.col("_b.score").alias("score"))
+    a, b = (F.when(F.col(c).isNotNull(), F.coalesce(s, F.lit(0.0))).otherwise(0.0) for c, s in (("_text", "score_text"), ("_surface", "score_surface")))
+    named = named.withColumns({"_a": a, "_b": b})
+    place = F.when(F.col("_a") > F.col("_b"), F.col("_text")).when(F.col("_b") > F.col("_a"), F.col("_surface")).otherwise(F.least("_text", "_surface"))
+    label = F.get(F.array(*map(F.lit, labels)), place)
+    return named.withColumn("score", F.greatest("_a", "_b")).where("score > 0").select("report_id", "seq", "assertion", label.alias("label"), "score")
 
 
 def broader(mentions: DataFrame, found: DataFrame, parents: DataFrame, names: DataFrame, labels: list[str] = vocab.LABELS) -> DataFrame:
@@ -50,10 +53,10 @@ def report_labels(reports: DataFrame, mentions: DataFrame, names: DataFrame, par
 def label_table(found: DataFrame, labels: list[str], use_uncertain: bool = False) -> DataFrame:
     """(report_id, finding_labels, one code column per label): 1 present, 0 absent, -1 uncertain, null otherwise."""
     coded = found.withColumn("code", text.assertion_code(F.col("assertion")))
-    wide = coded.groupBy("report_id").pivot("label", labels).agg(F.max("code"))
     kept = F.col("code") != 0 if use_uncertain else F.col("code") == 1
-    joined = coded.groupBy("report_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(kept, F.col("label")))), "|").alias("s"))
-    return joined.select("report_id", F.when(F.col("s") == "", "No Finding").otherwise(F.col("s")).alias("finding_labels")).join(wide, "report_id")
+    codes = [F.max(F.when(F.col("label") == x, F.col("code"))).alias(x) for x in labels]
+    wide = coded.groupBy("report_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(kept, F.col("label")))), "|").alias("_s"), *codes)
+    return wide.select("report_id", F.when(F.col("_s") == "", "No Finding").otherwise(F.col("_s")).alias("finding_labels"), *(F.col(f"`{x}`") for x in labels))
 
 
 def label_concepts(mentions: DataFrame, names: DataFrame, types: DataFrame, seeds: DataFrame, label_names: dict[str, str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .graph import cut
 
 
 def named(df: DataFrame, column: str | int) -> str:
@@ -73,7 +74,7 @@ def three_way(df: DataFrame, by: str, key: str, subject: str, sizes: tuple[int,
     """df's rows of three subject-disjoint, class-balanced splits, as `part`: test, then retrieve, then train."""
     parts, rest = [], df
     for name, n in zip(("test", "retrieve", "train"), sizes):
-        got = stratified(rest, by, key, n, seed)
+        got = cut(stratified(rest, by, key, n, seed))  # or each split would plan the ones before anew
         parts.append(got.withColumn("part", F.lit(name)))
         rest = without_subjects(rest, got, subject)
     return reduce(DataFrame.unionByName, parts)
@@ -90,8 +91,11 @@ def shared_subjects(parts: DataFrame, subject: str) -> DataFrame:
 
 def picks(df: DataFrame, by: str, order: list[str], wanted: DataFrame) -> DataFrame:
     """Rows at given 0-based ordinals of their class; wanted: (by, ordinal)."""
-    at = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return df.withColumn("ordinal", at.cast("int")).join(F.broadcast(wanted), [by, "ordinal"], "left_semi")
+    most = wanted.agg(F.max("ordinal")).first()[0]
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    # the limit lets Spark keep few rows a class and task before it shuffles
+    first = df.withColumn("_rank", rank).where(F.col("_rank") <= (-1 if most is None else most) + 1)
+    return first.withColumn("ordinal", (F.col("_rank") - 1).cast("int")).drop("_rank").join(F.broadcast(wanted), [by, "ordinal"], "left_semi")
 
 
 def candidate_pool(df: DataFrame, used: list[DataFrame], key: str, label: str, classes: list[str]) -> DataFrame:
@@ -107,7 +111,7 @@ def histogram(df: DataFrame, flags: list[str]) -> DataFrame:
     return sums.select(F.inline(F.array(*(F.struct(F.lit(c).alias("cls"), F.col(f"`{c}`").alias("n")) for c in flags))))
 
 
-def fraction(df: DataFrame, key: str, share: float = 0.8, seed=42, parts: int = 64) -> DataFrame:
+def fraction(df: DataFrame, key: str, share: float = 0.8, seed=42) -> DataFrame:
     """df with `fold`: exactly floor(share * n) rows are 'train', the rest 'val'.
 
     Rows are dealt into ranges of the order's first byte and ranked there, so no task holds all rows.

@@ -32,6 +32,15 @@ def mean_pool(tokens: Column, mask: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(kept, F.lit(0.0), lambda s, x: s + F.get(x["v"], i).cast("double")) / count)
 
 
+def mean_by(rows: DataFrame, by: str, vector: str, mask: Column, size: int) -> DataFrame:
+    """(by, mean): mean of the vectors of each key whose mask is true, position by position, so that no task holds a key's vectors; the count is at least 1e-9."""
+    kept = F.coalesce(mask, F.lit(False)) & F.col(vector).isNotNull()
+    sums = [F.sum(F.when(kept, F.get(F.col(vector), k).cast("double")).otherwise(0.0)).alias(f"_s{k}") for k in range(size)]
+    got = rows.groupBy(by).agg(F.sum(kept.cast("long")).alias("_n"), *sums)
+    count = F.greatest(F.col("_n").cast("double"), F.lit(1e-9))
+    return got.select(by, F.array(*(F.col(f"_s{k}") / count for k in range(size))).alias("mean"))
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """(query_id, ref_id, score, rank): the k largest cosine similarities of each query, ties by ref_id.
 

@@ -854,9 +854,8 @@ def accuracy(spark, d):
 
 @query("SELECT label, " + ", ".join(f"round(avg(embedding[{k + 1}]::DOUBLE) FILTER (WHERE vec_id % 3 <> 0), 6) AS e{k}" for k in range(4)) + " FROM embeddings GROUP BY 1")
 def masked_mean_pool(spark, d):
-    v = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))
-    pooled = vectors.mean_pool(F.transform("t", lambda x: x["embedding"]), F.transform("t", lambda x: F.when(x["vec_id"] % 3 != 0, 1).otherwise(0)), 4)
-    return v.select("label", *(F.round(F.get(pooled, k), 6).alias(f"e{k}") for k in range(4)))
+    got = vectors.mean_by(table(spark, d, "embeddings"), "label", "embedding", F.col("vec_id") % 3 != 0, 4)
+    return got.select("label", *(F.round(F.get("mean", k), 6).alias(f"e{k}") for k in range(4)))
 
 
 @query("SELECT l_orderkey AS image, l_returnflag AS class, round(avg(l_discount), 6) AS score FROM lineitem GROUP BY 1, 2")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataloom import sources
 from strataloom.functions import text, vocab
-from strataloom.operators import costs, evaluate, graph, labels, mentions, ontology, prep, retrieve, sets, vectors
+from strataloom.operators import blocks, costs, evaluate, graph, labels, mentions, ontology, prep, retrieve, sets, vectors
 from strataloom.streaming import each_batch
 
 
@@ -382,10 +382,15 @@ def test_costs_are_bounded_and_symmetric(spark):
 # ------------------------------------------------------------- retrieval
 
 
-def closest(spark, t_pos, t_neg, r_pos, r_neg, k=2, **more):
+def closest(spark, t_pos, t_neg, r_pos, r_neg, k=2, how="rows", **more):
     frame = lambda s, key: pairs(spark, s, key) if any(s.values()) else spark.createDataFrame([], f"{key} string, concept string")
     ids = lambda a, b, key: spark.createDataFrame([(x,) for x in sorted({*a, *b})], f"{key} string")
-    got = retrieve.closest(ids(t_pos, t_neg, "target_id"), ids(r_pos, r_neg, "ref_id"), frame(t_pos, "target_id"), frame(t_neg, "target_id"), frame(r_pos, "ref_id"), frame(r_neg, "ref_id"), k, lambda a, b: costs.dice(costs.Pairing(a, b)), **more)
+    targets, refs = ids(t_pos, t_neg, "target_id"), ids(r_pos, r_neg, "ref_id")
+    four = [frame(t_pos, "target_id"), frame(t_neg, "target_id"), frame(r_pos, "ref_id"), frame(r_neg, "ref_id")]
+    if how == "rows":
+        got = retrieve.closest(targets, refs, *four, k, lambda a, b: costs.dice(costs.Pairing(a, b)), **more)
+    else:
+        got = retrieve.nearest(targets, refs, costs.Pairing(four[0], four[2], target_neg=four[1], ref_neg=four[3]), costs.Pairing(four[1], four[3]), "dice", k, **more)
     out = {}
     for r in sorted(got.collect(), key=lambda r: (r.target_id, r["rank"])):
         out.setdefault(r.target_id, []).append((r.ref_id, r.cost, r.neg_cost, r.branch))
@@ -396,8 +401,9 @@ REFS = {"r1": "ab", "r2": "abc", "r3": "", "r4": "", "r5": "xyz"}
 NEGS = {"r1": "", "r2": "n", "r3": "no", "r4": "q", "r5": "n"}
 
 
-def test_closest_branches(spark):
-    got = closest(spark, {"pos": "ab", "neg": "", "none": "", "both": "ab", "alien": "k", "odd": "ab"}, {"pos": "", "neg": "no", "none": "", "both": "n", "alien": "", "odd": "u"}, REFS, NEGS)
+@pytest.mark.parametrize("how", ["rows", "blocks"])
+def test_closest_branches(spark, how):
+    got = closest(spark, {"pos": "ab", "neg": "", "none": "", "both": "ab", "alien": "k", "odd": "ab"}, {"pos": "", "neg": "no", "none": "", "both": "n", "alien": "", "odd": "u"}, REFS, NEGS, how=how)
     assert got["pos"] == [("r1", 0.0, 0.0, "main"), ("r2", 0.2, 0.0, "main")]
     assert got["neg"] == [("r3", 0.0, 0.0, "neg"), ("r4", 1.0, 0.0, "neg")]
     assert {x[0] for x in got["none"]} == {"r3", "r4"} and got["none"][0][1:] == (0.0, 0.0, "random")
@@ -406,24 +412,72 @@ def test_closest_branches(spark):
     assert got["odd"] == [("r2", 0.2, 1.0, "main")]
 
 
-def test_closest_without_empty_references(spark):
+@pytest.mark.parametrize("how", ["rows", "blocks"])
+def test_closest_without_empty_references(spark, how):
     refs = {k: v for k, v in REFS.items() if v}
-    got = closest(spark, {"neg": "", "alien": "k", "pos": "ab"}, {"neg": "no", "alien": "", "pos": "m"}, refs, {"r1": "", "r2": "", "r5": "n"}, allow_empty=False)
+    got = closest(spark, {"neg": "", "alien": "k", "pos": "ab"}, {"neg": "no", "alien": "", "pos": "m"}, refs, {"r1": "", "r2": "", "r5": "n"}, allow_empty=False, how=how)
     assert got["neg"] == [("r1", 1.0, 1.0, "smallest")]
     assert got["alien"] == [("r1", 1.0, 0.0, "subset")]
     assert got["pos"] == [("r1", 0.0, 0.0, "main"), ("r2", 0.2, 0.0, "main")]  # no valid pair negates: all by cost
 
 
-def test_closest_uses_reach(spark):
+@pytest.mark.parametrize("how", ["rows", "blocks"])
+def test_closest_uses_reach(spark, how):
     reach = spark.createDataFrame([("t", "a"), ("t", "x")], "target_id string, concept string")
-    got = closest(spark, {"t": "a"}, {"t": ""}, {"r1": "x", "r2": "a", "r3": "q"}, {}, k=5, reach=reach)
+    got = closest(spark, {"t": "a"}, {"t": ""}, {"r1": "x", "r2": "a", "r3": "q"}, {}, k=5, reach=reach, how=how)
     assert got["t"] == [("r2", 0.0, 0.0, "main"), ("r1", 1.0, 0.0, "main")]
     with pytest.raises(ValueError):
-        closest(spark, {"t": "a"}, {}, REFS, {}, k=0)
+        closest(spark, {"t": "a"}, {}, REFS, {}, k=0, how=how)
     with pytest.raises(ValueError):
         retrieve.check_known(pairs(spark, {"t": "ab"}, "target_id"), spark.createDataFrame([("a",)], "concept string"))
 
 
+def test_blocks_equal_rows(spark, monkeypatch):
+    """Both ways give the same, with blocks of two targets and steps of three references."""
+    monkeypatch.setattr(blocks, "BLOCK_TARGETS", 2)
+    monkeypatch.setattr(blocks, "STEP", 3)
+    rng = random.Random(8)
+    some = lambda n, low: {f"{n}{i}": "".join(rng.sample("abcdefg", rng.randrange(low, 5))) for i in range(14)}
+    for low in (0, 1):
+        sets_ = some("t", 0), some("t", 0), some("r", low), some("r", 0)
+        kept = {k: v for k, v in sets_[2].items() if v or not low}
+        rows, both = (closest(spark, sets_[0], sets_[1], kept, {k: sets_[3][k] for k in kept}, k=3, how=how, allow_empty=not low) for how in ("rows", "blocks"))
+        assert rows == both and len({x[3] for v in rows.values() for x in v}) > 1
+
+
+@pytest.mark.parametrize("name", ["jac", "dice", "overlap", "tversky", "sym_tversky", "umls_neg", "depth", "umls"])
+def test_best_equals_all_costs(spark, name):
+    rng = random.Random(4)
+    letters = "abcdefghij"
+    some = lambda key, p: pairs(spark, {f"{p}{i}": rng.sample(letters, rng.randrange(1, 5)) for i in range(12)}, key)
+    edges = spark.createDataFrame([(a, b, rng.choice([["SY"], ["PAR"], ["CHD", "SY"]])) for a, b in zip(letters, letters[1:])], "a string, b string, rels array<string>")
+    t = some("target_id", "t")
+    way = graph.both_ways(edges)
+    far = graph.distances(way, t.select(F.col("concept").alias("root")), 3).select(F.col("root").alias("concept"), F.col("v").alias("other"), "depth")
+    weight = spark.createDataFrame([(c, k % 4) for k, c in enumerate(letters)], "concept string, weight long")
+    p = costs.Pairing(t, some("ref_id", "r"), weight=weight, target_neg=some("target_id", "t"), ref_neg=some("ref_id", "r"), found=graph.bfs(way, t.select(F.col("target_id").alias("root_set"), F.col("concept").alias("v")), 3), distances=far)
+    got = {(r.target_id, r.ref_id): (r.cost, r["rank"]) for r in costs.best(name, p, 4).collect()}
+    exp = {(r.target_id, r.ref_id): (r.cost, r["rank"]) for r in vectors.top(costs.cost(name, p), "target_id", [F.asc("cost"), F.asc("ref_id")], 4).collect()}
+    assert got == exp and len(got) > 12
+
+
+def test_nearest_spills_over(spark):
+    """What is left follows: paired, unpaired, then sets that nothing is shared with, the smallest first."""
+    t_pos, t_neg = {"t": "ab", "n": "", "o": ""}, {"t": "n", "n": "n", "o": ""}
+    got = closest(spark, t_pos, t_neg, {**REFS, "r6": "z", "r7": "abq"}, {**NEGS, "r6": "n", "r7": "n"}, k=9, how="blocks", spill=True)
+    assert [x[0] for x in got["t"]] == ["r2", "r7", "r1", "r3", "r4", "r6", "r5"]
+    assert [x[0] for x in got["n"]][:2] == ["r3", "r4"] and [x[0] for x in got["n"]][2] == "r6"
+    assert {x[0] for x in got["o"][:2]} == {"r3", "r4"} and len(got["o"]) == 7
+
+
+def test_greedy_reads_on_page_by_page(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "PAGE", 2)
+    turns = spark.createDataFrame([(k, 0, f"s{k % 2}") for k in range(9)], "step int, cls_no int, seed_id string")
+    ranked = spark.createDataFrame([(s, f"r{k}", k / 10, k + 1) for s in ("s0", "s1") for k in range(9)], "seed_id string, ref_id string, cost double, rank int")
+    got = sorted(retrieve.greedy(turns, ranked).collect(), key=lambda r: r.step)
+    assert [r.ref_id for r in got] == [f"r{k}" for k in range(9)]
+
+
 def test_greedy_equals_brute_force_with_collisions(spark):
     rng = random.Random(2)
     seeds = [f"s{i}" for i in range(4)]
@@ -499,3 +553,27 @@ def test_stream_applies_batch_operators(spark, tmp_path):
         stream = spark.readStream.schema("id long, s string").parquet(src)
         each_batch(stream, lambda b: b.select("id", text.normalize_labels(F.col("s")).alias("s")), out, str(tmp_path / "cp")).awaitTermination()
     assert {(r.id, r.s) for r in spark.read.parquet(out).collect()} == {(i, "Pleural Effusion") for i in (1, 2, 3)}
+
+
+# ------------------------------------------------------------- guards
+
+
+def test_a_cycle_in_a_hierarchy_is_an_error(spark):
+    loop = spark.createDataFrame([("leaf", "a"), ("a", "b"), ("b", "a")], "child string, parent string")
+    with pytest.raises(ValueError):
+        ontology.leaf_paths(loop)
+
+
+def test_line_numbers_hold_across_files(spark, tmp_path):
+    for k, name in enumerate(("a.rrf", "b.rrf", "c.rrf")):
+        (tmp_path / name).write_text("".join(f"C{i}|T{k}{i}|||||\n" for i in range(5)))
+    got = sources.semantic_types(sources.numbered(sources.rrf(spark, str(tmp_path), "MRSTY")))
+    assert {r.cui: r.tui for r in got.collect()} == {f"C{i}": f"T2{i}" for i in range(5)}
+
+
+def test_vectors_with_text_ids(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("bb", [0.0, 2.0]), ("c", [3.0, 1.0]), ("z", None)], "id string, embedding array<double>")
+    got = [(r.query_id, r.ref_id, r["rank"]) for r in sorted(vectors.knn(v, v, 1).collect())]
+    assert got == [("a", "c", 1), ("bb", "c", 1), ("c", "a", 1)]
+    mean = vectors.mean_by(v.withColumn("k", F.lit(1)), "k", "embedding", F.col("id") != "bb", 2).collect()[0]["mean"]
+    assert mean == [2.0, 0.5]
