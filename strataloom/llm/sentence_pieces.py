@@ -4,10 +4,12 @@ In the models taken here no piece has a white-space marker after another
 character (checked when the model is read), so no merge crosses the place where
 a marker follows a word.  A text is cut there; each distinct marked word is
 segmented once and its ids are joined back by position.  The table is kept by
-each worker and is bounded; a word that fell out is simply segmented again.
+each worker and is bounded: it has two generations of TABLE_ROWS words, and a word that was
+in neither is segmented again.
 
 Defined results: null and empty texts give the begin and end ids only; a literal
-marker character counts as a space, as in the library.
+marker character counts as a space, as in the library; repeated rows have equal
+results; a text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -18,14 +20,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _spark, _text
 
 MARK = "▁"
-#: Distinct marked words that a worker keeps.
+#: Distinct marked words of a generation of a worker's table.
 TABLE_ROWS = 500_000
 CHUNK = 4 << 20
 
@@ -54,6 +55,8 @@ class Encoder:
         return [ids if len(w) > 1 else [self.sp.piece_to_id(MARK)] for w, ids in zip(words, out)]
 
     def reset(self):
+        """Begins a generation; the one before is kept."""
+        self.old = getattr(self, "table", {}), *(getattr(self, c, np.zeros(0, np.int64)) for c in ("size", "at", "flat"))
         self.table: dict[bytes, int] = {}
         self.size = np.zeros(1024, np.int64)
         self.at = np.zeros(1024, np.int64)
@@ -61,7 +64,11 @@ class Encoder:
         self.used = 0
 
     def _add(self, words: list[bytes]):
-        for word, ids in zip(words, self._segmented(words)):
+        table, sizes, starts, flat = self.old
+        known = {w: k for w in words if (k := table.get(w)) is not None}
+        new = [w for w in words if w not in known]
+        found = [(w, flat[starts[k] : starts[k] + sizes[k]]) for w, k in known.items()]
+        for word, ids in [*found, *zip(new, self._segmented(new))]:
             k = len(self.table)
             self.table[word] = k
             if k >= len(self.size):
@@ -100,25 +107,15 @@ class Encoder:
         return ids, np.r_[0, stop][np.searchsorted(start, offs)]
 
 
-def _on_worker(name: str) -> Encoder:
-    if _HELD.get("name") != name:
-        with open(SparkFiles.get(name), "rb") as f:
-            _HELD.update(name=name, encoder=Encoder(f.read()))
+def _on_worker(digest: str, proto: bytes) -> Encoder:
+    if _HELD.get("digest") != digest:
+        _HELD.update(digest=digest, encoder=Encoder(proto))
     return _HELD["encoder"]
 
 
 _HELD: dict = {}
 
 
-def _model_file(spark, model: str) -> str:
-    """Sends the model file to the executors and gives its name there."""
-    sc = spark.sparkContext
-    if model not in getattr(sc, "_strataloom_files", ()):
-        sc.addFile(model)
-        sc._strataloom_files = {*getattr(sc, "_strataloom_files", ()), model}
-    return model.rpartition("/")[2]
-
-
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded): ids with begin and end as array<int>, and what decoding them gives."""
     return _mapped(docs, model, f"doc_id {_spark.id_type(docs)}, ids array<int>, decoded string", lambda all_ids, decoded: [pa.array([x.tolist() for x in all_ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())])
@@ -131,11 +128,13 @@ def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def _mapped(docs: DataFrame, model: str | None, schema: str, columns) -> DataFrame:
-    name = _model_file(docs.sparkSession, model or default_model())
+    with open(model or default_model(), "rb") as f:  # a model's file is of fixed size, about a megabyte
+        proto = f.read()
+    held = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(proto).hexdigest(), proto))
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        encoder = _on_worker(name)
+        encoder = _on_worker(*held.value)
         bos, eos = (np.array([x], "<u4") for x in (encoder.sp.bos_id(), encoder.sp.eos_id()))
         for part in _text.chunks(batches, most=CHUNK):
             ids, offs = encoder.encode(part.column("text"))
