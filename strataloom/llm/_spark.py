@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Lists that paths of written tables go to, innermost last.
+_COLLECTING: list[list[str]] = []
+
+
+@contextmanager
+def collecting():
+    """The paths of the tables that are written inside, as a list."""
+    _COLLECTING.append([])
+    try:
+        yield _COLLECTING[-1]
+    finally:
+        _COLLECTING.pop()
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows of df, written as Parquet to the shared folder and read again; cuts the lineage and survives executors."""
     spark = df.sparkSession
@@ -38,15 +53,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _COLLECTING:
+        _COLLECTING[-1].append(path)
     return out
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Deletes the files of tables made by written(), once nothing that is still to run reads them."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(df.sparkSession, df._written_to)
 
 
 #: Settings of the batches of Arrow maps.  Spark reads them when the plan runs, so they hold for the session; they are lowered only.
