@@ -1,32 +1,76 @@
-"""The corpus pipeline: five stages from documents to token digests."""
+"""The corpus pipeline: five stages from documents to token digests.
+
+A stage's result reads tables that the stage wrote to the shared folder.  It is written
+before the next stage begins, so that one deletes what the stages before it left there,
+and has Spark clean up their shuffles.
+
+Defined results, for every stage: null or empty texts have no language and go at the
+first stage; repeated rows and equal texts are one class, of which a single row stays;
+of equal smallest ids the text with the smaller SHA-1 stays; columns besides doc_id and
+text are kept whatever their names; empty tables give empty tables; texts of any length
+are judged whole.
+"""
 
 from __future__ import annotations
 
+import functools
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.llm import _spark, decontaminate, language_id, ngram_join, sentence_pieces, substring_dedup
 
 
+#: Paths of tables that stages left in the shared folder.
+_LEFT: list[str] = []
+
+
+def _stage(function):
+    """The function, which first releases what earlier stages left, unless docs still read it."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _LEFT:
+            reads = docs.inputFiles()
+            gone = [path for path in _LEFT if not any(path in file for file in reads)]
+            for path in gone:
+                _spark.drop_path(spark, path)
+            _LEFT[:] = [path for path in _LEFT if path not in gone]
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()  # shuffles that nothing refers to are deleted then
+        with _spark.collecting() as made:
+            out = function(spark, docs, sf_dir)
+        _LEFT.extend(made)
+        return out
+
+    return run
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go."""
     return language_id.accept_languages(docs)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays."""
     return ngram_join.one_of_each(docs)
 
 
+@_stage
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat are taken out of the texts."""
     return substring_dedup.remove_repeats(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     return decontaminate.drop_contaminated(docs, _spark.table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, as digests."""
     return sentence_pieces.digest(docs)
