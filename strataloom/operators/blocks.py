@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .workers import stored as cut
 from .vectors import top
 from .workers import ship
 
@@ -92,13 +92,16 @@ def search(what: Search, formula: Formula, order: list[str], k: int) -> DataFram
     """
     spark = what.refs.sparkSession
     ship(spark)
-    hashed = lambda d, *more: cut(d.select("target_id", F.xxhash64("concept").alias("concept"), F.col("w").cast("double").alias("w"), *more))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # in the order of targets, so that a block reads its part of the files
+    hashed = lambda d, *more: cut(d.select("target_id", F.xxhash64("concept").alias("concept"), F.col("w").cast("double").alias("w"), *more).repartitionByRange(parts, "target_id").sortWithinPartitions("target_id"))
     kinds = {name: (side, hashed(d)) for name, (side, d) in what.kinds.items()}
     least = {name: (side, hashed(d, F.xxhash64("own").alias("own"), F.col("v").cast("double").alias("v"))) for name, (side, d) in what.least.items()}
     targets = cut(what.targets)
     sides = [F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("pos", "neg")]
     numbers = [c for c in what.refs.columns if c not in ("ref_id", "pos", "neg")]
-    refs = cut(what.refs.select("ref_id", *sides, *(F.col(c).cast("double").alias(c) for c in numbers)))
+    # dealt anew: a table of a few megabytes would else be one task
+    refs = cut(what.refs.select("ref_id", *sides, *(F.col(c).cast("double").alias(c) for c in numbers)).repartition(parts, "ref_id"))
     every = targets.select("target_id", F.lit(1).alias("n"))
     for _, d in (*kinds.values(), *least.values()):
         every = every.unionByName(d.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.col("n").cast("int")))
@@ -108,7 +111,7 @@ def search(what: Search, formula: Formula, order: list[str], k: int) -> DataFram
     for ids in _ranges(counts):
         inside = F.col("target_id").between(ids[0], ids[-1])
         place = {x: i for i, x in enumerate(ids)}
-        at = lambda frame: np.array([place[x] for x in frame["target_id"]], np.int64)
+        at = lambda frame: frame["target_id"].map(place).to_numpy(np.int64)
         block = {"ids": ids, "kinds": {}, "least": {}}
         own = targets.where(inside).toPandas()
         own = own.iloc[np.argsort(at(own), kind="stable")]

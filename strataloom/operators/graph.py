@@ -9,18 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workers import shared_folder
+from .workers import stored as cut
 
 #: Levels after which the search's tables are cut from their lineage.
 CUT = 4
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that the executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def keep_edges(pairs: DataFrame, keep: DataFrame, both: bool = True) -> DataFrame:
     """Relations (a, b, rel) with both ends (or either) in keep (concept)."""
     at = lambda c: keep.select(F.col("concept").alias(c)).distinct()
@@ -52,33 +46,38 @@ def in_degree(edges: DataFrame, nodes: DataFrame, dst: str = "parent") -> DataFr
     return nodes.join(counts, "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("in_degree"))
 
 
-def bfs(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+def bfs(edges: DataFrame, roots: DataFrame, max_depth: int, measures: bool = True) -> DataFrame:
     """(root_set, v, depth, pred, all_sy, only_sy, steps, cost): breadth-first trees of all root sets, roots included.
 
     edges: (src, dst, rels) both ways; roots: (root_set, v).  The parent is the
     smallest neighbour of the level before.  Carried along the tree: all_sy, every
     edge holds SY; only_sy, every edge holds one of RL, RQ, SY; steps, edges with a
     code besides RQ and SY, where a first edge of those alone counts 1; cost, the cheapest such code of each edge
-    (CHD 0.5, others 1).
+    (CHD 0.5, others 1).  Without measures, (root_set, v, depth, all_sy).
     """
     other = F.array_except("rels", F.array(F.lit("RQ"), F.lit("SY")))
     flags = edges.select(
         "src", "dst", F.array_contains("rels", "SY").alias("e_sy"), F.arrays_overlap("rels", F.array(*map(F.lit, ("RL", "RQ", "SY")))).alias("e_any"),
         (F.size(other) > 0).alias("e_step"), F.when(F.size(other) == 0, 0.0).when(F.array_contains(other, "CHD"), 0.5).otherwise(1.0).alias("e_cost"),
     )
-    start = roots.select("root_set", "v").distinct().select("root_set", "v", F.lit(0).alias("depth"), F.lit(None).cast(roots.schema["v"].dataType).alias("pred"), F.lit(True).alias("all_sy"), F.lit(True).alias("only_sy"), F.array().cast("array<boolean>").alias("path"), F.lit(0.0).alias("cost"))
-    seen = frontier = cut(start)
+    if not measures:
+        flags = flags.select("src", "dst", "e_sy")
+    flags = cut(flags)
+    first = {"pred": F.lit(None).cast(roots.schema["v"].dataType), "all_sy": F.lit(True), "only_sy": F.lit(True), "path": F.array().cast("array<boolean>"), "cost": F.lit(0.0)}
+    step = {"pred": F.col("src"), "all_sy": F.col("all_sy") & F.col("e_sy"), "only_sy": F.col("only_sy") & F.col("e_any") if measures else None, "path": F.concat(F.array("e_step"), "path") if measures else None, "cost": F.col("cost") + F.col("e_cost") if measures else None}
+    names = list(first) if measures else ["all_sy"]
+    seen = frontier = cut(roots.select("root_set", "v").distinct().select("root_set", "v", F.lit(0).alias("depth"), *(first[c].alias(c) for c in names)))
     for depth in range(1, max_depth + 1):
         out = frontier.withColumnRenamed("v", "src").join(flags, "src")
-        best = out.groupBy("root_set", F.col("dst").alias("v")).agg(F.min_by(F.struct("src", (F.col("all_sy") & F.col("e_sy")).alias("all_sy"), (F.col("only_sy") & F.col("e_any")).alias("only_sy"), F.concat(F.array("e_step"), "path").alias("path"), (F.col("cost") + F.col("e_cost")).alias("cost")), "src").alias("b"))
-        frontier = best.join(seen.select("root_set", "v"), ["root_set", "v"], "left_anti").select("root_set", "v", F.lit(depth).alias("depth"), F.col("b.src").alias("pred"), "b.all_sy", "b.only_sy", "b.path", "b.cost")
+        best = out.groupBy("root_set", F.col("dst").alias("v")).agg(F.min_by(F.struct(*(step[c].alias(c) for c in names)), "src").alias("b"))
+        frontier = best.join(seen.select("root_set", "v"), ["root_set", "v"], "left_anti").select("root_set", "v", F.lit(depth).alias("depth"), *(f"b.{c}" for c in names))
         frontier = cut(frontier)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if depth % CUT == 0:
             seen = cut(seen)
-    return seen.withColumn("steps", _steps(F.col("path"))).drop("path")
+    return seen.withColumn("steps", _steps(F.col("path"))).drop("path") if measures else seen
 
 
 def distances(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:

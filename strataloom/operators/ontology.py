@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .workers import stored as cut
 
 
 def leaf_paths(hier: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .graph import cut
+from .workers import stored as cut
 
 
 def named(df: DataFrame, column: str | int) -> str:

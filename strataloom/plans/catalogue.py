@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..operators import costs, evaluate, graph, labels, mentions, ontology, prep, retrieve, sets, vectors
+from ..operators.workers import stored
 from ..sources import last_per_key, table
 from . import standins as si
 
@@ -562,14 +563,14 @@ _GRAPH = f", {si.edges_sql()}, root AS (SELECT target_id AS root_set, concept AS
 
 def _pairing(spark, d, search: bool = False, only: DataFrame | None = None, **more) -> costs.Pairing:
     """Pairs of the targets, or of `only` some (target_id), with their graph search where a cost needs it."""
-    pos, neg = mentions.concept_pairs(si.mentions(spark, d))
+    pos, neg = (stored(x) for x in mentions.concept_pairs(si.mentions(spark, d)))
     t, r = si.split_sets(pos)
     if only is not None:
         t = t.join(only, "target_id", "left_semi")
     tn, rn = si.split_sets(neg)
     if search:
-        more["found"] = graph.bfs(graph.both_ways(_edges(spark, d)), t.select(F.col("target_id").alias("root_set"), F.col("concept").alias("v")), _DEPTH)
-    return costs.Pairing(t, r, weight=si.weight(pos.unionByName(neg)), target_neg=tn, ref_neg=rn, **more)
+        more["found"] = graph.bfs(graph.both_ways(_edges(spark, d)), t.select(F.col("target_id").alias("root_set"), F.col("concept").alias("v")), _DEPTH, measures=False)
+    return costs.Pairing(t, r, weight=stored(si.weight(pos.unionByName(neg))), target_neg=tn, ref_neg=rn, **more)
 
 
 @query(_OV + _top("SELECT target_id, ref_id, round(1 - n / (nt + nr - n), 6) AS cost FROM ovs"))
