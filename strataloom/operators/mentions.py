@@ -60,6 +60,13 @@ def modifiers(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return relations.join(anatomy, ["report_id", "other"]).groupBy("report_id", "ent").agg(F.array_sort(F.collect_list("token")).alias("mods"))
 
 
+def inferred(entities: DataFrame, relations: DataFrame, of_note: DataFrame | None = None) -> DataFrame:
+    """entities (report_id, ent, token, label) with the labels of the note's own pass, propagated negation, and mods; relations: (report_id, ent, other)."""
+    own = entities if of_note is None else override_labels(entities, of_note)
+    own = propagate_negation(own, relations)
+    return own.join(modifiers(own, relations), ["report_id", "ent"], "left").withColumn("mods", F.coalesce("mods", F.array().cast("array<string>")))
+
+
 def link(ranked: DataFrame, types: DataFrame, allowed: dict[str, list[str]] | None = None) -> DataFrame:
     """The first hit of each mention whose type is allowed for its category, else the first hit; ranked: (mention, category, rank, cui)."""
     allowed = allowed or vocab.ALLOWED_TYPES

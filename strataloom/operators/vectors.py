@@ -49,8 +49,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = Tru
     so what is shuffled is k rows a query and partition.
     """
     spark = queries.sparkSession
-    kind = "long" if vectors.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string"
-    schema = f"query_id {kind}, ref_id {kind}, score double"
+    kind, asked = ("long" if d.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string" for d in (vectors, queries))
+    exclude_self = exclude_self and kind == asked
+    schema = f"query_id {asked}, ref_id {kind}, score double"
     plain = lambda x: x.astype(str) if x.dtype == object else x
     found, block = None, []
 
@@ -63,7 +64,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = Tru
         def run(batches):
             ids, q = held.value
             best_s = np.full((len(ids), 0), -np.inf)
-            best_i = np.zeros((len(ids), 0), ids.dtype)
+            best_i = None
             parts = (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP))
             for batch in parts:
                 ref = plain(np.asarray(batch.column("id")))
@@ -75,15 +76,18 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = Tru
                 if best_s.shape[1] == k:  # only what reaches the k-th best so far can enter
                     some = np.flatnonzero((s >= best_s[:, -1:]).any(0))
                     s, ref = s[:, some], ref[some]
-                s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ref, s.shape)], 1)
+                i = np.broadcast_to(ref, s.shape)
+                s, i = np.concatenate([best_s, s], 1), i if best_i is None else np.concatenate([best_i, i], 1)
                 order = np.lexsort((i, -s), axis=1)[:, :k]
                 best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            if best_i is None:
+                return
             row, col = np.nonzero(best_s > -np.inf)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_i[row, col]), pa.array(best_s[row, col])], ["query_id", "ref_id", "score"])
 
         return vectors.select(F.col("id").cast(kind).alias("id"), "embedding").where("embedding is not null").mapInArrow(run, schema)
 
-    for r in queries.select(F.col("id").cast(kind).alias("id"), "embedding").where("embedding is not null").toLocalIterator():
+    for r in queries.select(F.col("id").cast(asked).alias("id"), "embedding").where("embedding is not null").toLocalIterator():
         block.append(r)
         if len(block) == QUERY_BLOCK:
             found, block = scan(block) if found is None else found.unionByName(scan(block)), []
