@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 import zipfile
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +84,21 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
         now = conf.get(name, None)
         if now is None or not now.isdigit() or not 0 < int(now) <= most:
             conf.set(name, str(most))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_released(fn), schema)
+
+
+def _released(fn):
+    """The function, after which a worker gives what it has freed back to the system: workers live on from stage to stage."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
 
 
 #: A key with more than one in so many of all rows is joined by broadcast: there are at most as many of those.

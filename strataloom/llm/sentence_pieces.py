@@ -27,8 +27,8 @@ from . import _spark, _text
 
 MARK = "▁"
 #: Distinct marked words of a generation of a worker's table.
-TABLE_ROWS = 500_000
-CHUNK = 4 << 20
+TABLE_ROWS = 250_000
+CHUNK = 2 << 20
 
 
 def default_model() -> str:
