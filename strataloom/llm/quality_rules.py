@@ -10,7 +10,7 @@ that were written before keep their meaning, and every policy version its verdic
 
 Defined results: a null text counts as one without words, so it fails the word
 count; repeated rows and equal ids are judged row by row; a text of any length is
-measured whole.
+measured whole; an ablation has a row for each rule of the policy, of zeros without texts.
 """
 
 from __future__ import annotations
