@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, lm_score, ngram_join, quality_rules, sentence_pieces, sharding, substring_dedup, url_filter, warc
+from . import decontaminate, history, language_id, lm_score, ngram_join, quality_rules, sentence_pieces, sharding, substring_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_lm_score": lm_score.op9_lm_score,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_history": history.op11_history,
         "quality_ablation": quality_rules.quality_ablation,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.ORACLE_SQL,
         "op6_sharding": sharding.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
+        "op11_history": history.ORACLE_SQL,
         "quality_ablation": quality_rules.ABLATION_SQL,
     }
