@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, history, language_id, lm_score, ngram_join, quality_rules, sentence_pieces, sharding, substring_dedup, url_filter, warc
+from . import conversations, decontaminate, fingerprints, history, language_id, lm_score, ngram_join, quality_rules, sentence_pieces, sharding, substring_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_lm_score": lm_score.op9_lm_score,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_history": history.op11_history,
+        "op12_fingerprints": fingerprints.op12_fingerprints,
+        "op13_conversations": conversations.op13_conversations,
         "quality_ablation": quality_rules.quality_ablation,
     }
 
@@ -30,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_sharding": sharding.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
         "op11_history": history.ORACLE_SQL,
+        "op13_conversations": conversations.ORACLE_SQL,
         "quality_ablation": quality_rules.ABLATION_SQL,
     }
