@@ -1,14 +1,19 @@
-"""Exact top-k search of concept sets in blocks of targets, without a row for each pair.
+"""Exact top-k search of concept sets on a grid, without a row for each pair.
 
-Targets are queries: they go out in blocks of bounded size, as concept -> target lists.
-Each task goes through its references a few hundred at a time, sums what they share with
-every target of the block, and keeps the k best of each target; only those are shuffled.
+Targets are numbered and cut into blocks of bounded size; a block is one row, which holds
+concept -> target lists, and masks with a bit a target for what a graph search found.  References are dealt to
+pieces.  One shuffle brings each block to each piece, whatever the number of targets; the cell's task
+goes through its references a few hundred at a time, sums what they share with
+every target of the block, and keeps the k best of each target; only those are shuffled again.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workers import stored as cut
 from .vectors import top
-from .workers import ship
+from .workers import numbered, ship
+from .workers import stored as cut
 
-#: Entries and targets of a block: the bounds of a broadcast.
-BLOCK_ENTRIES, BLOCK_TARGETS = 4_000_000, 1024
-#: References that are compared at once.
-STEP = 256
+#: Entries and targets of a block, and references of a piece: the bounds of what a task holds.
+BLOCK_ENTRIES, BLOCK_TARGETS, PIECE = 4_000_000, 1024, 200_000
+#: References that are compared at once, and cells for each shuffle partition.
+STEP, CELLS = 256, 4
 
 Formula = Callable[[dict, dict, dict], tuple[np.ndarray, dict[str, np.ndarray]]]
 
@@ -34,14 +39,20 @@ class Search:
 
     kinds: name -> (side, entries), entries (target_id, concept, w): per kind, the weights and the number of a target's
     entries among a reference's concepts on that side ('pos' or 'neg') are summed.
+    masks: name -> (side, entries), entries (concept, block, mask, w): the same for all targets of a block whose bit is set; where
+    w is null, only whether there is one.  They need numbers, (target_id, n), and width: target n is bit n % width of block n // width.
     least: name -> (side, entries), entries (target_id, own, concept, w, v): the least w of each own concept of a target, infinite if there is none; v is a number of the own concept.
-    targets: (target_id, numbers ..); refs: (ref_id, pos, neg: arrays of concepts, numbers ..).
+    targets: (target_id, numbers ..); refs: (ref_id, pos, neg: arrays of concepts' numbers, numbers ..); concepts: (concept, n) of the references.
     """
 
     kinds: dict[str, tuple[str, DataFrame]]
     targets: DataFrame
     refs: DataFrame
+    concepts: DataFrame
     least: dict[str, tuple[str, DataFrame]] = field(default_factory=dict)
+    masks: dict[str, tuple[str, DataFrame]] = field(default_factory=dict)
+    numbers: DataFrame | None = None
+    width: int | None = None
 
 
 class _Lists:
@@ -70,72 +81,141 @@ def rounded(x: np.ndarray) -> np.ndarray:
     return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5) / 1e6, x) + 0.0
 
 
-def _ranges(counts: DataFrame):
-    """(first, last, ids) of blocks of targets; counts: (target_id, n)."""
-    ids, size = [], 0
-    for r in counts.orderBy("target_id").toLocalIterator():
-        if ids and (size + r["n"] > BLOCK_ENTRIES or len(ids) == BLOCK_TARGETS):
-            yield ids
-            ids, size = [], 0
-        ids.append(r["target_id"])
-        size += r["n"]
-    if ids:
-        yield ids
+class _Masks:
+    """Concepts' masks; a concept may have several, each with a weight (None: only whether a bit is set)."""
+
+    def __init__(self, concept: np.ndarray, mask: np.ndarray, w: np.ndarray | None):
+        order = np.argsort(concept, kind="stable")
+        self.concept, self.mask, self.w = concept[order], mask[order], None if w is None else w[order]
+
+    def sums(self, row: np.ndarray, concept: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, whether there is any) of the rows' concepts for each bit; rows ascend."""
+        first, last = np.searchsorted(self.concept, concept, "left"), np.searchsorted(self.concept, concept, "right")
+        n = last - first
+        pick = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        row = np.repeat(row, n)
+        some, weights = np.zeros((rows, width), bool), np.zeros((rows, width))
+        if len(row):
+            start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            mask = self.mask[pick]
+            some[row[start]] = np.unpackbits(np.bitwise_or.reduceat(mask, start), axis=1, count=width, bitorder="little")
+            if self.w is not None:
+                bits = np.unpackbits(mask, axis=1, count=width, bitorder="little")
+                weights[row[start]] = np.add.reduceat(bits * self.w[pick][:, None], start)
+        return weights, some
+
+
+def _packed(what: Search, numbers: DataFrame, width: int) -> DataFrame:
+    """(block, payload): each block as one row."""
+    concepts = what.concepts.select("concept", F.col("n").alias("c"))
+    block, place = F.floor(F.col("n") / width).alias("block"), (F.col("n") % width).cast("int").alias("place")
+    empty = {"place": "int", "c": "long", "w": "double", "own": "long", "v": "double", "mask": "binary", "t": "array<double>"}
+    columns = [c for c in what.targets.columns if c != "target_id"]
+    names, rows = ["t"], [what.targets.join(numbers, "target_id").select(block, place, F.array(*(F.col(f"`{c}`").cast("double") for c in columns)).alias("t"))]
+    for name, (_, d) in what.kinds.items():
+        names.append(name)
+        rows.append(d.join(numbers, "target_id").join(concepts, "concept").select(block, place, "c", F.col("w").cast("double").alias("w")))
+    for name, (_, d) in what.least.items():
+        names.append(name)
+        rows.append(d.join(numbers, "target_id").join(concepts, "concept").select(block, place, "c", F.col("w").cast("double").alias("w"), F.xxhash64("own").alias("own"), F.col("v").cast("double").alias("v")))
+    for name, (_, d) in what.masks.items():
+        names.append(name)
+        rows.append(d.join(concepts, "concept").select("block", "c", "mask", F.col("w").cast("double").alias("w")))
+    whole = [d.select(F.col("block").cast("long"), F.lit(i).alias("part"), *(F.col(c) if c in d.columns else F.lit(None).cast(kind).alias(c) for c, kind in empty.items())) for i, d in enumerate(rows)]
+    sides = {name: side for kind in (what.kinds, what.least, what.masks) for name, (side, _) in kind.items()}
+    lists, least = set(what.kinds), set(what.least)
+
+    def pack(table):
+        table = table.combine_chunks()
+        part = np.asarray(table["part"])
+        out = {"t": {c: np.zeros(width) for c in columns}, "here": np.zeros(width, bool), "kinds": {}, "least": {}, "masks": {}}
+        for i, name in enumerate(names):
+            own = table.filter(pa.array(part == i)).combine_chunks()
+            column = lambda c, kind: np.asarray(own[c], kind)
+            if name == "t":
+                at = column("place", np.int64)
+                out["here"][at] = True
+                values = np.asarray(own["t"].combine_chunks().flatten(), np.float64).reshape(len(at), -1)
+                for k, c in enumerate(columns):
+                    out["t"][c][at] = values[:, k]
+            elif name in lists:
+                out["kinds"][name] = sides[name], _Lists(column("c", np.int64), column("place", np.int64), column("w", np.float64))
+            elif name in least:
+                pairs, first, number = np.unique(np.stack([column("place", np.int64), column("own", np.int64)], 1), axis=0, return_index=True, return_inverse=True)
+                out["least"][name] = sides[name], pairs[:, 0], column("v", np.float64)[first], _Lists(column("c", np.int64), number.ravel(), column("w", np.float64))
+            else:
+                mask = np.frombuffer(b"".join(own["mask"].to_pylist()), np.uint8).reshape(-1, width // 8)
+                keep = mask.any(1)
+                weigh = own.num_rows and own["w"].null_count == 0
+                out["masks"][name] = sides[name], _Masks(column("c", np.int64)[keep], mask[keep], column("w", np.float64)[keep] if weigh else None)
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "payload": pa.array([pickle.dumps(out)], pa.binary())})
+
+    return cut(reduce(DataFrame.unionByName, whole).groupBy("block").applyInArrow(pack, "block long, payload binary"))
 
 
-def search(what: Search, formula: Formula, order: list[str], k: int) -> DataFrame:
+def _width(what: Search, numbers: DataFrame) -> int:
+    """Targets of a block, a power of two, so that none has more than BLOCK_ENTRIES."""
+    width = 8
+    while width < BLOCK_TARGETS:
+        width *= 2
+    entries = [d.select("target_id") for _, d in (*what.kinds.values(), *what.least.values())]
+    if not entries:
+        return width
+    eights = reduce(DataFrame.unionByName, entries).join(numbers, "target_id").groupBy(F.floor(F.col("n") / 8).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    most = eights.agg(F.max("n")).first()[0] or 0
+    while width > 8 and most * width // 8 > BLOCK_ENTRIES:
+        width //= 2
+    return width
+
+
+def search(what: Search, formula: Formula, order: list[str], k: int, after: DataFrame | None = None) -> DataFrame:
     """(target_id, ref_id, the formula's columns, rank): the k first references of each target by `order`, then ref_id.
 
-    formula(sums, t, r): sums has, per kind, the weights and, as 'n_' + kind, the counts, all
+    formula(sums, t, r): sums has, per kind, the weights and, as 'n_' + kind, the counts (per mask: whether there are any), all
     of (references, targets), and per `least` an array (references, own concepts) with their targets as name + '_of' and numbers as name + '_v';
     t and r have the numbers.  It gives which pairs are compared at all, and columns of doubles.
+    after: (target_id, the columns of `order`, ref_id): where a target's search goes on, behind that row; targets without a row are left out.
     """
     spark = what.refs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # in the order of targets, so that a block reads its part of the files
-    hashed = lambda d, *more: cut(d.select("target_id", F.xxhash64("concept").alias("concept"), F.col("w").cast("double").alias("w"), *more).repartitionByRange(parts, "target_id").sortWithinPartitions("target_id"))
-    kinds = {name: (side, hashed(d)) for name, (side, d) in what.kinds.items()}
-    least = {name: (side, hashed(d, F.xxhash64("own").alias("own"), F.col("v").cast("double").alias("v"))) for name, (side, d) in what.least.items()}
-    targets = cut(what.targets)
-    sides = [F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("pos", "neg")]
-    numbers = [c for c in what.refs.columns if c not in ("ref_id", "pos", "neg")]
-    # dealt anew: a table of a few megabytes would else be one task
-    refs = cut(what.refs.select("ref_id", *sides, *(F.col(c).cast("double").alias(c) for c in numbers)).repartition(parts, "ref_id"))
-    every = targets.select("target_id", F.lit(1).alias("n"))
-    for _, d in (*kinds.values(), *least.values()):
-        every = every.unionByName(d.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.col("n").cast("int")))
-    counts = targets.select("target_id").join(every.groupBy("target_id").agg(F.sum("n").alias("n")), "target_id")
-    id_type = {c: d.schema[c].dataType.simpleString() for c, d in (("target_id", targets), ("ref_id", refs))}
-    found = None
-    for ids in _ranges(counts):
-        inside = F.col("target_id").between(ids[0], ids[-1])
-        place = {x: i for i, x in enumerate(ids)}
-        at = lambda frame: frame["target_id"].map(place).to_numpy(np.int64)
-        block = {"ids": ids, "kinds": {}, "least": {}}
-        own = targets.where(inside).toPandas()
-        own = own.iloc[np.argsort(at(own), kind="stable")]
-        block["t"] = {c: own[c].to_numpy(np.float64) for c in targets.columns if c != "target_id"}
-        for name, (side, d) in kinds.items():
-            got = d.where(inside).toPandas()
-            block["kinds"][name] = side, _Lists(got["concept"].to_numpy(np.int64), at(got), got["w"].to_numpy(np.float64))
-        for name, (side, d) in least.items():
-            got = d.where(inside).toPandas()
-            pairs, first, number = np.unique(np.stack([at(got), got["own"].to_numpy(np.int64)], 1), axis=0, return_index=True, return_inverse=True)
-            block["least"][name] = side, pairs[:, 0], got["v"].to_numpy(np.float64)[first], _Lists(got["concept"].to_numpy(np.int64), number.ravel(), got["w"].to_numpy(np.float64))
-        part = _scanned(refs, spark.sparkContext.broadcast(block), formula, order, k, numbers, id_type)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        schema = ", ".join([f"target_id {id_type['target_id']}", f"ref_id {id_type['ref_id']}", *(f"{c} double" for c in order), "rank int"])
-        return spark.createDataFrame([], schema)
-    return top(found, "target_id", [*(F.asc(c) for c in order), F.asc("ref_id")], k)
-
-
-def _scanned(refs: DataFrame, held, formula: Formula, order: list[str], k: int, numbers: list[str], id_type: dict) -> DataFrame:
-    """The k best of each target of a block, by task."""
+    if after is not None:
+        cursor = after.select("target_id", *(F.col(c).cast("double").alias(f"after:{c}") for c in order))
+        what = replace(what, targets=what.targets.join(cursor, "target_id"))
+    numbers = numbered(what.targets, "target_id") if what.numbers is None else what.numbers
+    width = _width(what, numbers) if what.width is None else what.width
+    id_type = what.refs.schema["ref_id"].dataType.simpleString()
+    sizes = [c for c in what.refs.columns if c not in ("ref_id", "pos", "neg")]
+    refs = cut(what.refs.select("ref_id", "pos", "neg", *(F.col(f"`{c}`").cast("double").alias(c) for c in sizes)))
+    packed = _packed(what, numbers, width)
+    if after is not None:  # a reference's id can't be among the numbers
+        packed = packed.join(_cursors(after, numbers, width), "block")
+    blocks, many = packed.count(), refs.count()
+    pieces = max(1, math.ceil(many / PIECE), math.ceil(CELLS * parts / max(blocks, 1)))
+    named = packed.select("block").distinct()
+    left = refs.withColumn("piece", F.pmod(F.xxhash64("ref_id"), F.lit(pieces)).cast("int"))
+    left = left.join(F.broadcast(named.groupBy().agg(F.collect_list("block").alias("blocks")))).withColumn("block", F.explode("blocks")).drop("blocks")  # one row: a number a block
+    right = packed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    cells = left.groupBy("block", "piece").cogroup(right.groupBy("block", "piece"))
+    got = cells.applyInArrow(_cell(formula, order, k, sizes, width, after is not None, id_type), ", ".join(["n long", f"ref_id {id_type}", *(f"{c} double" for c in order)]))
+    best = top(got, "n", [*(F.asc(c) for c in order), F.asc("ref_id")], k)
+    return best.join(numbers, "n").select("target_id", "ref_id", *order, "rank")
+
+
+def _cursors(after: DataFrame, numbers: DataFrame, width: int) -> DataFrame:
+    """(block, places, last): the ids behind which the targets of a block go on."""
+    rows = after.select("target_id", F.col("ref_id").alias("last")).join(numbers, "target_id")
+    listed = F.array_sort(F.collect_list(F.struct((F.col("n") % width).cast("int").alias("place"), "last")))
+    return rows.groupBy(F.floor(F.col("n") / width).cast("long").alias("block")).agg(listed.alias("cursors")).select("block", F.col("cursors.place").alias("places"), F.col("cursors.last").alias("last"))
+
+
+def _cell(formula: Formula, order: list[str], k: int, sizes: list[str], width: int, resumed: bool, id_type: str):
+    """The k best of each target of a block among the references of a piece."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
+    schema = pa.schema([("n", pa.int64()), ("ref_id", kinds.get(id_type, pa.string())), *((c, pa.float64()) for c in order)])
 
     def step(batch, block):
-        rows, width = batch.num_rows, len(block["ids"])
+        rows = batch.num_rows
         flat = {}
         for side in ("pos", "neg"):
             col = batch.column(side)
@@ -146,27 +226,36 @@ def _scanned(refs: DataFrame, held, formula: Formula, order: list[str], k: int,
             cell, w = lists.hits(*flat[side], width)
             sums[name] = np.bincount(cell, weights=w, minlength=rows * width).astype(np.float64, copy=False).reshape(rows, width)
             sums["n_" + name] = np.bincount(cell, minlength=rows * width).reshape(rows, width)
+        for name, (side, masks) in block["masks"].items():
+            sums[name], sums["n_" + name] = masks.sums(*flat[side], rows, width)
         for name, (side, of, v, lists) in block["least"].items():
             cell, w = lists.hits(*flat[side], len(of))
             low = np.full(rows * len(of), np.inf)
             np.minimum.at(low, cell, w)
             sums[name], sums[name + "_of"], sums[name + "_v"] = low.reshape(rows, len(of)), of, v
-        r = {c: np.asarray(batch.column(c), np.float64)[:, None] for c in numbers}
+        r = {c: np.asarray(batch.column(c), np.float64)[:, None] for c in sizes}
         return formula(sums, block["t"], r)
 
-    def run(batches):
-        block = held.value
-        width = len(block["ids"])
+    def run(left, right):
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        block = pickle.loads(right["payload"][0].as_py())
+        if resumed:
+            last = np.zeros(width, object)
+            last[right["places"][0].as_py()] = right["last"][0].as_py()
         best, limit = None, np.full(width, np.inf)
-        for whole in batches:
+        for whole in left.combine_chunks().to_batches():
             for at in range(0, whole.num_rows, STEP):
                 batch = whole.slice(at, STEP)
                 valid, columns = step(batch, block)
+                every = np.asarray(batch.column("ref_id"))
+                valid = valid & block["here"][None, :]
+                if resumed:
+                    valid = valid & _behind([columns[c] for c in order], [block["t"][f"after:{c}"][None, :] for c in order], every, last)
                 row, target = np.nonzero(valid & (columns[order[0]] <= limit))
                 if not len(row):
                     continue
-                ref = np.asarray(batch.column("ref_id"))
-                ref = (ref.astype(str) if ref.dtype == object else ref)[row]
+                ref = (every.astype(str) if every.dtype == object else every)[row]
                 new = {"target": target, "ref": ref, **{c: columns[c][row, target] for c in order}}
                 if best is not None:
                     new = {c: np.concatenate([best[c], new[c]]) for c in new}
@@ -177,8 +266,21 @@ def _scanned(refs: DataFrame, held, formula: Formula, order: list[str], k: int,
                 best = {c: x[rank[nth < k]] for c, x in new.items()}
                 full = nth == k - 1
                 limit[t[full]] = new[order[0]][rank[full]]
-        if best is not None:
-            ids = np.array(block["ids"])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best["target"]]), pa.array(best["ref"]), *(pa.array(best[c]) for c in order)], ["target_id", "ref_id", *order])
+        if best is None:
+            return schema.empty_table()
+        number = int(right["block"][0].as_py()) * width + best["target"]
+        return pa.table([pa.array(number, pa.int64()), pa.array(best["ref"], schema.field("ref_id").type), *(pa.array(best[c]) for c in order)], schema=schema)
+
+    return run
+
 
-    return refs.mapInArrow(run, ", ".join([f"target_id {id_type['target_id']}", f"ref_id {id_type['ref_id']}", *(f"{c} double" for c in order)]))
+def _behind(values: list[np.ndarray], cursor: list[np.ndarray], ref: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which cells come behind their target's cursor."""
+    same, behind = True, False
+    for value, at in zip(values, cursor):
+        behind = behind | (same & (value > at))
+        same = same & (value == at)
+    row, column = np.nonzero(np.broadcast_to(same, values[0].shape))
+    tie = np.zeros(values[0].shape, bool)
+    tie[row, column] = [ref[i] > last[j] for i, j in zip(row, column)]
+    return behind | tie

@@ -16,8 +16,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks, ontology, sets
+from . import blocks, graph, ontology, sets
 from .vectors import top
+from .workers import numbered
 
 DEFAULT = 1.0
 
@@ -26,7 +27,7 @@ DEFAULT = 1.0
 class Pairing:
     """Targets and references as distinct (target_id | ref_id, concept) pairs, and what some costs need besides.
 
-    weight: (concept, weight); found: graph.bfs() with root sets named by target_id;
+    weight: (concept, weight); found: graph.bfs() with root sets named by target_id; forest: graph.forest(), which best() takes in its place;
     distances: (concept, other, depth) from single target concepts; closure, ic: ontology; pairs: (target_id, ref_id) that lin is to score.
     """
 
@@ -36,6 +37,7 @@ class Pairing:
     target_neg: DataFrame | None = None
     ref_neg: DataFrame | None = None
     found: DataFrame | None = None
+    forest: graph.Forest | None = None
     distances: DataFrame | None = None
     closure: DataFrame | None = None
     pairs: DataFrame | None = None
@@ -176,9 +178,9 @@ def cost(name: str, p: Pairing) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, key: str, weight: DataFrame | None, n: str, w: str, concepts: str | None = None) -> DataFrame:
-    """(key, n, w), and the concepts as an array: number and weight of each key's concepts."""
+    """(key, n, w), and the concepts' numbers as an array: number and weight of each key's concepts."""
     weighed = pairs.withColumn("weight", F.lit(1)) if weight is None else pairs.join(weight, "concept", "left")
-    more = [F.collect_list("concept").alias(concepts)] if concepts else []
+    more = [F.collect_list("n").alias(concepts)] if concepts else []
     return weighed.groupBy(key).agg(F.count(F.lit(1)).alias(n), F.sum(F.coalesce("weight", F.lit(0))).cast("double").alias(w), *more)
 
 
@@ -189,13 +191,20 @@ def _weights(pairs: DataFrame, weight: DataFrame | None) -> DataFrame:
     return pairs.join(weight, "concept", "left").select("target_id", "concept", F.coalesce("weight", F.lit(0)).alias("w"))
 
 
-def compared(name: str, p: Pairing, targets: DataFrame | None = None, refs: DataFrame | None = None) -> tuple[blocks.Search, blocks.Formula]:
+def concept_numbers(*refs: DataFrame) -> DataFrame:
+    """(concept, n) of the references' concepts."""
+    return numbered(reduce(DataFrame.unionByName, (d.select("concept") for d in refs)), "concept")
+
+
+def compared(name: str, p: Pairing, targets: DataFrame | None = None, refs: DataFrame | None = None, concepts: DataFrame | None = None) -> tuple[blocks.Search, blocks.Formula]:
     """What a block search sums for the named cost, and the formula (valid, cost) of the sums; targets, refs: further (target_id | ref_id) without concepts."""
     if name not in REGISTRY or name == "lin":
         raise NotImplementedError(f"no cost that can be compared in blocks is named {name!r}")
     none = p.refs.limit(0)
     neg = p.ref_neg if p.ref_neg is not None else none
-    r = _measured(p.refs, "ref_id", p.weight, "nr", "wr", "pos").join(_measured(neg, "ref_id", p.weight, "nrn", "wrn", "neg"), "ref_id", "full")
+    concepts = concept_numbers(p.refs, neg) if concepts is None else concepts
+    own = lambda d: d.join(concepts, "concept")  # noqa: E731  every concept of a reference has a number
+    r = _measured(own(p.refs), "ref_id", p.weight, "nr", "wr", "pos").join(_measured(own(neg), "ref_id", p.weight, "nrn", "wrn", "neg"), "ref_id", "full")
     r = r if refs is None else refs.select("ref_id").distinct().join(r, "ref_id", "left")
     r = r.select("ref_id", "pos", "neg", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("nr", "wr", "nrn", "wrn")))
     t_neg = p.target_neg if p.target_neg is not None else p.targets.limit(0)
@@ -206,17 +215,24 @@ def compared(name: str, p: Pairing, targets: DataFrame | None = None, refs: Data
     else:
         t = t.withColumn("wc", F.lit(0.0))
     t = t.select("target_id", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("nt", "wt", "ntn", "wtn", "wc")))
-    kinds, least = {"own": ("pos", _weights(p.targets, p.weight))}, {}
+    kinds, least, masks = {"own": ("pos", _weights(p.targets, p.weight))}, {}, {}
     found = p.found.withColumnsRenamed({"root_set": "target_id", "v": "concept"}) if p.found is not None else None
-    if name in ("sym_tversky", "umls_neg") and found is not None:
+    levels = p.forest.levels.select(F.col("v").alias("concept"), F.col("chunk").alias("block"), "depth", "mask", "all_sy") if p.forest is not None else None
+    weighed = lambda d: d.withColumn("w", F.lit(1.0)) if p.weight is None else d.join(p.weight, "concept", "left").withColumn("w", F.coalesce("weight", F.lit(0)).cast("double"))
+    if name in ("sym_tversky", "umls_neg") and levels is not None:
+        masks["syn"] = "pos", weighed(levels.where("depth > 0").select("concept", "block", F.col("all_sy").alias("mask")))
+    elif name in ("sym_tversky", "umls_neg") and found is not None:
         kinds["syn"] = "pos", _weights(found.where("depth > 0 and all_sy"), p.weight)
     if name == "umls_neg":
         kinds["negated"] = "neg", _weights(t_neg, p.weight)
     if name == "depth":
-        kinds = {"near": ("pos", found.where("depth > 0").select("target_id", "concept", F.exp(-p.gamma * (F.col("depth") - 1)).alias("w")))}
+        decayed = F.exp(-p.gamma * (F.col("depth") - 1)).alias("w")
+        kinds = {"near": ("pos", found.where("depth > 0").select("target_id", "concept", decayed))} if levels is None else {}
+        masks = {"near": ("pos", levels.where("depth > 0").select("concept", "block", "mask", decayed))} if levels is not None else {}
     if name == "umls":
-        deepest = found.agg(F.max("depth")).first()[0] or 0
-        kinds = {f"f{d}": ("pos", _weights(found.where(F.col("depth") == d), p.weight)) for d in range(deepest + 1)}
+        deepest = (found if levels is None else levels).agg(F.max("depth")).first()[0] or 0
+        kinds = {f"f{d}": ("pos", _weights(found.where(F.col("depth") == d), p.weight)) for d in range(deepest + 1)} if levels is None else {}
+        masks = {f"f{d}": ("pos", weighed(levels.where(F.col("depth") == d))) for d in range(deepest + 1)} if levels is not None else {}
         reverse = p.targets.join(p.distances, "concept").where(F.col("depth").between(0, p.max_depth)).join(p.weight, "concept", "left")
         least = {"far": ("pos", reverse.select("target_id", F.col("concept").alias("own"), F.col("other").alias("concept"), F.col("depth").alias("w"), F.coalesce("weight", F.lit(0)).alias("v")))}
     alpha, beta, decay, max_depth = p.alpha, p.beta, p.decay, p.max_depth
@@ -243,10 +259,11 @@ def compared(name: str, p: Pairing, targets: DataFrame | None = None, refs: Data
         else:
             common, lost = w + syn, s["negated"]
             sim = alpha * ratio(common, t["wt"] + r["wr"] - w + t["wc"], common) + beta * ratio(lost, t["wtn"] + r["wrn"] - lost + t["wc"], lost)
-            valid = valid | (s["n_negated"] > 0) | (s["n_syn"] > 0 if "n_syn" in s else False)
+            valid = valid | (s["n_negated"] > 0) | (s["n_syn"] > 0 if "n_syn" in s else False)  # a mask's count is whether there are any
         return valid, blocks.rounded(1 - sim)
 
-    return blocks.Search(kinds, t, r, least), formula
+    where = {} if p.forest is None else {"numbers": p.forest.numbers.withColumnRenamed("root_set", "target_id"), "width": p.forest.width}
+    return blocks.Search(kinds, t, r, concepts, least, masks, **where), formula
 
 
 def _umls(s: dict, r: dict, decay: float, max_depth: int) -> tuple[np.ndarray, np.ndarray]:

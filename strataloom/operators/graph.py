@@ -6,13 +6,16 @@ array of relation codes.  A search runs for all root sets in one loop of joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from dataclasses import dataclass
+from functools import reduce
 
-from .workers import stored as cut
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Levels after which the search's tables are cut from their lineage.
-CUT = 4
+from .workers import drop, numbered, ship, stored
 
 
 def keep_edges(pairs: DataFrame, keep: DataFrame, both: bool = True) -> DataFrame:
@@ -46,6 +49,206 @@ def in_degree(edges: DataFrame, nodes: DataFrame, dst: str = "parent") -> DataFr
     return nodes.join(counts, "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("in_degree"))
 
 
+#: Root sets in a mask; degree from which a vertex's neighbours are folded by parts first.
+WIDTH, HUB = 1024, 65_536
+_TREE = ("only_sy", "true", "steps", "cost")
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Breadth-first trees of many root sets: a row for a vertex, depth and chunk of `width` root sets, whose masks have a bit for each.
+
+    levels: (v, chunk, depth, mask, all_sy), or with the tree one row for each parent (pred), and only_sy,
+    and true, steps and cost: 16-bit and 32-bit numbers a bit.  numbers: (root_set, n); n counts bits through the chunks.
+    """
+
+    levels: DataFrame
+    numbers: DataFrame
+    width: int
+    tree: bool
+
+
+def _bits(column) -> np.ndarray:
+    """A column of equally long binaries as rows of bytes."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 1), np.uint8)
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]].reshape(len(column), -1)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    if not len(rows):
+        return pa.array([], pa.binary())
+    rows = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    offs = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offs), pa.py_buffer(rows)])
+
+
+def _fold(rows: DataFrame, tree: bool, keys: list[str]) -> DataFrame:
+    """What each (v, chunk) takes from its neighbours in ascending order, bits once, as `fresh` rows, and what it has seen then.
+
+    rows: keys, src (null for the row of what was seen), mask, all_sy, those of the tree, and the edge's raw, e_sy, e_any, e_step, e_cost.
+    A task goes through sorted rows and holds those of a batch and one vertex.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    more = list(_TREE) if tree else []
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "fresh boolean", f"pred {kinds['src']}", "mask binary", "all_sy binary", *(f"{c} binary" for c in more)])
+
+    def folded(batch):
+        n = batch.num_rows
+        new = np.zeros(n, bool)
+        new[0] = True
+        for c in keys:
+            col = batch.column(c)
+            new[1:] |= np.asarray(pc.fill_null(pc.not_equal(col.slice(1), col.slice(0, n - 1)), False), bool)
+        start = np.flatnonzero(new)
+        size = np.diff(np.r_[start, n])
+        group = np.repeat(np.arange(len(start)), size)
+        mask, known = _bits(batch.column("mask")), np.asarray(batch.column("src").is_null(), bool)
+        acc = np.zeros((len(start), mask.shape[1]), np.uint8)
+        acc[group[known]] = mask[known]
+        before, took = acc.copy(), np.zeros_like(mask)
+        at, left = start + known[start], size - known[start]
+        while (some := np.flatnonzero(left > 0)).size:
+            row = at[some]
+            took[row] = mask[row] & ~acc[some]
+            acc[some] |= took[row]
+            at, left = at + 1, left - 1
+        column = lambda c: _bits(batch.column(c))
+        flag = lambda c: np.where(np.asarray(batch.column(c).fill_null(False), bool), np.uint8(255), np.uint8(0))[:, None]
+        all_sy = took & column("all_sy") & flag("e_sy")
+        out, keep = [], np.flatnonzero(took.any(1))
+        if tree:
+            step, cost = np.asarray(batch.column("e_step").fill_null(False), np.int16), np.asarray(batch.column("e_cost").fill_null(0.0), np.float32)
+            true, raw = column("true").view(np.int16)[keep], flag("raw")[keep] > 0
+            steps = np.where(raw, true + np.int16(1), column("steps").view(np.int16)[keep])
+            values = [(took & column("only_sy") & flag("e_any"))[keep], true + step[keep, None], steps, column("cost").view(np.float32)[keep] + cost[keep, None]]
+            out.append([*(batch.column(c).take(pa.array(keep)) for c in keys), pa.array(np.ones(len(keep), bool)), batch.column("src").take(pa.array(keep)), *map(_binary, (took[keep], all_sy[keep], *values))])
+        else:
+            sy = np.zeros_like(acc)
+            np.bitwise_or.at(sy, group[keep], all_sy[keep])
+            fresh = np.flatnonzero((acc & ~before).any(1))
+            out.append([*(batch.column(c).take(pa.array(start[fresh])) for c in keys), pa.array(np.ones(len(fresh), bool)), batch.column("src").take(pa.array((start + size - 1)[fresh])), _binary((acc & ~before)[fresh]), _binary(sy[fresh])])
+        none = pa.nulls(len(start), pa.binary())
+        out.append([*(batch.column(c).take(pa.array(start)) for c in keys), pa.array(np.zeros(len(start), bool)), pa.nulls(len(start), batch.schema.field("src").type), _binary(acc), none, *(none for _ in more)])
+        names = [*keys, "fresh", "pred", "mask", "all_sy", *more]
+        return [pa.RecordBatch.from_arrays(columns, names) for columns in out]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch if held is None else pa.RecordBatch.from_struct_array(pa.concat_arrays([held.to_struct_array(), batch.to_struct_array()]))
+            last = whole.num_rows - 1
+            while last and all(whole.column(c)[last].equals(whole.column(c)[last - 1]) for c in keys):
+                last -= 1
+            held = whole.slice(last)
+            if last:
+                yield from folded(whole.slice(0, last))
+        if held is not None:
+            yield from folded(held)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ship(rows.sparkSession)
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, F.asc_nulls_first("src")).mapInArrow(run, schema)
+
+
+def _cut_flags(edges: DataFrame, hub: int) -> tuple[DataFrame, bool]:
+    """Edges with what the search needs of their codes, and the part of a hub's neighbours that each is in (null for others); whether there are hubs."""
+    other = F.array_except("rels", F.array(F.lit("RQ"), F.lit("SY")))
+    flags = edges.where("src is not null and dst is not null").select(
+        "src", "dst", F.array_contains("rels", "SY").alias("e_sy"), F.arrays_overlap("rels", F.array(*map(F.lit, ("RL", "RQ", "SY")))).alias("e_any"),
+        (F.size(other) > 0).alias("e_step"), F.when(F.size(other) == 0, 0.0).when(F.array_contains(other, "CHD"), 0.5).otherwise(1.0).alias("e_cost"), F.lit(True).alias("raw"),
+    )
+    flags = stored(flags)
+    hubs = stored(flags.groupBy("dst").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") > hub).select("dst", F.lit(True).alias("_hub")))
+    if hubs.isEmpty():
+        return flags.withColumn("part", F.lit(None).cast("long")), False
+    at = numbered(flags.join(hubs, "dst", "left_semi"), "src").select("src", F.floor(F.col("n") / hub).alias("part"))
+    many = flags.join(hubs, "dst", "left_semi").join(at, "src")
+    return stored(flags.join(hubs, "dst", "left_anti").withColumn("part", F.lit(None).cast("long")).unionByName(many)), True
+
+
+def forest(edges: DataFrame, roots: DataFrame, max_depth: int, numbers: DataFrame | None = None, width: int = WIDTH, tree: bool = False, hub: int = HUB) -> Forest:
+    """Breadth-first search from all root sets at once, in masks of `width` of them; edges: (src, dst, rels) both ways, roots: (root_set, v).
+
+    At each level a vertex takes, from its neighbours in ascending order, the bits that it has neither seen nor
+    taken, which gives every root set the smallest parent; what is carried along the edge comes with them.  Neighbours of a
+    vertex with more than `hub` are folded by parts of that many, and the parts in order.  numbers: (root_set, n), where the caller has numbered them.
+    """
+    spark = edges.sparkSession
+    ship(spark)
+    numbers = numbered(roots, "root_set") if numbers is None else numbers
+    flags, hubs = _cut_flags(edges, hub)
+    v_type = roots.schema["v"].dataType.simpleString()
+    more = list(_TREE) if tree else []
+
+    def single(batches):
+        for batch in batches:
+            bit = np.asarray(batch.column("bit"), np.int64)
+            mask = np.zeros((len(bit), width // 8), np.uint8)
+            mask[np.arange(len(bit)), bit // 8] = np.uint8(1) << (bit % 8).astype(np.uint8)
+            none = np.zeros((len(bit), width), np.int16)
+            values = {"mask": mask, "all_sy": mask, "only_sy": mask, "true": none, "steps": none, "cost": np.zeros((len(bit), width), np.float32)}
+            names = ["mask", "all_sy", *more]
+            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("chunk"), *(_binary(values[c]) for c in names)], ["v", "chunk", *names])
+
+    placed = roots.where("v is not null").select("root_set", "v").distinct().join(numbers, "root_set").select("v", F.floor(F.col("n") / width).alias("chunk"), (F.col("n") % width).alias("bit"))
+    begun = placed.mapInArrow(single, ", ".join([f"v {v_type}, chunk long, mask binary, all_sy binary", *(f"{c} binary" for c in more)]))
+    names = ["v", "chunk", "src", "mask", "all_sy", *more, "raw", "e_sy", "e_any", "e_step", "e_cost"]
+    plain = {"raw": F.lit(False), "e_sy": F.lit(True), "e_any": F.lit(True), "e_step": F.lit(False), "e_cost": F.lit(0.0)}
+    rows = begun.withColumns({"src": F.col("v"), **plain}).select(names)
+    kept, levels = [], []
+    for depth in range(max_depth + 1):
+        if depth:
+            cand = before.where("fresh").select(F.col("v").alias("src"), "chunk", "mask", "all_sy", *more).join(flags, "src").withColumnRenamed("dst", "v")
+            rows = cand.where("part is null").select(names) if hubs else cand.select(names)
+            if hubs:
+                some = _fold(cand.where("part is not null").select("part", *names), tree, ["v", "chunk", "part"]).where("fresh")
+                rows = rows.unionByName(some.withColumn("src", F.col("pred")).withColumns(plain).select(names))
+            seen = before.where("not fresh").select("v", "chunk", F.lit(None).cast(v_type).alias("src"), "mask", F.col("mask").alias("all_sy"))
+            zero = {"only_sy": F.col("mask"), **{c: F.lit(bytes(width * size)) for c, size in (("true", 2), ("steps", 2), ("cost", 4))}}
+            rows = rows.unionByName(seen.withColumns({c: zero[c] for c in more} | plain).select(names))
+        before = stored(_fold(rows, tree, ["v", "chunk"]))
+        kept.append(before)
+        fresh = before.where("fresh")
+        if depth and fresh.isEmpty():
+            break
+        pred = F.col("pred") if depth else F.lit(None).cast(v_type)
+        levels.append(fresh.select("v", "chunk", F.lit(depth).alias("depth"), "mask", "all_sy", *([pred.alias("pred"), *more] if tree else [])))
+    out = stored(reduce(DataFrame.unionByName, levels))
+    drop(*kept)
+    return Forest(out, numbers, width, tree)
+
+
+def unmasked(found: Forest) -> DataFrame:
+    """The forest's rows, one for each root set and vertex: (root_set, v, depth, all_sy), and with the tree pred, only_sy, steps, cost."""
+    tree, width = found.tree, found.width
+    v_type = found.levels.schema["v"].dataType.simpleString()
+    schema = f"n long, v {v_type}, depth int, all_sy boolean" + (f", pred {v_type}, only_sy boolean, steps double, cost double" if tree else "")
+
+    def run(batches):
+        for batch in batches:
+            masks = np.unpackbits(_bits(batch.column("mask")), axis=1, bitorder="little") if batch.num_rows else np.zeros((0, width), np.uint8)
+            row, bit = np.nonzero(masks)
+            pick = pa.array(row)
+            flag = lambda c: pa.array(np.unpackbits(_bits(batch.column(c)), axis=1, bitorder="little")[row, bit].astype(bool))
+            depth = np.asarray(batch.column("depth"))[row]
+            out = [pa.array(np.asarray(batch.column("chunk"), np.int64)[row] * width + bit), batch.column("v").take(pick), pa.array(depth), flag("all_sy") if len(row) else pa.array([], pa.bool_())]
+            names = ["n", "v", "depth", "all_sy"]
+            if tree:
+                steps = _bits(batch.column("steps")).view(np.int16)[row, bit].astype(np.float64) if len(row) else np.zeros(0)
+                out += [batch.column("pred").take(pick), flag("only_sy") if len(row) else pa.array([], pa.bool_()), pa.array(np.where(depth == 0, 0.5, steps)), pa.array(_bits(batch.column("cost")).view(np.float32)[row, bit].astype(np.float64) if len(row) else np.zeros(0))]
+                names += ["pred", "only_sy", "steps", "cost"]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    ship(found.levels.sparkSession)
+    return found.levels.mapInArrow(run, schema).join(found.numbers, "n").drop("n")
+
+
 def bfs(edges: DataFrame, roots: DataFrame, max_depth: int, measures: bool = True) -> DataFrame:
     """(root_set, v, depth, pred, all_sy, only_sy, steps, cost): breadth-first trees of all root sets, roots included.
 
@@ -55,48 +258,14 @@ def bfs(edges: DataFrame, roots: DataFrame, max_depth: int, measures: bool = Tru
     code besides RQ and SY, where a first edge of those alone counts 1; cost, the cheapest such code of each edge
     (CHD 0.5, others 1).  Without measures, (root_set, v, depth, all_sy).
     """
-    other = F.array_except("rels", F.array(F.lit("RQ"), F.lit("SY")))
-    flags = edges.select(
-        "src", "dst", F.array_contains("rels", "SY").alias("e_sy"), F.arrays_overlap("rels", F.array(*map(F.lit, ("RL", "RQ", "SY")))).alias("e_any"),
-        (F.size(other) > 0).alias("e_step"), F.when(F.size(other) == 0, 0.0).when(F.array_contains(other, "CHD"), 0.5).otherwise(1.0).alias("e_cost"),
-    )
-    if not measures:
-        flags = flags.select("src", "dst", "e_sy")
-    flags = cut(flags)
-    first = {"pred": F.lit(None).cast(roots.schema["v"].dataType), "all_sy": F.lit(True), "only_sy": F.lit(True), "path": F.array().cast("array<boolean>"), "cost": F.lit(0.0)}
-    step = {"pred": F.col("src"), "all_sy": F.col("all_sy") & F.col("e_sy"), "only_sy": F.col("only_sy") & F.col("e_any") if measures else None, "path": F.concat(F.array("e_step"), "path") if measures else None, "cost": F.col("cost") + F.col("e_cost") if measures else None}
-    names = list(first) if measures else ["all_sy"]
-    seen = frontier = cut(roots.select("root_set", "v").distinct().select("root_set", "v", F.lit(0).alias("depth"), *(first[c].alias(c) for c in names)))
-    for depth in range(1, max_depth + 1):
-        out = frontier.withColumnRenamed("v", "src").join(flags, "src")
-        best = out.groupBy("root_set", F.col("dst").alias("v")).agg(F.min_by(F.struct(*(step[c].alias(c) for c in names)), "src").alias("b"))
-        frontier = best.join(seen.select("root_set", "v"), ["root_set", "v"], "left_anti").select("root_set", "v", F.lit(depth).alias("depth"), *(f"b.{c}" for c in names))
-        frontier = cut(frontier)
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if depth % CUT == 0:
-            seen = cut(seen)
-    return seen.withColumn("steps", _steps(F.col("path"))).drop("path") if measures else seen
+    names = ["root_set", "v", "depth", *(["pred", "all_sy", "only_sy", "steps", "cost"] if measures else ["all_sy"])]
+    return unmasked(forest(edges, roots, max_depth, width=64 if measures else WIDTH, tree=measures)).select(names)
 
 
 def distances(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """(root, v, depth): bfs() without the tree, from single roots (root)."""
-    one = edges.select("src", F.col("dst").alias("v"))
-    seen = frontier = cut(roots.select("root").distinct().select("root", F.col("root").alias("v"), F.lit(0).alias("depth")))
-    for depth in range(1, max_depth + 1):
-        out = frontier.select("root", F.col("v").alias("src")).join(one, "src").select("root", "v").distinct()
-        frontier = cut(out.join(seen.select("root", "v"), ["root", "v"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
-
-
-def _steps(path: Column) -> Column:
-    """The walk from a concept up to its root: 0.5 at a root; an edge of synonym codes alone counts 1 if nothing was counted before it."""
-    counted = F.aggregate(path, F.lit(0.0), lambda n, step: F.when(step, n + 1.0).when(n == 0.0, F.lit(1.0)).otherwise(n))
-    return F.when(counted == 0.0, 0.5).otherwise(counted)
+    sets = roots.select(F.col("root").alias("root_set"), F.col("root").alias("v"))
+    return bfs(edges.select("src", "dst", F.array().cast("array<string>").alias("rels")), sets, max_depth, measures=False).select(F.col("root_set").alias("root"), "v", "depth")
 
 
 def depth_sets(found: DataFrame) -> DataFrame:

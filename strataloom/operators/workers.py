@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,7 +28,35 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: cuts the lineage, survives executors, and is read by columns."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by stored(), once nothing that is still to run reads them."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """(column, n): the distinct values that are not null, numbered from 0 without gaps in ascending order.
+
+    Values are dealt by ranges and numbered in each; only the ranges' sizes come to the driver.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    rows = stored(values.repartitionByRange(parts, column).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = dict(tuple(r) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())
+    before, offsets = 0, []
+    for p in range(max(sizes, default=-1) + 1):
+        offsets.append(before)
+        before += sizes.get(p, 0)
+    out = rows.select(column, (F.element_at(F.array(*map(F.lit, offsets or [0])), part + 1) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("n"))
+    out._count = before
+    return out
 
 
 def ship(spark: SparkSession) -> None:
