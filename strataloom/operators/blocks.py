@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import even_width
 from .vectors import top
 from .workers import numbered, ship
 from .workers import stored as cut
@@ -154,18 +155,14 @@ def _packed(what: Search, numbers: DataFrame, width: int) -> DataFrame:
 
 
 def _width(what: Search, numbers: DataFrame) -> int:
-    """Targets of a block, a power of two, so that none has more than BLOCK_ENTRIES."""
-    width = 8
-    while width < BLOCK_TARGETS:
-        width *= 2
+    """Targets of a block, a multiple of 8, so that blocks are equally full and none has more than BLOCK_ENTRIES."""
+    width = even_width(numbers._count, BLOCK_TARGETS)
     entries = [d.select("target_id") for _, d in (*what.kinds.values(), *what.least.values())]
     if not entries:
         return width
     eights = reduce(DataFrame.unionByName, entries).join(numbers, "target_id").groupBy(F.floor(F.col("n") / 8).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     most = eights.agg(F.max("n")).first()[0] or 0
-    while width > 8 and most * width // 8 > BLOCK_ENTRIES:
-        width //= 2
-    return width
+    return max(8, min(width, 8 * (BLOCK_ENTRIES // most))) if most else width
 
 
 def search(what: Search, formula: Formula, order: list[str], k: int, after: DataFrame | None = None) -> DataFrame:
@@ -196,7 +193,8 @@ def search(what: Search, formula: Formula, order: list[str], k: int, after: Data
     left = refs.withColumn("piece", F.pmod(F.xxhash64("ref_id"), F.lit(pieces)).cast("int"))
     left = left.join(F.broadcast(named.groupBy().agg(F.collect_list("block").alias("blocks")))).withColumn("block", F.explode("blocks")).drop("blocks")  # one row: a number a block
     right = packed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    cells = left.groupBy("block", "piece").cogroup(right.groupBy("block", "piece"))
+    dealt = lambda d: d.repartition(max(parts, min(blocks * pieces, CELLS * parts)), "block", "piece").groupBy("block", "piece")  # noqa: E731  small cells are work, so they aren't put together
+    cells = dealt(left).cogroup(dealt(right))
     got = cells.applyInArrow(_cell(formula, order, k, sizes, width, after is not None, id_type), ", ".join(["n long", f"ref_id {id_type}", *(f"{c} double" for c in order)]))
     best = top(got, "n", [*(F.asc(c) for c in order), F.asc("ref_id")], k)
     return best.join(numbers, "n").select("target_id", "ref_id", *order, "rank")

@@ -6,6 +6,7 @@ array of relation codes.  A search runs for all root sets in one loop of joins.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -124,8 +125,17 @@ def _fold(rows: DataFrame, tree: bool, keys: list[str]) -> DataFrame:
             step, cost = np.asarray(batch.column("e_step").fill_null(False), np.int16), np.asarray(batch.column("e_cost").fill_null(0.0), np.float32)
             true, raw = column("true").view(np.int16)[keep], flag("raw")[keep] > 0
             steps = np.where(raw, true + np.int16(1), column("steps").view(np.int16)[keep])
-            values = [(took & column("only_sy") & flag("e_any"))[keep], true + step[keep, None], steps, column("cost").view(np.float32)[keep] + cost[keep, None]]
-            out.append([*(batch.column(c).take(pa.array(keep)) for c in keys), pa.array(np.ones(len(keep), bool)), batch.column("src").take(pa.array(keep)), *map(_binary, (took[keep], all_sy[keep], *values))])
+            only = (took & column("only_sy") & flag("e_any"))[keep]
+            bits = np.unpackbits(took[keep], axis=1, bitorder="little")
+            numbers = [bits * x for x in (true + step[keep, None], steps, column("cost").view(np.float32)[keep] + cost[keep, None])]
+            if len(keep):  # what came from one neighbour in several rows is one row again
+                src = batch.column("src").take(pa.array(keep))
+                other = np.asarray(pc.fill_null(pc.not_equal(src.slice(1), src.slice(0, len(keep) - 1)), True), bool)
+                run = np.flatnonzero(np.r_[True, other | (group[keep][1:] != group[keep][:-1])])
+                masks = [np.bitwise_or.reduceat(x, run) for x in (took[keep], all_sy[keep], only)]
+                values = [*masks, *(np.add.reduceat(x, run).astype(x.dtype) for x in numbers)]
+                pick = pa.array(keep[run])
+                out.append([*(batch.column(c).take(pick) for c in keys), pa.array(np.ones(len(run), bool)), batch.column("src").take(pick), *map(_binary, values)])
         else:
             sy = np.zeros_like(acc)
             np.bitwise_or.at(sy, group[keep], all_sy[keep])
@@ -172,8 +182,14 @@ def _cut_flags(edges: DataFrame, hub: int) -> tuple[DataFrame, bool]:
     return stored(flags.join(hubs, "dst", "left_anti").withColumn("part", F.lit(None).cast("long")).unionByName(many)), True
 
 
+def even_width(count: int, most: int = WIDTH) -> int:
+    """Bits of a mask, a multiple of 8, so that chunks of at most `most` root sets are equally full."""
+    chunks = max(1, math.ceil(count / most))
+    return max(8, 8 * math.ceil(count / chunks / 8))
+
+
 def forest(edges: DataFrame, roots: DataFrame, max_depth: int, numbers: DataFrame | None = None, width: int = WIDTH, tree: bool = False, hub: int = HUB) -> Forest:
-    """Breadth-first search from all root sets at once, in masks of `width` of them; edges: (src, dst, rels) both ways, roots: (root_set, v).
+    """Breadth-first search from all root sets at once, in masks of at most `width` of them; edges: (src, dst, rels) both ways, roots: (root_set, v).
 
     At each level a vertex takes, from its neighbours in ascending order, the bits that it has neither seen nor
     taken, which gives every root set the smallest parent; what is carried along the edge comes with them.  Neighbours of a
@@ -182,6 +198,7 @@ def forest(edges: DataFrame, roots: DataFrame, max_depth: int, numbers: DataFram
     spark = edges.sparkSession
     ship(spark)
     numbers = numbered(roots, "root_set") if numbers is None else numbers
+    width = even_width(numbers._count if hasattr(numbers, "_count") else numbers.count(), width)
     flags, hubs = _cut_flags(edges, hub)
     v_type = roots.schema["v"].dataType.simpleString()
     more = list(_TREE) if tree else []

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the vectors takes, and vectors that it compares at once.
-QUERY_BLOCK, STEP = 1024, 1024
+from .workers import ship
+
+#: Queries of a block, vectors of a piece, vectors that are compared at once, and cells for each shuffle partition.
+QUERY_BLOCK, PIECE, STEP, CELLS = 1024, 50_000, 1024, 2
 
 
 def norm(v: Column) -> Column:
@@ -41,60 +45,64 @@ def mean_by(rows: DataFrame, by: str, vector: str, mask: Column, size: int) -> D
     return got.select(by, F.array(*(F.col(f"_s{k}") / count for k in range(size))).alias("mean"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = True, after: DataFrame | None = None) -> DataFrame:
     """(query_id, ref_id, score, rank): the k largest cosine similarities of each query, ties by ref_id.
 
-    queries, vectors: (id, embedding), ids of numbers or text.  Queries go out in blocks of QUERY_BLOCK (a
-    bounded broadcast); each partition of vectors keeps its own k best of a query,
-    so what is shuffled is k rows a query and partition.
+    queries, vectors: (id, embedding), ids of numbers or text.  Queries are dealt to blocks of some QUERY_BLOCK, vectors to
+    pieces of at most PIECE; one shuffle brings each block to each piece, and each cell of that grid keeps its own k best
+    of a query, so what is shuffled then is k rows a query and piece.
+    after: (query_id, score, ref_id), rows of a former call: the k next ones behind them, of those queries.
     """
     spark = queries.sparkSession
+    ship(spark)
     kind, asked = ("long" if d.schema["id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string" for d in (vectors, queries))
     exclude_self = exclude_self and kind == asked
     schema = f"query_id {asked}, ref_id {kind}, score double"
+    types = pa.schema([(c, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[t]) for c, t in (x.split() for x in schema.split(", "))])
     plain = lambda x: x.astype(str) if x.dtype == object else x
-    found, block = None, []
-
-    def scan(block):
-        ids = np.array([r[0] for r in block])
-        q = np.array([r[1] for r in block], np.float64)
-        size = np.linalg.norm(q, axis=1, keepdims=True)
-        held = spark.sparkContext.broadcast((ids, np.divide(q, size, out=q.copy(), where=size > 0)))
-
-        def run(batches):
-            ids, q = held.value
-            best_s = np.full((len(ids), 0), -np.inf)
-            best_i = None
-            parts = (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP))
-            for batch in parts:
-                ref = plain(np.asarray(batch.column("id")))
-                x = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(batch.num_rows, -1)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(q @ np.divide(x, n, out=x.copy(), where=n > 0).T, 6)
-                if exclude_self:
-                    s[ids[:, None] == ref[None, :]] = -np.inf
-                if best_s.shape[1] == k:  # only what reaches the k-th best so far can enter
-                    some = np.flatnonzero((s >= best_s[:, -1:]).any(0))
-                    s, ref = s[:, some], ref[some]
-                i = np.broadcast_to(ref, s.shape)
-                s, i = np.concatenate([best_s, s], 1), i if best_i is None else np.concatenate([best_i, i], 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            if best_i is None:
-                return
-            row, col = np.nonzero(best_s > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_i[row, col]), pa.array(best_s[row, col])], ["query_id", "ref_id", "score"])
-
-        return vectors.select(F.col("id").cast(kind).alias("id"), "embedding").where("embedding is not null").mapInArrow(run, schema)
-
-    for r in queries.select(F.col("id").cast(asked).alias("id"), "embedding").where("embedding is not null").toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            found, block = scan(block) if found is None else found.unionByName(scan(block)), []
-    if block:
-        found = scan(block) if found is None else found.unionByName(scan(block))
-    if found is None:
-        return spark.createDataFrame([], schema + ", rank int")
+
+    def unit_rows(column) -> np.ndarray:
+        x = np.asarray(column.combine_chunks().flatten(), np.float64).reshape(len(column), -1)
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, n, out=x.copy(), where=n > 0)
+
+    def cell(left, right):
+        if not left.num_rows or not right.num_rows:
+            return types.empty_table()
+        ids, q = plain(np.asarray(left["id"])), unit_rows(left["asked"])
+        last = (np.asarray(left["s"], np.float64)[:, None], plain(np.asarray(left["r"]))[:, None]) if "r" in left.column_names else None
+        best_s, best_i = np.full((len(ids), 0), -np.inf), None
+        for at in range(0, right.num_rows, STEP):
+            part = right.slice(at, STEP)
+            ref = plain(np.asarray(part["id"]))
+            s = np.round(q @ unit_rows(part["embedding"]).T, 6)
+            if exclude_self:
+                s[ids[:, None] == ref[None, :]] = -np.inf
+            if last is not None:
+                s[(s > last[0]) | ((s == last[0]) & (ref[None, :] <= last[1]))] = -np.inf
+            if best_s.shape[1] == k:  # only what reaches the k-th best so far can enter
+                some = np.flatnonzero((s >= best_s[:, -1:]).any(0))
+                s, ref = s[:, some], ref[some]
+            i = np.broadcast_to(ref, s.shape)
+            s, i = np.concatenate([best_s, s], 1), i if best_i is None else np.concatenate([best_i, i], 1)
+            order = np.lexsort((i, -s), axis=1)[:, :k]
+            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        row, col = np.nonzero(best_s > -np.inf)
+        return pa.table([pa.array(ids[row]), pa.array(best_i[row, col]), pa.array(best_s[row, col])], schema=types)
+
+    rows = queries.select(F.col("id").cast(asked).alias("id"), F.col("embedding").alias("asked")).where("asked is not null")
+    if after is not None:
+        rows = rows.join(after.select(F.col("query_id").cast(asked).alias("id"), F.col("score").alias("s"), F.col("ref_id").cast(kind).alias("r")), "id")
+    known = vectors.select(F.col("id").cast(kind).alias("id"), "embedding").where("embedding is not null")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, math.ceil(rows.count() / QUERY_BLOCK))
+    pieces = max(1, math.ceil(known.count() / PIECE), math.ceil(CELLS * parts / blocks))
+    deal = lambda d, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("block", deal(rows, blocks)).withColumn("piece", every(pieces))
+    right = known.withColumn("piece", deal(known, pieces)).withColumn("block", every(blocks))
+    dealt = lambda d: d.repartition(max(parts, min(blocks * pieces, CELLS * parts)), "block", "piece").groupBy("block", "piece")
+    found = dealt(left).cogroup(dealt(right)).applyInArrow(cell, schema)
     return top(found, "query_id", [F.desc("score"), F.asc("ref_id")], k)
 
 

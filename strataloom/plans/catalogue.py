@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..operators import costs, evaluate, graph, labels, mentions, ontology, prep, retrieve, sets, vectors
-from ..operators.workers import stored
+from ..operators.workers import numbered, stored
 from ..sources import last_per_key, table
 from . import standins as si
 
@@ -566,6 +566,12 @@ ovs AS (SELECT * FROM ov JOIN ts USING (target_id) JOIN rs USING (ref_id))"""
 _GRAPH = f", {si.edges_sql()}, root AS (SELECT target_id AS root_set, concept AS v FROM t), {si.bfs_sql(_DEPTH)}, syn AS (SELECT root_set AS target_id, v AS concept FROM found WHERE depth > 0 AND all_sy), so AS (SELECT target_id, ref_id, sum({si.WEIGHT})::DOUBLE AS ws FROM syn JOIN r USING (concept) GROUP BY 1, 2)"
 
 
+def _targets(spark, d, only: DataFrame | None = None) -> DataFrame:
+    """(target_id): the query reports, or `only` some of them."""
+    targets = si.reports(spark, d).where(si.is_query("report_id")).withColumnRenamed("report_id", "target_id")
+    return targets if only is None else targets.join(only, "target_id", "left_semi")
+
+
 def _pairing(spark, d, search: bool = False, only: DataFrame | None = None, **more) -> costs.Pairing:
     """Pairs of the targets, or of `only` some (target_id), with their graph search where a cost needs it."""
     pos, neg = (stored(x) for x in mentions.concept_pairs(si.mentions(spark, d)))
@@ -574,7 +580,8 @@ def _pairing(spark, d, search: bool = False, only: DataFrame | None = None, **mo
         t = t.join(only, "target_id", "left_semi")
     tn, rn = si.split_sets(neg)
     if search:
-        more["found"] = graph.bfs(graph.both_ways(_edges(spark, d)), t.select(F.col("target_id").alias("root_set"), F.col("concept").alias("v")), _DEPTH, measures=False)
+        sets_ = _targets(spark, d, only).withColumnRenamed("target_id", "root_set")
+        more["forest"] = graph.forest(graph.both_ways(_edges(spark, d)), t.select(F.col("target_id").alias("root_set"), F.col("concept").alias("v")), _DEPTH, numbered(sets_, "root_set"))
     return costs.Pairing(t, r, weight=stored(si.weight(pos.unionByName(neg))), target_neg=tn, ref_neg=rn, **more)
 
 
@@ -654,9 +661,9 @@ s AS (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, q.label AS ql, r.label AS
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) AS rank FROM s)"""
 
 
-def _knn(spark, d, k: int = 5) -> DataFrame:
+def _knn(spark, d, k: int = 5, after: DataFrame | None = None) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return vectors.knn(v.where(si.is_query("id")), v, k)
+    return vectors.knn(v.where(si.is_query("id")), v, k, after=after)
 
 
 @query(_VEC + " SELECT query_id, ref_id, score, rank::INTEGER AS rank FROM k WHERE rank <= 5")
@@ -719,23 +726,25 @@ def round_robin_schedule(spark, d):
     return _turns(spark, d)
 
 
-def _nearest(spark, d, metric: str, k: int, search: bool = False, only: DataFrame | None = None, alien=None, **more) -> DataFrame:
-    """The closest reports of all query reports, or of `only` some (target_id)."""
+_CLOSEST = ["target_id", "ref_id", "cost", "neg_cost", "branch", "rank"]
+
+
+def _nearest(spark, d, metric: str, k: int, search: bool = False, only: DataFrame | None = None, alien=None, **more):
+    """Gives the k closest reports of all query reports, or of `only` some (target_id), and those after a row."""
     p = _pairing(spark, d, search, only)
     all_ = si.reports(spark, d)
-    targets = all_.where(si.is_query("report_id")).withColumnRenamed("report_id", "target_id")
-    t_neg = p.target_neg
+    targets, t_neg = _targets(spark, d, only), p.target_neg
     if only is not None:
-        targets, t_neg = targets.join(only, "target_id", "left_semi"), t_neg.join(only, "target_id", "left_semi")
+        t_neg = t_neg.join(only, "target_id", "left_semi")
     t_pos = p.targets if alien is None else alien(p.targets)
-    pos = costs.Pairing(t_pos, p.refs, weight=p.weight, target_neg=t_neg, ref_neg=p.ref_neg, found=p.found)
+    pos = costs.Pairing(t_pos, p.refs, weight=p.weight, target_neg=t_neg, ref_neg=p.ref_neg, forest=p.forest)
     neg = costs.Pairing(t_neg, p.ref_neg, weight=p.weight)
-    reach = p.found.select(F.col("root_set").alias("target_id"), F.col("v").alias("concept")) if search else None
-    return retrieve.nearest(targets, more.pop("refs", all_.withColumnRenamed("report_id", "ref_id")), pos, neg, metric, k, reach, **more)
+    refs = more.pop("refs", all_.withColumnRenamed("report_id", "ref_id"))
+    return lambda after=None: retrieve.nearest(targets, refs, pos, neg, metric, k, after=after, **more)
 
 
 def _closest(spark, d) -> DataFrame:
-    return _nearest(spark, d, "dice", _K)
+    return _nearest(spark, d, "dice", _K)().select(_CLOSEST)
 
 
 _CLOSE = f"""{_OV}, tg AS (SELECT o_orderkey AS target_id FROM orders WHERE o_orderkey % {si.QUERY_STEP} = 0), em AS (SELECT o_orderkey AS ref_id FROM orders WHERE o_orderkey NOT IN (SELECT report_id FROM pos)), ng AS (SELECT DISTINCT ref_id FROM rn),
@@ -799,7 +808,7 @@ def _some_alien(t: DataFrame) -> DataFrame:
 @query(_OV + ", ta AS (SELECT target_id, CASE WHEN target_id % 200 = 0 THEN 'x' || concept ELSE concept END AS concept FROM t), " + _PLACES.format(positive="SELECT target_id, ref_id, round(1 - 2 * n / (nt + nr), 6) AS cost FROM ovs WHERE target_id % 200 <> 0", negated=_DICE_NEG, shares="SELECT * FROM ta", known="coalesce(size, 0) > 0") + _FIRST)
 def topk_fallback(spark, d):
     """Targets with negated concepts alone against references that all have positive ones, and targets that share nothing."""
-    return _nearest(spark, d, "dice", _K, alien=_some_alien, allow_empty=False)
+    return _nearest(spark, d, "dice", _K, alien=_some_alien, allow_empty=False)().select(_CLOSEST)
 
 
 _DEFAULT = _OV + _GRAPH + ", ta AS (SELECT * FROM t), " + _PLACES.format(positive=_SYM, negated=_SYM_NEG, shares="SELECT root_set AS target_id, v AS concept FROM found", known="true")
@@ -808,10 +817,7 @@ _DEFAULT = _OV + _GRAPH + ", ta AS (SELECT * FROM t), " + _PLACES.format(positiv
 @query(_DEFAULT + _FIRST)
 def topk_default(spark, d):
     """The closest reports by the default metric, among all that a report's concepts reach in the graph."""
-    return _nearest(spark, d, "sym_tversky", _K, search=True)
-
-
-_TOTAL = sum(b for _, _, b in _BUDGETS)
+    return _nearest(spark, d, "sym_tversky", _K, search=True)().select(_CLOSEST)
 
 
 @query(_DEFAULT.replace("WITH", "WITH RECURSIVE", 1) + f", {_SEEDS_SQL}, {_TURNS}" + """, nth AS (SELECT *, row_number() OVER (ORDER BY step, cls_no) AS n FROM turn),
@@ -826,8 +832,8 @@ def greedy_retrieval(spark, d):
     turns = _turns(spark, d)
     seeds = turns.select(F.col("seed_id").alias("target_id")).distinct()
     pool = si.reports(spark, d).withColumnRenamed("report_id", "ref_id").join(seeds.withColumnRenamed("target_id", "ref_id"), "ref_id", "left_anti")
-    ranked = _nearest(spark, d, "sym_tversky", _TOTAL, search=True, only=seeds, refs=pool, spill=True)
-    return retrieve.greedy(turns, ranked.select(F.col("target_id").alias("seed_id"), "ref_id", "cost", "rank"))
+    page = _nearest(spark, d, "sym_tversky", retrieve.PAGE, search=True, only=seeds, refs=pool, spill=True)
+    return retrieve.greedy(turns, *retrieve.paged(page, "target_id"))
 
 
 # ---------------------------------------------------------------- evaluation

@@ -470,12 +470,96 @@ def test_nearest_spills_over(spark):
     assert {x[0] for x in got["o"][:2]} == {"r3", "r4"} and len(got["o"]) == 7
 
 
-def test_greedy_reads_on_page_by_page(spark, monkeypatch):
-    monkeypatch.setattr(retrieve, "PAGE", 2)
-    turns = spark.createDataFrame([(k, 0, f"s{k % 2}") for k in range(9)], "step int, cls_no int, seed_id string")
-    ranked = spark.createDataFrame([(s, f"r{k}", k / 10, k + 1) for s in ("s0", "s1") for k in range(9)], "seed_id string, ref_id string, cost double, rank int")
-    got = sorted(retrieve.greedy(turns, ranked).collect(), key=lambda r: r.step)
-    assert [r.ref_id for r in got] == [f"r{k}" for k in range(9)]
+def one_by_one(turns, lists):
+    """What turns (step, cls_no, seed) take in order from lists (seed -> references)."""
+    used, out = set(), []
+    for step, cls_no, seed in sorted(turns):
+        ref = next((r for r in lists.get(seed, []) if r not in used), None)
+        if ref is not None:
+            used.add(ref)
+            out.append((step, cls_no, seed, ref))
+    return out
+
+
+@pytest.mark.parametrize("page", [1, 2, 64])
+def test_greedy_reads_on_page_by_page(spark, monkeypatch, page):
+    """Deferred acceptance over pages gives what one turn after the other takes, also where lists end."""
+    monkeypatch.setattr(retrieve, "PAGE", page)
+    rng = random.Random(page)
+    lists = {f"s{i}": rng.sample([f"r{k}" for k in range(9)], rng.choice([1, 4, 9])) for i in range(4)}
+    turns = [(step, c, rng.choice([*lists, "none"])) for step in range(6) for c in range(2)]
+    rows = spark.createDataFrame([(s, r, i / 10, i + 1) for s, refs in lists.items() for i, r in enumerate(refs)], "seed_id string, ref_id string, cost double, rank int")
+    asked = []
+
+    def more(last):
+        asked.append(1)
+        old = last.select("seed_id", F.col("rank").alias("o"))
+        return rows.join(old, "seed_id").where((F.col("rank") > F.col("o")) & (F.col("rank") <= F.col("o") + page)).withColumn("rank", (F.col("rank") - F.col("o")).cast("int")).drop("o")
+
+    got = retrieve.greedy(spark.createDataFrame(turns, "step int, cls_no int, seed_id string"), rows.where(F.col("rank") <= page), more)
+    assert sorted((r.step, r.cls_no, r.seed_id, r.ref_id) for r in got.collect()) == one_by_one(turns, lists)
+    assert asked
+
+
+def test_searches_go_on_behind_a_row(spark):
+    """Pages of a search are the parts of the whole search."""
+    rng = random.Random(6)
+    some = lambda n: {f"{n}{i}": "".join(rng.sample("abcdefg", rng.randrange(0, 5))) for i in range(20)}
+    frame = lambda s, key: pairs(spark, s, key)
+    t, tn, r, rn = frame(some("t"), "target_id"), frame(some("t"), "target_id"), frame(some("r"), "ref_id"), frame(some("r"), "ref_id")
+    ids = lambda key, n: spark.createDataFrame([(f"{n}{i}",) for i in range(20)], f"{key} string")
+    search = lambda k, after=None: retrieve.nearest(ids("target_id", "t"), ids("ref_id", "r"), costs.Pairing(t, r, target_neg=tn, ref_neg=rn), costs.Pairing(tn, rn), "dice", k, spill=True, after=after)
+    as_lists = lambda d: {x: [r.ref_id for r in sorted(rows, key=lambda r: r["rank"])] for x, rows in itertools.groupby(sorted(d.collect(), key=lambda r: r.target_id), key=lambda r: r.target_id)}
+    whole, first = as_lists(search(20)), search(7)
+    second = search(7, first.where("rank = 7"))
+    assert all(len(v) == 20 for v in whole.values())
+    assert as_lists(first) == {k: v[:7] for k, v in whole.items()} and as_lists(second) == {k: v[7:14] for k, v in whole.items()}
+    v = spark.createDataFrame([(i, [rng.choice([0.0, 1.0]) for _ in range(3)]) for i in range(30)], "id long, embedding array<double>")
+    near = lambda k, after=None: {x: [r.ref_id for r in sorted(rows, key=lambda r: r["rank"])] for x, rows in itertools.groupby(sorted(vectors.knn(v.where("id < 5"), v, k, after=after).collect(), key=lambda r: r.query_id), key=lambda r: r.query_id)}
+    assert near(6, vectors.knn(v.where("id < 5"), v, 4).where("rank = 4")) == {k: x[4:] for k, x in near(10).items()}
+
+
+def trees(edges, roots, depth):
+    """Breadth-first trees, one root set and vertex after the other."""
+    out, ways = {}, {}
+    for a, b, rels in edges:
+        ways.setdefault(a, {})[b] = ways.setdefault(b, {})[a] = rels
+    for s in {s for s, _ in roots}:
+        seen = level = {v: (0, None, True, True, [], 0.0) for x, v in roots if x == s}
+        for d in range(1, depth + 1):
+            new = {}
+            for src in sorted(level):
+                for v, rels in ways.get(src, {}).items():
+                    if v not in seen and v not in new:
+                        _, _, sy, only, path, cost = level[src]
+                        other = [x for x in rels if x not in ("RQ", "SY")]
+                        new[v] = (d, src, sy and "SY" in rels, only and bool({"RL", "RQ", "SY"} & set(rels)), [bool(other), *path], cost + (0.0 if not other else 0.5 if "CHD" in other else 1.0))
+            level, seen = new, seen | new
+        for v, (d, src, sy, only, path, cost) in seen.items():
+            n = 0.0
+            for step in path:
+                n = n + 1 if step else n or 1.0
+            out[s, v] = (d, src, sy, only, n or 0.5, cost)
+    return out
+
+
+@pytest.mark.parametrize("hub", [graph.HUB, 5])
+def test_forest_equals_trees_one_by_one(spark, hub):
+    """All masks and carried numbers, with several chunks of root sets, and with hubs whose neighbours are folded by parts."""
+    rng = random.Random(hub)
+    v = [f"v{i:02d}" for i in range(40)]
+    edges = {tuple(sorted(rng.sample(v, 2))): sorted(rng.sample(["SY", "PAR", "CHD", "RQ", "RL"], rng.choice([1, 1, 2]))) for _ in range(60)}
+    edges |= {(v[0], x): ["SY"] if i % 2 else ["PAR"] for i, x in enumerate(v[1:30])}
+    edges = [(a, b, r) for (a, b), r in edges.items()]
+    roots = [(f"s{i}", rng.choice(v)) for i in range(70) for _ in range(rng.choice([1, 3]))]
+    e = graph.both_ways(spark.createDataFrame(edges, "a string, b string, rels array<string>"))
+    r = spark.createDataFrame(roots, "root_set string, v string")
+    want = trees(edges, roots, 6)
+    got = graph.unmasked(graph.forest(e, r, 6, width=32, tree=True, hub=hub)).collect()
+    assert {(x.root_set, x.v): (x.depth, x.pred, x.all_sy, x.only_sy, x.steps, x.cost) for x in got} == want and len(got) == len(want)
+    found = graph.forest(e, r, 6, width=32, hub=hub)
+    assert {(x.root_set, x.v): (x.depth, x.all_sy) for x in graph.unmasked(found).collect()} == {k: (x[0], x[2]) for k, x in want.items()}
+    assert found.levels.count() < len(want) / 4  # masks, not rows
 
 
 def test_greedy_equals_brute_force_with_collisions(spark):
