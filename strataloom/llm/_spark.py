@@ -131,6 +131,10 @@ def id_type(df: DataFrame, column: str = "doc_id") -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def integer_ids(df: DataFrame, column: str = "doc_id") -> bool:
+    return id_type(df, column) in ("bigint", "int", "smallint", "tinyint")
+
+
 def input_bytes(df: DataFrame, text: str = "text") -> int:
     """The optimizer's estimate of the size of the rows; where it has none, the bytes of their texts."""
     guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

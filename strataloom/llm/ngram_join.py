@@ -17,7 +17,8 @@ blocks.  What a task emits is linear in its members: link counts and a spanning
 
 Defined results: null texts and texts without a word link to nothing and are
 classes of their own; repeated rows are copies; rows of one id with different
-texts are different texts, and the class takes its smallest id; a text of any length
+texts are different texts, and the class takes its smallest id; ids that are not integers are numbered
+in ascending order for that; a text of any length
 is one set, and one text alone may exceed the bytes of a block.
 """
 
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.workers import numbered
 from . import _spark, _text
 from ._components import components
 
@@ -97,6 +99,13 @@ def signatures_chunk(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return row[first], np.diff(np.r_[first, len(row)]), band.view(np.int64), (low >> np.uint64(56)).astype(np.uint8)
 
 
+def _by_number(docs: DataFrame, numbers: DataFrame) -> DataFrame:
+    """docs with their ids' places in ascending order as doc_id; numbers: (doc_id, n)."""
+    name = _spark.free("n", docs)
+    both = docs.join(numbers.withColumnRenamed("n", name), "doc_id", "left")
+    return both.select(*(F.col(name).alias("doc_id") if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns))
+
+
 def _id(docs: DataFrame):
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
 
@@ -369,6 +378,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     class_id: smallest id that links of similar or equal texts lead to; copy_of:
     smallest id with the same text; n_links: different texts that reach the threshold.
     """
+    if not _spark.integer_ids(docs):
+        numbers = numbered(docs.select("doc_id"), "doc_id")
+        got = join(_by_number(docs.select("doc_id", "text"), numbers), threshold)
+        for c in ("doc_id", "class_id", "copy_of"):
+            got = got.withColumnRenamed(c, "n").join(numbers.withColumnRenamed("doc_id", c), "n", "left").drop("n")
+        return got.select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
     texts, rows = classes(docs, threshold)
     texts = _spark.written(texts.drop("class_sha"), "texts")
     got = _spark.spread_join(rows.where("worded").select("id", "sha"), texts, "sha", "copies", rows.count())
@@ -380,10 +395,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The row of docs with the smallest id of each class, all columns; rows without a word stay, repeated rows once."""
+    if not _spark.integer_ids(docs):
+        numbers, name = numbered(docs.select("doc_id"), "doc_id"), _spark.free("n", docs)
+        kept = one_of_each(_by_number(docs, numbers), threshold).withColumnRenamed("doc_id", name)
+        kept = kept.join(numbers.withColumnRenamed("n", name), name, "left")
+        return kept.select(*(f"`{c}`" for c in docs.columns))
     texts, rows = classes(docs, threshold)
     id_, sha = _spark.free("_id", docs), _spark.free("_sha", docs)
     first = texts.where("sha = class_sha").select(F.col("class_id").alias(id_), F.col("sha").alias(sha))
     keep = first.unionByName(rows.where("not worded").select(F.col("id").alias(id_), F.col("sha").alias(sha)).distinct())
+    keep = _spark.written(keep, "kept")
     keyed = docs.withColumns({id_: _id(docs), sha: _sha()})
     kept = keyed.join(keep.hint("shuffle_hash"), [id_, sha])
     return kept.dropDuplicates([id_, sha]).select(*(f"`{c}`" for c in docs.columns))

@@ -14,7 +14,7 @@ are held as fingerprints of their words (64 bits for the prefix, 48 for the rest
 since the words themselves would double what travels.
 
 Defined results: null and short texts have no window and stay as they are; equal
-rows repeat each other; rows of one id with different texts are kept apart; a text
+rows repeat each other; rows of one id with different texts are kept apart; ids may be texts; a text
 of any length is split into its suffixes like others.
 """
 
@@ -295,7 +295,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
 
 def _keyed(docs: DataFrame, *more) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63) + 1)).alias("id"), F.xxhash64(text).alias("chk"), text.alias("text"), *more)
+    number = F.col("doc_id").cast("long") if _spark.integer_ids(docs) else F.xxhash64(F.col("doc_id").cast("string"))  # with chk it only names a row
+    return docs.select(F.coalesce(number, F.lit(-(1 << 63) + 1)).alias("id"), F.xxhash64(text).alias("chk"), text.alias("text"), *more)
 
 
 def covered(runs, n_words: int, window: int = WINDOW) -> np.ndarray:

@@ -15,7 +15,8 @@ every CUT iterations the scores are written to the shared folder.  The iteration
 ends when what is still to come is at most TOLERANCE of what a seed without links has.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits
-no rule and is allowed; hosts without links keep their seed; ties are allowed.
+no rule and is allowed; hosts without links keep their seed; ties are allowed; repeated pages are judged row by row, and
+repeat their links; a page of any length gives all its links; null html has none; columns besides page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from . import _spark
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 DAMPING = 0.85
-TOLERANCE = 1e-13
+TOLERANCE = 1e-10
 #: As many suffice for a single seed; the mass to come falls by DAMPING at least.
 ITERATIONS = math.ceil(math.log(TOLERANCE * (1 - DAMPING)) / math.log(DAMPING))
 CUT = 4

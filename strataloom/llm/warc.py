@@ -9,7 +9,9 @@ Archives are rows (archive, data) of a table in the shared folder, so writing an
 reading go through Spark's file systems; export() puts them into files.
 
 Defined results: null html is an empty payload; a null url leaves out the target
-URI; fully equal rows are one response and revisits of it.
+URI; fully equal rows are one response and revisits of it; ids that are texts are escaped in
+the records' names, and come back as they were, the empty one too; a page of any length is one record; columns besides page_id, url and
+html are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -38,16 +41,21 @@ _WHEN = "1970-01-01T00:00:00Z"
 _URN = "urn:x-page-id:"
 
 
+def _urn(page_id) -> str:
+    """The record's name of a page: its id with escapes, nothing for null, a single % for the empty text."""
+    return _URN if page_id is None else _URN + (quote(str(page_id), safe="-") or "%")
+
+
 def record(page_id, url, kind: str, digest: str, size: int, payload: bytes, refers_to=None) -> bytes:
     """One WARC record with an HTTP block; a revisit has the headers only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_URN}{'' if page_id is None else page_id}>", f"WARC-Date: {_WHEN}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_urn(page_id)}>", f"WARC-Date: {_WHEN}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <{_URN}{'' if refers_to is None else refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <{_urn(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -164,7 +172,7 @@ def read(archives: DataFrame, id_type: str = "bigint") -> DataFrame:
 
     def name(urn):
         text = urn[1 + len(_URN) : -1] if urn else ""
-        return None if not text else int(text) if integer else text
+        return None if not text else int(text) if integer else unquote(text) if text != "%" else ""
 
     def run(batches):
         for batch in batches:

@@ -259,3 +259,38 @@ def test_no_conversations(spark):
     long = [(1, t, "user" if t % 2 else "assistant", "x " * 200_000 + ".") for t in range(1, 5)]
     (r,) = conversations.repair(spark.createDataFrame(long, TALK), most_bytes=1 << 18).collect()
     assert (r["audit"], r["cost"], r["duplicate"]) == ("KKDD", 4, 2)
+
+
+# ------------------------------------------------------------- ids that are texts, and what stages leave
+
+
+def test_ids_may_be_texts(spark, tmp_path):
+    from strataloom.llm import ngram_join, substring_dedup, warc
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [("b-2", " ".join(base)), ("a-1", " ".join(base)), ("c 3", " ".join(base[:-1] + ["zz"])), (None, "alone here"), ("d", None), ("", "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("n", F.lit(5))
+    got = {r["doc_id"]: (r["class_id"], r["copy_of"], r["n_copies"], r["n_links"]) for r in ngram_join.join(docs).collect()}
+    assert got == {"b-2": ("a-1", "a-1", 2, 1), "a-1": ("a-1", "a-1", 2, 1), "c 3": ("a-1", "c 3", 1, 1), None: (None, None, 1, 0), "d": ("d", "d", 1, 0), "": ("", "", 1, 0)}
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {"a-1", None, "d", ""}
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.measure(docs).collect()}
+    assert removed == {"b-2": 120, "a-1": 120, "c 3": 119, None: 0, "d": 0, "": 0}
+    pages = [("a\r\nb", "http://x", "same"), ("", None, "same"), (None, None, "other"), ("%", "http://y", "more"), ("é b>", "z", "y" * 300_000)]
+    frame = spark.createDataFrame(pages, "page_id string, url string, html string").withColumn("archive", F.lit(1))
+    back = warc.read(warc.write(warc.classify(frame)), "string").collect()
+    assert {r["page_id"] for r in back} == {p[0] for p in pages} and len(back) == len(pages)
+    assert {r["page_id"]: r["refers_to"] for r in back if r["record_type"] == "revisit"} == {"": "a\r\nb"}
+
+
+def test_interleaved_stages_keep_what_their_results_read(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    some = lambda n: spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(40)), "en", "s", 1) for i in range(n)], "doc_id long, text string, lang string, source string, n_chars long")
+    a = corpus_pipeline.near_copies(spark, some(20), str(tmp_path))
+    b = corpus_pipeline.near_copies(spark, some(30), str(tmp_path))
+    c = corpus_pipeline.substring(spark, a, str(tmp_path))
+    assert (a.count(), b.count(), c.count()) == (20, 30, 20)
