@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages from documents to token digests.
 
-A stage's result reads tables that the stage wrote to the shared folder.  It is written
-before the next stage begins, so that one deletes what the stages before it left there,
-and has Spark clean up their shuffles.
+A stage deletes what it wrote to the shared folder on its way, but for small tables that its
+result, which is lazy, reads: those of ids that stay.  run() deletes these, too, and the table of
+each stage once the next one is written; its own result reads the last of them.
 
 Defined results, for every stage: null or empty texts have no language and go at the
 first stage; repeated rows and equal texts are one class, of which a single row stays;
@@ -21,26 +21,25 @@ from pyspark.sql import DataFrame, SparkSession
 from strataloom.llm import _spark, decontaminate, language_id, ngram_join, sentence_pieces, substring_dedup
 
 
-#: Paths of tables that stages left in the shared folder.
-_LEFT: list[str] = []
+#: Lists of what a stage's result still reads, for the run() that called it.
+_KEPT: list[list[str]] = []
 
 
 def _stage(function):
-    """The function, which first releases what earlier stages left, unless docs still read it."""
+    """The function, which deletes at once what it wrote on its way and its result doesn't read."""
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _LEFT:
-            reads = docs.inputFiles()
-            gone = [path for path in _LEFT if not any(path in file for file in reads)]
-            for path in gone:
-                _spark.drop_path(spark, path)
-            _LEFT[:] = [path for path in _LEFT if path not in gone]
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()  # shuffles that nothing refers to are deleted then
         with _spark.collecting() as made:
             out = function(spark, docs, sf_dir)
-        _LEFT.extend(made)
+        reads = out.inputFiles() if made else []
+        for path in made:
+            if not any(path in file for file in reads):
+                _spark.drop_path(spark, path)
+            elif _KEPT:
+                _KEPT[-1].append(path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # shuffles that nothing refers to are deleted then
         return out
 
     return run
@@ -84,9 +83,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet to the shared folder and read again."""
-    docs = _spark.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = _spark.written(docs, f"stage-{name}")
-    return docs
+    docs, before = _spark.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        _KEPT.append([])
+        try:
+            docs = _spark.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        finally:
+            kept = _KEPT.pop()
+        for path in kept:
+            _spark.drop_path(spark, path)
+        if before is not None:
+            _spark.drop_written(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
