@@ -4,7 +4,9 @@ Targets are numbered and cut into blocks of bounded size; a block is one row, wh
 concept -> target lists, and masks with a bit a target for what a graph search found.  References are dealt to
 pieces.  One shuffle brings each block to each piece, whatever the number of targets; the cell's task
 goes through its references a few hundred at a time, sums what they share with
-every target of the block, and keeps the k best of each target; only those are shuffled again.
+the targets of the block, and keeps the k best of each target; only those are shuffled again.
+Where a cost has a bound for pairs without a common concept, only pairs with one are compared at first, and all
+pairs of a target only if its k-th best reaches the bound.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .workers import stored as cut
 BLOCK_ENTRIES, BLOCK_TARGETS, PIECE = 4_000_000, 1024, 200_000
 #: References that are compared at once, and cells for each shuffle partition.
 STEP, CELLS = 256, 4
+#: The same where concepts are matched by their ancestors.
+MATCHED = 32
 
 Formula = Callable[[dict, dict, dict], tuple[np.ndarray, dict[str, np.ndarray]]]
 
@@ -43,6 +47,9 @@ class Search:
     masks: name -> (side, entries), entries (concept, block, mask, w): the same for all targets of a block whose bit is set; where
     w is null, only whether there is one.  They need numbers, (target_id, n), and width: target n is bit n % width of block n // width.
     least: name -> (side, entries), entries (target_id, own, concept, w, v): the least w of each own concept of a target, infinite if there is none; v is a number of the own concept.
+    contents: (target_id, own, z, ic): the ancestors of each own concept, as arrays of numbers and of their information contents; refs then have
+    c_z and c_ic, such arrays for each of their concepts.  'bma' is half the mean, over a target's concepts, of the largest content of an
+    ancestor in common with any of the reference's (0 where there is none), plus half the same the other way.
     targets: (target_id, numbers ..); refs: (ref_id, pos, neg: arrays of concepts' numbers, numbers ..); concepts: (concept, n) of the references.
     """
 
@@ -50,6 +57,7 @@ class Search:
     targets: DataFrame
     refs: DataFrame
     concepts: DataFrame
+    contents: DataFrame | None = None
     least: dict[str, tuple[str, DataFrame]] = field(default_factory=dict)
     masks: dict[str, tuple[str, DataFrame]] = field(default_factory=dict)
     numbers: DataFrame | None = None
@@ -106,11 +114,91 @@ class _Masks:
         return weights, some
 
 
+    def at(self, row: np.ndarray, concept: np.ndarray, cell_row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """sums() of some cells."""
+        known = np.isin(concept, self.concept)
+        row, concept = row[known], concept[known]
+        lo, hi = np.searchsorted(row, cell_row, "left"), np.searchsorted(row, cell_row, "right")
+        n = hi - lo
+        cell = np.repeat(np.arange(len(cell_row)), n)
+        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        first, last = np.searchsorted(self.concept, concept[entry], "left"), np.searchsorted(self.concept, concept[entry], "right")
+        m = last - first
+        pick = np.repeat(first - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        cell = np.repeat(cell, m)
+        bit = (self.mask[pick, place[cell] // 8] >> (place[cell] % 8).astype(np.uint8)) & 1
+        weights = np.bincount(cell, weights=bit * (0.0 if self.w is None else self.w[pick]), minlength=len(cell_row))
+        return weights, np.bincount(cell, weights=bit, minlength=len(cell_row)) > 0
+
+
+class _Contents:
+    """The ancestors of targets' concepts, and best matches of them."""
+
+    def __init__(self, place: np.ndarray, own: np.ndarray, z: pa.Array):
+        order = np.argsort(place, kind="stable")
+        own, first, self.row = np.unique(own[order], return_index=True, return_inverse=True)
+        z = z.take(pa.array(order[first]))
+        self.start = np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])
+        self.place, self.n = place[order][self.start], len(own)
+        self.size = np.diff(np.r_[self.start, len(order)])
+        self.lists = _Lists(np.asarray(z.flatten(), np.int64), np.repeat(np.arange(self.n), np.asarray(pc.list_value_length(z), np.int64)), np.zeros(len(z.flatten())))
+
+    def _matches(self, c_z: pa.Array, c_ic: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The largest common content of each own concept and each of the references' concepts; the references' first columns and numbers of columns."""
+        count = np.asarray(pc.list_value_length(c_z).fill_null(0), np.int64)
+        inner, content = c_z.flatten(), np.asarray(c_ic.flatten().flatten(), np.float64)
+        column = np.repeat(np.arange(len(inner)), np.asarray(pc.list_value_length(inner), np.int64))
+        order = np.argsort(content, kind="stable")  # so that the largest is written last
+        entry, _ = self.lists.hits(order, np.asarray(inner.flatten(), np.int64)[order], self.n)
+        which, own = entry // self.n, entry % self.n
+        match = np.full((self.n, len(inner)), -np.inf)
+        match[own, column[which]] = content[which]
+        match[match == -np.inf] = 0.0
+        return match, np.cumsum(count) - count, count
+
+    def best_match(self, c_z: pa.Array, c_ic: pa.Array, width: int) -> np.ndarray:
+        """(references, targets): the mean of both directions; 0 where a side has no concept."""
+        out = np.zeros((len(c_z), width))
+        match, first, count = self._matches(c_z, c_ic)
+        refs = np.flatnonzero(count)
+        if not len(refs):
+            return out
+        first, count = first[refs], count[refs]
+        forward = np.add.reduceat(np.maximum.reduceat(match, first, axis=1)[self.row], self.start, axis=0) / self.size[:, None]
+        backward = np.add.reduceat(np.maximum.reduceat(match[self.row], self.start, axis=0), first, axis=1) / count
+        out[refs[:, None], self.place[None, :]] = ((forward + backward) / 2).T
+        return out
+
+    def best_match_at(self, c_z: pa.Array, c_ic: pa.Array, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """best_match() of some cells."""
+        match, first, count = self._matches(c_z, c_ic)
+        at = np.minimum(np.searchsorted(self.place, place), len(self.place) - 1)
+        some = np.flatnonzero((self.place[at] == place) & (count[row] > 0))
+        out = np.zeros(len(row))
+        if not len(some):
+            return out
+        at, row = at[some], row[some]
+        sides = (self.start[at], self.size[at]), (first[row], count[row])
+
+        def mean_of_best(outer, inner, value):
+            (a0, an), (b0, bn) = outer, inner
+            cell = np.repeat(np.arange(len(an)), an)
+            a = np.repeat(a0 - (np.cumsum(an) - an), an) + np.arange(int(an.sum()))
+            n = bn[cell]
+            b = np.repeat(b0[cell] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            best = np.maximum.reduceat(value(np.repeat(a, n), b), np.cumsum(n) - n)
+            return np.add.reduceat(best, np.cumsum(an) - an) / an
+
+        forward = mean_of_best(*sides, lambda a, b: match[self.row[a], b])
+        out[some] = (forward + mean_of_best(*sides[::-1], lambda b, a: match[self.row[a], b])) / 2
+        return out
+
+
 def _packed(what: Search, numbers: DataFrame, width: int) -> DataFrame:
     """(block, payload): each block as one row."""
     concepts = what.concepts.select("concept", F.col("n").alias("c"))
     block, place = F.floor(F.col("n") / width).alias("block"), (F.col("n") % width).cast("int").alias("place")
-    empty = {"place": "int", "c": "long", "w": "double", "own": "long", "v": "double", "mask": "binary", "t": "array<double>"}
+    empty = {"place": "int", "c": "long", "w": "double", "own": "long", "v": "double", "mask": "binary", "t": "array<double>", "z": "array<long>"}
     columns = [c for c in what.targets.columns if c != "target_id"]
     names, rows = ["t"], [what.targets.join(numbers, "target_id").select(block, place, F.array(*(F.col(f"`{c}`").cast("double") for c in columns)).alias("t"))]
     for name, (_, d) in what.kinds.items():
@@ -122,6 +210,9 @@ def _packed(what: Search, numbers: DataFrame, width: int) -> DataFrame:
     for name, (_, d) in what.masks.items():
         names.append(name)
         rows.append(d.join(concepts, "concept").select("block", "c", "mask", F.col("w").cast("double").alias("w")))
+    if what.contents is not None:
+        names.append("contents")
+        rows.append(what.contents.join(numbers, "target_id").select(block, place, F.xxhash64("own").alias("own"), "z", F.col("ic").alias("t")))
     whole = [d.select(F.col("block").cast("long"), F.lit(i).alias("part"), *(F.col(c) if c in d.columns else F.lit(None).cast(kind).alias(c) for c, kind in empty.items())) for i, d in enumerate(rows)]
     sides = {name: side for kind in (what.kinds, what.least, what.masks) for name, (side, _) in kind.items()}
     lists, least = set(what.kinds), set(what.least)
@@ -129,7 +220,7 @@ def _packed(what: Search, numbers: DataFrame, width: int) -> DataFrame:
     def pack(table):
         table = table.combine_chunks()
         part = np.asarray(table["part"])
-        out = {"t": {c: np.zeros(width) for c in columns}, "here": np.zeros(width, bool), "kinds": {}, "least": {}, "masks": {}}
+        out = {"t": {c: np.zeros(width) for c in columns}, "here": np.zeros(width, bool), "kinds": {}, "least": {}, "masks": {}, "contents": None}
         for i, name in enumerate(names):
             own = table.filter(pa.array(part == i)).combine_chunks()
             column = lambda c, kind: np.asarray(own[c], kind)
@@ -139,6 +230,8 @@ def _packed(what: Search, numbers: DataFrame, width: int) -> DataFrame:
                 values = np.asarray(own["t"].combine_chunks().flatten(), np.float64).reshape(len(at), -1)
                 for k, c in enumerate(columns):
                     out["t"][c][at] = values[:, k]
+            elif name == "contents":
+                out["contents"] = _Contents(column("place", np.int64), column("own", np.int64), own["z"].combine_chunks()) if own.num_rows else None
             elif name in lists:
                 out["kinds"][name] = sides[name], _Lists(column("c", np.int64), column("place", np.int64), column("w", np.float64))
             elif name in least:
@@ -165,13 +258,17 @@ def _width(what: Search, numbers: DataFrame) -> int:
     return max(8, min(width, 8 * (BLOCK_ENTRIES // most))) if most else width
 
 
-def search(what: Search, formula: Formula, order: list[str], k: int, after: DataFrame | None = None) -> DataFrame:
+def search(
+    what: Search, formula: Formula, order: list[str], k: int, after: DataFrame | None = None, live: tuple[str, ...] = (), floor: Callable[[dict], np.ndarray] | None = None, cells=None
+) -> DataFrame:
     """(target_id, ref_id, the formula's columns, rank): the k first references of each target by `order`, then ref_id.
 
     formula(sums, t, r): sums has, per kind, the weights and, as 'n_' + kind, the counts (per mask: whether there are any), all
-    of (references, targets), and per `least` an array (references, own concepts) with their targets as name + '_of' and numbers as name + '_v';
+    of (references, targets) or of some cells, and per `least` an array (references, own concepts) with their targets as name + '_of' and numbers as name + '_v';
     t and r have the numbers.  It gives which pairs are compared at all, and columns of doubles.
     after: (target_id, the columns of `order`, ref_id): where a target's search goes on, behind that row; targets without a row are left out.
+    live, floor: kinds, and from t the least that the first column of `order` is for pairs that have none of them (infinite where such pairs aren't compared).
+    cells: an accumulator that counts the pairs that the formula was applied to.
     """
     spark = what.refs.sparkSession
     ship(spark)
@@ -182,8 +279,9 @@ def search(what: Search, formula: Formula, order: list[str], k: int, after: Data
     numbers = numbered(what.targets, "target_id") if what.numbers is None else what.numbers
     width = _width(what, numbers) if what.width is None else what.width
     id_type = what.refs.schema["ref_id"].dataType.simpleString()
-    sizes = [c for c in what.refs.columns if c not in ("ref_id", "pos", "neg")]
-    refs = cut(what.refs.select("ref_id", "pos", "neg", *(F.col(f"`{c}`").cast("double").alias(c) for c in sizes)))
+    sizes = [c for c in what.refs.columns if c not in ("ref_id", "pos", "neg", "c_z", "c_ic")]
+    lists = [c for c in what.refs.columns if c in ("pos", "neg", "c_z", "c_ic")]
+    refs = cut(what.refs.select("ref_id", *lists, *(F.col(f"`{c}`").cast("double").alias(c) for c in sizes)))
     packed = _packed(what, numbers, width)
     if after is not None:  # a reference's id can't be among the numbers
         packed = packed.join(_cursors(after, numbers, width), "block")
@@ -194,8 +292,8 @@ def search(what: Search, formula: Formula, order: list[str], k: int, after: Data
     left = left.join(F.broadcast(named.groupBy().agg(F.collect_list("block").alias("blocks")))).withColumn("block", F.explode("blocks")).drop("blocks")  # one row: a number a block
     right = packed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     dealt = lambda d: d.repartition(max(parts, min(blocks * pieces, CELLS * parts)), "block", "piece").groupBy("block", "piece")  # noqa: E731  small cells are work, so they aren't put together
-    cells = dealt(left).cogroup(dealt(right))
-    got = cells.applyInArrow(_cell(formula, order, k, sizes, width, after is not None, id_type), ", ".join(["n long", f"ref_id {id_type}", *(f"{c} double" for c in order)]))
+    grid = dealt(left).cogroup(dealt(right))
+    got = grid.applyInArrow(_cell(formula, order, k, sizes, width, after is not None, id_type, live if floor else (), floor, cells), ", ".join(["n long", f"ref_id {id_type}", *(f"{c} double" for c in order)]))
     best = top(got, "n", [*(F.asc(c) for c in order), F.asc("ref_id")], k)
     return best.join(numbers, "n").select("target_id", "ref_id", *order, "rank")
 
@@ -207,64 +305,112 @@ def _cursors(after: DataFrame, numbers: DataFrame, width: int) -> DataFrame:
     return rows.groupBy(F.floor(F.col("n") / width).cast("long").alias("block")).agg(listed.alias("cursors")).select("block", F.col("cursors.place").alias("places"), F.col("cursors.last").alias("last"))
 
 
-def _cell(formula: Formula, order: list[str], k: int, sizes: list[str], width: int, resumed: bool, id_type: str):
+def _cell(formula: Formula, order: list[str], k: int, sizes: list[str], width: int, resumed: bool, id_type: str, live: tuple[str, ...], floor, cells):
     """The k best of each target of a block among the references of a piece."""
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
     schema = pa.schema([("n", pa.int64()), ("ref_id", kinds.get(id_type, pa.string())), *((c, pa.float64()) for c in order)])
 
-    def step(batch, block):
-        rows = batch.num_rows
+    def entries(batch):
         flat = {}
         for side in ("pos", "neg"):
             col = batch.column(side)
             offs = np.asarray(pc.list_value_length(col).fill_null(0), np.int64)
-            flat[side] = np.repeat(np.arange(rows), offs), np.asarray(col.flatten(), np.int64)
-        sums = {}
+            flat[side] = np.repeat(np.arange(batch.num_rows), offs), np.asarray(col.flatten(), np.int64)
+        return flat, {c: np.asarray(batch.column(c), np.float64) for c in sizes}
+
+    def dense(batch, block, at):
+        """(row, target, columns) of all cells of the targets `at` that are compared."""
+        rows, (flat, r) = batch.num_rows, entries(batch)
+        sums, of_place = {}, np.full(width, -1)
+        of_place[at] = np.arange(len(at))
         for name, (side, lists) in block["kinds"].items():
             cell, w = lists.hits(*flat[side], width)
-            sums[name] = np.bincount(cell, weights=w, minlength=rows * width).astype(np.float64, copy=False).reshape(rows, width)
-            sums["n_" + name] = np.bincount(cell, minlength=rows * width).reshape(rows, width)
+            to = of_place[cell % width]
+            cell, w = (cell // width * len(at) + to)[to >= 0], w[to >= 0]
+            sums[name] = np.bincount(cell, weights=w, minlength=rows * len(at)).astype(np.float64, copy=False).reshape(rows, -1)
+            sums["n_" + name] = np.bincount(cell, minlength=rows * len(at)).reshape(rows, -1)
         for name, (side, masks) in block["masks"].items():
-            sums[name], sums["n_" + name] = masks.sums(*flat[side], rows, width)
+            sums[name], sums["n_" + name] = (x[:, at] for x in masks.sums(*flat[side], rows, width))
         for name, (side, of, v, lists) in block["least"].items():
             cell, w = lists.hits(*flat[side], len(of))
             low = np.full(rows * len(of), np.inf)
             np.minimum.at(low, cell, w)
-            sums[name], sums[name + "_of"], sums[name + "_v"] = low.reshape(rows, len(of)), of, v
-        r = {c: np.asarray(batch.column(c), np.float64)[:, None] for c in sizes}
-        return formula(sums, block["t"], r)
+            some = np.flatnonzero(of_place[of] >= 0)
+            sums[name], sums[name + "_of"], sums[name + "_v"] = low.reshape(rows, len(of))[:, some], of_place[of[some]], v[some]
+        if block["contents"] is not None:
+            sums["bma"] = block["contents"].best_match(batch.column("c_z"), batch.column("c_ic"), width)[:, at]
+        valid, columns = formula(sums, {c: x[at] for c, x in block["t"].items()}, {c: x[:, None] for c, x in r.items()})
+        row, target = np.nonzero(np.broadcast_to(valid, (rows, len(at))))
+        return row, at[target], {c: np.broadcast_to(columns[c], (rows, len(at)))[row, target] for c in order}, rows * len(at)
+
+    def sparse(batch, block):
+        """The same of the cells that share an entry of a live kind."""
+        flat, r = entries(batch)
+        hits = {name: lists.hits(*flat[side], width) for name, (side, lists) in block["kinds"].items()}
+        cell = np.unique(np.concatenate([hits[name][0] for name in live]))
+        cell = cell[block["here"][cell % width]]
+        row, place, n, sums = cell // width, cell % width, len(cell), {}
+        if not n:
+            return row, place, {c: np.zeros(0) for c in order}, 0
+        for name, (at, w) in hits.items():
+            to = np.minimum(np.searchsorted(cell, at), n - 1)
+            same = cell[to] == at
+            sums[name] = np.bincount(to[same], weights=w[same], minlength=n)
+            sums["n_" + name] = np.bincount(to[same], minlength=n)
+        for name, (side, masks) in block["masks"].items():
+            sums[name], sums["n_" + name] = masks.at(*flat[side], row, place)
+        if block["contents"] is not None:
+            sums["bma"] = block["contents"].best_match_at(batch.column("c_z"), batch.column("c_ic"), row, place)
+        valid, columns = formula(sums, {c: x[place] for c, x in block["t"].items()}, {c: x[row] for c, x in r.items()})
+        keep = np.broadcast_to(valid, (1, n)).reshape(-1)
+        return row[keep], place[keep], {c: np.broadcast_to(columns[c], (1, n)).reshape(-1)[keep] for c in order}, n
 
     def run(left, right):
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         block = pickle.loads(right["payload"][0].as_py())
+        here = np.flatnonzero(block["here"])
         if resumed:
             last = np.zeros(width, object)
             last[right["places"][0].as_py()] = right["last"][0].as_py()
         best, limit = None, np.full(width, np.inf)
-        for whole in left.combine_chunks().to_batches():
-            for at in range(0, whole.num_rows, STEP):
-                batch = whole.slice(at, STEP)
-                valid, columns = step(batch, block)
-                every = np.asarray(batch.column("ref_id"))
-                valid = valid & block["here"][None, :]
-                if resumed:
-                    valid = valid & _behind([columns[c] for c in order], [block["t"][f"after:{c}"][None, :] for c in order], every, last)
-                row, target = np.nonzero(valid & (columns[order[0]] <= limit))
-                if not len(row):
-                    continue
-                ref = (every.astype(str) if every.dtype == object else every)[row]
-                new = {"target": target, "ref": ref, **{c: columns[c][row, target] for c in order}}
-                if best is not None:
-                    new = {c: np.concatenate([best[c], new[c]]) for c in new}
-                rank = np.lexsort((new["ref"], *(new[c] for c in reversed(order)), new["target"]))
-                t = new["target"][rank]
-                first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-                nth = np.arange(len(t)) - np.repeat(first, np.diff(np.r_[first, len(t)]))
-                best = {c: x[rank[nth < k]] for c, x in new.items()}
-                full = nth == k - 1
-                limit[t[full]] = new[order[0]][rank[full]]
-        if best is None:
+
+        def enter(batch, row, target, columns, compared):
+            nonlocal best
+            if cells is not None:
+                cells.add(int(compared))
+            every = np.asarray(batch.column("ref_id"))
+            keep = columns[order[0]] <= limit[target]
+            if resumed:
+                keep &= _behind([columns[c] for c in order], [block["t"][f"after:{c}"][target] for c in order], every[row], last[target])
+            if not keep.any():
+                return
+            ref = (every.astype(str) if every.dtype == object else every)[row[keep]]
+            new = {"target": target[keep], "ref": ref, **{c: columns[c][keep] for c in order}}
+            if best is not None:
+                new = {c: np.concatenate([best[c], new[c]]) for c in new}
+            rank = np.lexsort((new["ref"], *(new[c] for c in reversed(order)), new["target"]))
+            t = new["target"][rank]
+            first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            nth = np.arange(len(t)) - np.repeat(first, np.diff(np.r_[first, len(t)]))
+            best = {c: x[rank[nth < k]] for c, x in new.items()}
+            full = nth == k - 1
+            limit[t[full]] = new[order[0]][rank[full]]
+
+        size = STEP if block["contents"] is None else min(STEP, MATCHED)
+        steps = [whole.slice(at, size) for whole in left.combine_chunks().to_batches() for at in range(0, whole.num_rows, size)]
+        if live and all(name in block["kinds"] for name in live):
+            for batch in steps:
+                enter(batch, *sparse(batch, block))
+            bound = np.broadcast_to(floor(block["t"]), (width,))
+            here = here[(bound[here] < np.inf) & (bound[here] <= limit[here])]
+            if best is not None:  # those are gone through once more
+                best = {c: x[~np.isin(best["target"], here)] for c, x in best.items()}
+            limit[here] = np.inf
+        if len(here):
+            for batch in steps:
+                enter(batch, *dense(batch, block, here))
+        if best is None or not len(best["target"]):
             return schema.empty_table()
         number = int(right["block"][0].as_py()) * width + best["target"]
         return pa.table([pa.array(number, pa.int64()), pa.array(best["ref"], schema.field("ref_id").type), *(pa.array(best[c]) for c in order)], schema=schema)
@@ -274,11 +420,10 @@ def _cell(formula: Formula, order: list[str], k: int, sizes: list[str], width: i
 
 def _behind(values: list[np.ndarray], cursor: list[np.ndarray], ref: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Which cells come behind their target's cursor."""
-    same, behind = True, False
+    same, behind = np.ones(len(ref), bool), np.zeros(len(ref), bool)
     for value, at in zip(values, cursor):
-        behind = behind | (same & (value > at))
-        same = same & (value == at)
-    row, column = np.nonzero(np.broadcast_to(same, values[0].shape))
-    tie = np.zeros(values[0].shape, bool)
-    tie[row, column] = [ref[i] > last[j] for i, j in zip(row, column)]
-    return behind | tie
+        behind |= same & (value > at)
+        same &= value == at
+    tie = np.flatnonzero(same)
+    behind[tie] = [ref[i] > last[i] for i in tie]
+    return behind

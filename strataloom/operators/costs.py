@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks, graph, ontology, sets
-from .vectors import top
-from .workers import numbered
+from .workers import numbered, stored
 
 DEFAULT = 1.0
 
@@ -198,7 +197,7 @@ def concept_numbers(*refs: DataFrame) -> DataFrame:
 
 def compared(name: str, p: Pairing, targets: DataFrame | None = None, refs: DataFrame | None = None, concepts: DataFrame | None = None) -> tuple[blocks.Search, blocks.Formula]:
     """What a block search sums for the named cost, and the formula (valid, cost) of the sums; targets, refs: further (target_id | ref_id) without concepts."""
-    if name not in REGISTRY or name == "lin":
+    if name not in REGISTRY:
         raise NotImplementedError(f"no cost that can be compared in blocks is named {name!r}")
     none = p.refs.limit(0)
     neg = p.ref_neg if p.ref_neg is not None else none
@@ -235,10 +234,14 @@ def compared(name: str, p: Pairing, targets: DataFrame | None = None, refs: Data
         masks = {f"f{d}": ("pos", weighed(levels.where(F.col("depth") == d))) for d in range(deepest + 1)} if levels is not None else {}
         reverse = p.targets.join(p.distances, "concept").where(F.col("depth").between(0, p.max_depth)).join(p.weight, "concept", "left")
         least = {"far": ("pos", reverse.select("target_id", F.col("concept").alias("own"), F.col("other").alias("concept"), F.col("depth").alias("w"), F.coalesce("weight", F.lit(0)).alias("v")))}
+    contents = None
+    if name == "lin":
+        r, t, contents = _contents(p, r, t)
     alpha, beta, decay, max_depth = p.alpha, p.beta, p.decay, p.max_depth
 
     def formula(s, t, r):
         ratio = lambda a, b, other: np.divide(a, b, out=np.broadcast_to(np.asarray(other, np.float64), np.shape(b)).copy(), where=b > 0)
+        ratio_of = lambda a, b: np.divide(a, b, out=np.zeros(np.broadcast_shapes(np.shape(a), np.shape(b))), where=b != 0)
         if name == "depth":
             return s["n_near"] > 0, blocks.rounded(1 / (1 + s["near"]))
         if name == "umls":
@@ -249,6 +252,9 @@ def compared(name: str, p: Pairing, targets: DataFrame | None = None, refs: Data
             sim = n / np.maximum(t["nt"] + r["nr"] - n, 1)
         elif name == "dice":
             sim = 2 * n / np.maximum(t["nt"] + r["nr"], 1)
+        elif name == "lin":
+            den, some = t["mt"] + r["mr"], (t["kt"] > 0) & (r["kr"] > 0)
+            sim = np.where(some, ratio_of(2 * s["bma"], den), (t["kt"] == 0) & (r["kr"] == 0))
         elif name == "overlap":
             sim = n / np.maximum(np.minimum(t["nt"], r["nr"]), 1)
         elif name == "tversky":
@@ -263,7 +269,20 @@ def compared(name: str, p: Pairing, targets: DataFrame | None = None, refs: Data
         return valid, blocks.rounded(1 - sim)
 
     where = {} if p.forest is None else {"numbers": p.forest.numbers.withColumnRenamed("root_set", "target_id"), "width": p.forest.width}
-    return blocks.Search(kinds, t, r, concepts, least, masks, **where), formula
+    return blocks.Search(kinds, t, r, concepts, contents, least, masks, **where), formula
+
+
+def _contents(p: Pairing, refs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """refs with c_z, c_ic, kr, mr and targets with kt, mt: number and mean content of the concepts that the hierarchy has; and what a block search takes as contents."""
+    names = numbered(p.closure, "ancestor").withColumnRenamed("n", "z")
+    up = p.closure.join(p.ic.select(F.col("node").alias("ancestor"), "ic"), "ancestor").join(names, "ancestor")
+    up = up.groupBy(F.col("node").alias("concept")).agg(F.collect_list("z").alias("z"), F.collect_list("ic").alias("up")).join(p.ic.withColumnRenamed("node", "concept"), "concept")
+    up = stored(up)
+    some = lambda d, key, k, m: d.groupBy(key).agg(F.count(F.lit(1)).alias(k), F.avg("ic").alias(m))
+    r, t = p.refs.join(up, "concept"), p.targets.join(up, "concept")
+    lists = r.groupBy("ref_id").agg(F.collect_list(F.struct("z", "up")).alias("l"), F.count(F.lit(1)).alias("kr"), F.avg("ic").alias("mr"))
+    refs = refs.join(lists.select("ref_id", F.col("l.z").alias("c_z"), F.col("l.up").alias("c_ic"), "kr", "mr"), "ref_id", "left").na.fill(0, ["kr", "mr"])
+    return refs, targets.join(some(t, "target_id", "kt", "mt"), "target_id", "left").na.fill(0, ["kt", "mt"]), t.select("target_id", F.col("concept").alias("own"), "z", F.col("up").alias("ic"))
 
 
 def _umls(s: dict, r: dict, decay: float, max_depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,14 +306,17 @@ def _umls(s: dict, r: dict, decay: float, max_depth: int) -> tuple[np.ndarray, n
     return valid, blocks.rounded(1 - np.divide(w, den, out=np.zeros(shape), where=den != 0))
 
 
-def best(name: str, p: Pairing, k: int) -> DataFrame:
-    """(target_id, ref_id, cost, rank): the k references of least named cost of each target, ties by ref_id, among those that cost() would give."""
-    if name == "lin":
-        return top(cost("lin", p), "target_id", [F.asc("cost"), F.asc("ref_id")], k)
+#: Costs that are DEFAULT unless the sets have a common concept.
+SHARING = ("jac", "dice", "overlap", "tversky", "sym_tversky")
+
+
+def best(name: str, p: Pairing, k: int, cells=None) -> DataFrame:
+    """(target_id, ref_id, cost, rank): the k references of least named cost of each target, ties by ref_id, among those that cost() would give; cells: an accumulator of the pairs compared."""
     what, formula = compared(name, p)
 
     def columns(s, t, r):
         valid, value = formula(s, t, r)
         return valid, {"cost": value}
 
-    return blocks.search(what, columns, ["cost"], k)
+    bound = {"live": ("own",), "floor": lambda t: np.inf} if name in (*SHARING, "lin") else {}
+    return blocks.search(what, columns, ["cost"], k, cells=cells, **bound)

@@ -461,6 +461,44 @@ def test_best_equals_all_costs(spark, name):
     assert got == exp and len(got) > 12
 
 
+@pytest.mark.parametrize("name", ["dice", "sym_tversky"])
+def test_bounds_leave_most_pairs_out(spark, name):
+    """Pairs without a common concept aren't compared; the rows are the same."""
+    rng = random.Random(3)
+    letters = [f"c{i}" for i in range(400)]
+    some = lambda key, p, n: pairs(spark, {f"{p}{i}": rng.sample(letters, 4) for i in range(n)}, key)
+    p = costs.Pairing(some("target_id", "t", 30), some("ref_id", "r", 300), weight=spark.createDataFrame([(c, 1 + i % 3) for i, c in enumerate(letters)], "concept string, weight long"))
+    cells = spark.sparkContext.accumulator(0)
+    got = {(r.target_id, r.ref_id): (r.cost, r["rank"]) for r in costs.best(name, p, 3, cells).collect()}
+    assert got == {(r.target_id, r.ref_id): (r.cost, r["rank"]) for r in vectors.top(costs.cost(name, p), "target_id", [F.asc("cost"), F.asc("ref_id")], 3).collect()}
+    assert 0 < cells.value < 30 * 300 / 10
+
+
+def some_contents(spark, rng):
+    """A hierarchy over letters, and what lin needs of it; not all letters are in it."""
+    tree = [(c, p) for c, p in zip("abcdefgh", "ijijkkkl")] + [("i", "m"), ("j", "m"), ("k", "n"), ("m", "n"), ("l", "n"), ("a", "k")]
+    h = spark.createDataFrame(tree, "child string, parent string")
+    some = lambda key, p: pairs(spark, {f"{p}{i}": rng.sample("abcdefghxy", rng.randrange(1, 5)) for i in range(14)}, key)
+    return costs.Pairing(some("target_id", "t"), some("ref_id", "r"), closure=ontology.ancestors(h), ic=ontology.information_content(h))
+
+
+def test_information_content_in_blocks(spark, monkeypatch):
+    """lin by blocks, of sharing pairs and of all, equals lin by rows."""
+    monkeypatch.setattr(blocks, "MATCHED", 3)
+    p = some_contents(spark, random.Random(9))
+    rows = lambda d, *c: {tuple(r[x] for x in ("target_id", "ref_id", *c)) for r in d.collect()}
+    assert rows(costs.best("lin", p, 4), "cost", "rank") == rows(vectors.top(costs.cost("lin", p), "target_id", [F.asc("cost"), F.asc("ref_id")], 4), "cost", "rank")
+    ids = [d.select(c).distinct() for d, c in ((p.targets, "target_id"), (p.refs, "ref_id"))]
+    every = ids[0].crossJoin(ids[1])
+    want = costs.cost("lin", costs.Pairing(**{**p.__dict__, "pairs": every}))
+    reach = ids[0].crossJoin(p.refs.select("concept").distinct())
+    none = costs.Pairing(p.targets.limit(0), p.refs.limit(0))
+    got = retrieve.nearest(*ids, p, none, "lin", 14, reach=reach)
+    assert rows(got, "cost") == rows(want, "cost") and {r.branch for r in got.collect()} == {"main"}
+    first = retrieve.nearest(*ids, p, none, "lin", 1)
+    assert rows(first, "cost") == rows(costs.best("lin", p, 1), "cost")
+
+
 def test_nearest_spills_over(spark):
     """What is left follows: paired, unpaired, then sets that nothing is shared with, the smallest first."""
     t_pos, t_neg = {"t": "ab", "n": "", "o": ""}, {"t": "n", "n": "n", "o": ""}
