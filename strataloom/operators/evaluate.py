@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scans import moving_mean, running
+
 
 def auroc(scores: DataFrame, by: str = "class") -> DataFrame:
     """(by, auroc) by the rank-sum formula with mean ranks of ties; scores: (by, score, truth 0/1).
 
-    Distinct scores are counted first, so the window sees one row per score.  A class without both truths has null.
+    Distinct scores are counted first, and ranks are a running sum over slices of them.  A class without both truths has null.
     """
     tied = scores.groupBy(by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("truth").cast("long")).alias("p"))
-    below = Window.partitionBy(by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tied.withColumn("r", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running(tied, by, "score", {"below": F.col("n")}).withColumn("r", F.col("below") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(by).agg(F.sum(F.col("r") * F.col("p")).alias("rs"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
     return sums.select(by, F.round(F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auroc"))
 
@@ -34,5 +35,4 @@ def crop_mean(outputs: DataFrame, by: list[str]) -> DataFrame:
 
 def losses(rows: DataFrame, step: str = "step", width: int = 10) -> DataFrame:
     """rows with the mean loss of the last `width` steps of an epoch."""
-    w = Window.partitionBy("epoch").orderBy(step).rowsBetween(-(width - 1), 0)
-    return rows.withColumn("running", F.round(F.avg("loss").over(w), 6))
+    return moving_mean(rows, "epoch", step, "loss", width).withColumn("running", F.round("moving", 6)).drop("moving")

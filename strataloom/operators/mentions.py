@@ -2,17 +2,21 @@
 
 A mention row has report_id, seq, text, category, assertion, mods, cui, cui_text
 and scores; extraction models plug in as functions from (report_id, text) rows to
-mention rows.  The default extractor matches a lexicon.
+mention rows.  The default extractors match a lexicon, automaton() one of any size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
+from .workers import ship
 
 Extractor = Callable[[DataFrame], DataFrame]
 
@@ -33,6 +37,73 @@ def lexicon(terms: DataFrame, kind: str = "Observation", size: int = 5) -> Extra
     return extract
 
 
+#: Bytes of terms that go out at once.
+PART_BYTES = 32 << 20
+
+
+def automaton(terms: DataFrame, kind: str | Column = "Observation") -> Extractor:
+    """lexicon() for terms of any length, by Aho-Corasick automata: each sentence is read once for all terms of a part; with `sentence`.
+
+    terms: (term, cui), where a term is words joined by single spaces.  Terms are dealt to parts by hash, so that a part,
+    which every task gets, has about PART_BYTES; texts are read once a part.  kind: the mentions' category, or a column of term and cui.
+    """
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+
+    def extract(reports: DataFrame) -> DataFrame:
+        spark = reports.sparkSession
+        ship(spark)
+        known = terms.where("term is not null and term <> ''").groupBy("term").agg(F.array_sort(F.collect_set("cui")).alias("cuis"))
+        size = known.agg(F.sum(F.octet_length("term") + F.lit(64))).first()[0] or 0
+        parts = max(1, math.ceil(size / PART_BYTES))
+        tokens = lambda part: F.filter(F.split(F.lower(part), r"[^\p{L}\p{N}'-]+"), lambda t: t != "")
+        sentences = F.split("text", r"(?<=[.!?])\s+|\n+")
+        lined = reports.select("report_id", "text", F.transform(sentences, lambda x: F.concat(F.lit(" "), F.array_join(tokens(x), " "), F.lit(" "))).alias("lines"), F.transform(sentences, text.negation).alias("assertions"))
+        hit = "struct<sentence: int, n: int, at: int, term: string>"
+        id_type = reports.schema["report_id"].dataType.simpleString()
+
+        def searched(part: int) -> DataFrame:
+            words = [r[0] for r in known.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).select("term").toLocalIterator()]
+            held = spark.sparkContext.broadcast(words)
+
+            def run(batches):
+                import ahocorasick
+
+                machine = ahocorasick.Automaton()
+                for term in held.value:
+                    machine.add_word(f" {term} ", (term, term.count(" ") + 1))
+                if len(machine):
+                    machine.make_automaton()
+                for batch in batches:
+                    found = []
+                    for lines in batch.column("lines").to_pylist():
+                        own = []
+                        for i, line in enumerate(lines or []):
+                            first = {}
+                            for end, (term, n) in machine.iter(line) if len(machine) else ():
+                                first.setdefault(term, (n, end))
+                            own += [{"sentence": i, "n": n, "at": end, "term": term} for term, (n, end) in first.items()]
+                        found.append(own)
+                    kinds = pa.list_(pa.struct([("sentence", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("term", pa.string())]))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("report_id", "text", "assertions")), pa.array(found, kinds)], ["report_id", "text", "assertions", "hits"])
+
+            return lined.mapInArrow(run, f"report_id {id_type}, text string, assertions array<string>, hits array<{hit}>")
+
+        rows = reduce(DataFrame.unionByName, (searched(part) for part in range(parts)))
+        each = rows.select("report_id", "text", "assertions", F.explode("hits").alias("h")).select("report_id", "text", "h.*", F.get("assertions", F.col("h.sentence")).alias("assertion"))
+        each = each.join(known, "term").withColumn("cui", F.explode("cuis"))
+        seq = F.row_number().over(Window.partitionBy("report_id").orderBy("sentence", "n", "at", "cui"))
+        state = F.when(F.col("assertion") == "present", "definitely present").when(F.col("assertion") == "absent", "definitely absent").otherwise("uncertain")
+        return each.select("report_id", seq.alias("seq"), F.col("term").alias("text"), text.mention_span(F.col("text"), F.col("term")).alias("span"), F.concat(kind, F.lit("::"), state).alias("category"), "assertion", F.array().cast("array<string>").alias("mods"), "cui", F.col("cui").alias("cui_text"), "sentence")
+
+    return extract
+
+
+def related(found: DataFrame) -> DataFrame:
+    """(report_id, ent, other): mentions of a sentence that are not anatomy, with those that are; found: (report_id, seq, category, sentence)."""
+    own = found.where(~F.col("category").startswith("Anatomy")).select("report_id", "sentence", F.col("seq").alias("ent"))
+    return own.join(found.where(F.col("category").startswith("Anatomy")).select("report_id", "sentence", F.col("seq").alias("other")), ["report_id", "sentence"]).select("report_id", "ent", "other")
+
+
 def override_labels(entities: DataFrame, of_note: DataFrame) -> DataFrame:
     """Labels of a note's own pass replace those of its sentences, by lower-cased token; of_note: (report_id, token, label)."""
     note = of_note.groupBy("report_id", F.lower("token").alias("_t")).agg(F.max("label").alias("_label"))

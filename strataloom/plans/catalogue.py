@@ -409,9 +409,9 @@ def bfs_depth(spark, d):
     return _bfs(spark, d).select("root_set", "v", "depth", "pred")
 
 
-@query(_BFS + " SELECT root_set, depth, count(*) AS n FROM found WHERE depth > 0 GROUP BY 1, 2")
+@query(_BFS + " SELECT root_set, depth, count(*) AS n, list_sort(list(v)) AS concepts FROM found WHERE depth > 0 GROUP BY 1, 2")
 def depth_sets(spark, d):
-    return graph.depth_sets(_bfs(spark, d)).select("root_set", "depth", "n")
+    return graph.depth_sets(_bfs(spark, d))
 
 
 @query(_BFS + " SELECT DISTINCT root_set, v FROM found")
@@ -836,6 +836,19 @@ def greedy_retrieval(spark, d):
     return retrieve.greedy(turns, *retrieve.paged(page, "target_id"))
 
 
+# Sets of parts, by information content: targets whose every reference shares a part, or none does.
+_IC_TOP = """ SELECT target_id, ref_id, cost, 'main' AS branch, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY cost, ref_id) AS rank FROM (
+SELECT target_id, ref_id, round(CASE WHEN x.m + y.m = 0 THEN 1.0 ELSE 1 - 2 * bma / (x.m + y.m) END, 6) + 0.0 AS cost FROM bma JOIN mean x ON x.id = target_id JOIN mean y ON y.id = ref_id)) WHERE rank <= 3"""
+
+
+@query(_BMA + _IC_TOP)
+def topk_ic(spark, d):
+    """The closest reports by information content, of those that share a concept."""
+    p = _part_pairing(spark, d)
+    ids = p.targets.select("target_id").distinct(), p.refs.select("ref_id").distinct()
+    return retrieve.nearest(*ids, p, costs.Pairing(p.targets.limit(0), p.refs.limit(0)), "lin", _K).select("target_id", "ref_id", "cost", "branch", "rank")
+
+
 # ---------------------------------------------------------------- evaluation
 
 _SCORES = """sc AS (SELECT 'toxic' AS class, n_chars AS score, toxic AS truth FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'quality', n_chars, quality FROM documents JOIN labels USING (doc_id)),

@@ -207,13 +207,18 @@ def vector_index(spark, d):
     return vectors.knn(v.where(si.is_query("id")), index, 3, exclude_self=False)
 
 
-@query(f"WITH {si.NAMES} SELECT cui, count(DISTINCT name) AS n_names FROM name GROUP BY 1")
+_HASHED = """wd AS (SELECT cui, name, unnest(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w FROM (SELECT DISTINCT cui, name FROM name)),
+cn AS (SELECT cui, name, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS k, count(*)::DOUBLE AS n FROM wd GROUP BY ALL)"""
+
+
+@query(f"WITH {si.NAMES}, {_HASHED} SELECT cui, round(max(n) / sqrt(sum(n * n)), 6) AS largest, count(*) AS places FROM cn GROUP BY cui, name")
 def synonym_index(spark, d):
-    """One vector for each name of a concept; the map from vectors to concepts is written and read."""
+    """One vector for each name of a concept, by its largest number and how many are not 0; the map from vectors to concepts is written and read."""
     index, ids = vectors.synonym_index(si.names(spark, d))
     path = _path(spark, "ids")
     ids.write.parquet(path)
-    return sources.resolve_ids(index.select("id"), spark.read.parquet(path)).groupBy("cui").agg(F.count(F.lit(1)).alias("n_names"))
+    got = sources.resolve_ids(index, spark.read.parquet(path))
+    return got.select("cui", F.round(F.array_max("embedding"), 6).alias("largest"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("places"))
 
 
 _KEPT = f"""{si.HIER}, keep AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'alone' || r_regionkey FROM region),

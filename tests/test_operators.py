@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strataloom import sources
 from strataloom.functions import text, vocab
-from strataloom.operators import blocks, costs, evaluate, graph, labels, mentions, ontology, prep, retrieve, sets, vectors
+from strataloom.operators import blocks, costs, evaluate, graph, labels, mentions, ontology, prep, retrieve, scans, sets, vectors
+from strataloom.plans import flows
 from strataloom.streaming import each_batch
 
 
@@ -699,3 +700,44 @@ def test_vectors_with_text_ids(spark):
     assert got == [("a", "c", 1), ("bb", "c", 1), ("c", "a", 1)]
     mean = vectors.mean_by(v.withColumn("k", F.lit(1)), "k", "embedding", F.col("id") != "bb", 2).collect()[0]["mean"]
     assert mean == [2.0, 0.5]
+
+
+# ------------------------------------------------------------- running sums
+
+
+def test_running_sums_over_slices(spark):
+    """Groups lie in many slices; null is a group."""
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]) if i > 50 else "a", i, rng.randrange(9)) for i in rng.sample(range(200), 200)]
+    df = spark.createDataFrame(rows, "g string, at int, x int")
+    got = {(r.g, r["at"]): (r.s, r.n) for r in scans.running(df, "g", "at", {"s": F.col("x"), "n": F.lit(1)}).collect()}
+    before = lambda g, at: [x for h, b, x in rows if h == g and b < at]
+    assert got == {(g, at): (sum(before(g, at)), len(before(g, at))) for g, at, _ in rows}
+    near = {(r.g, r["at"]): r.moving for r in scans.moving_mean(df, "g", "at", "x", 4, part=7).collect()}
+    last = lambda g, at: [x for h, b, x in sorted(rows, key=lambda r: r[1]) if h == g and b <= at][-4:]
+    assert near == {(g, at): sum(last(g, at)) / len(last(g, at)) for g, at, _ in rows}
+    assert scans.running(df.limit(0), "g", "at", {"s": F.col("x")}).count() == 0
+
+
+def test_automaton_equals_lexicon(spark, monkeypatch):
+    """With one part of terms and with several; a report without text has no mentions."""
+    notes = spark.createDataFrame([(1, "Large pleural effusion. No pleural effusion, no edema!\nEdema edema of the left lung"), (2, None), (3, ""), (4, "effusions and l'edema; the left  lung? Possible edema")], "report_id long, text string")
+    terms = spark.createDataFrame([("pleural effusion", "c1"), ("effusion", "c2"), ("edema", "c3"), ("edema", "c4"), ("left lung", "c5"), ("large pleural effusion", "c6"), ("nothing", "c7")], "term string, cui string")
+    want = sorted(map(tuple, mentions.lexicon(terms)(notes).select("report_id", "seq", "text", "category", "assertion", "cui").collect()))
+    for size in (32 << 20, 100):
+        monkeypatch.setattr(mentions, "PART_BYTES", size)
+        got = mentions.automaton(terms)(notes)
+        assert sorted(map(tuple, got.select("report_id", "seq", "text", "category", "assertion", "cui").collect())) == want and len(want) > 8
+    assert mentions.automaton(terms.limit(0))(notes).count() == 0
+
+
+def test_notes_to_linked_mentions(spark):
+    """Extraction, negation, modifiers of the sentence, and linking in one call."""
+    notes = spark.createDataFrame([(1, "Edema of the lung. No effusion."), (2, "nothing here")], "report_id long, text string")
+    terms = spark.createDataFrame([("edema", "c1"), ("lung", "c2"), ("effusion", "c3")], "term string, cui string")
+    names = spark.createDataFrame([(1, "edema", "k1"), (2, "edema lung", "k2"), (3, "effusion", "k3")], "id long, text string, cui string")
+    kind = F.when(F.col("term") == "lung", "Anatomy").otherwise("Observation")
+    types = spark.createDataFrame([("k1", "T047"), ("k2", "T047"), ("k3", "T047")], "cui string, tui string")
+    got = {r.text: r for r in flows.link_notes(notes, mentions.automaton(terms, kind), vectors.embedded(names.select("id", "text")), names.select("id", "cui"), types).collect()}
+    assert set(got) == {"edema", "lung", "effusion"} and got["edema"].mods == ["lung"] and got["effusion"].category.endswith("definitely absent")
+    assert (got["edema"].cui_text, got["edema"].cui_surface, got["effusion"].cui_text) == ("k1", "k2", "k3")
