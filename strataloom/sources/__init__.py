@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -129,18 +130,65 @@ def hierarchy(mrhier: DataFrame, order: str = "line") -> DataFrame:
     return mrhier.join(atoms, "PAUI").where(F.col("CUI") != F.col("parent")).select(F.col("CUI").alias("child"), "parent").distinct()
 
 
+class _Manifest:
+    """The parts of a cache: each version is a file of part names, which is renamed into place, so that it is there as a whole or not at all."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.jvm = spark, path.rstrip("/"), spark.sparkContext._jvm
+        self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def latest(self) -> tuple[int, list[str]]:
+        """(version, parts); version 0 is an empty cache."""
+        if not self.fs.exists(self._at("manifests")):
+            return 0, []
+        version = max((int(f.getPath().getName()) for f in self.fs.listStatus(self._at("manifests")) if f.getPath().getName().isdigit()), default=0)
+        if not version:
+            return 0, []
+        source = self.fs.open(self._at(f"manifests/{version}"))
+        try:
+            return version, self.jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8").split()
+        finally:
+            source.close()
+
+    def commit(self, version: int, parts: list[str]) -> bool:
+        """Makes `parts` the version, unless someone else has made it."""
+        draft, final = self._at(f"manifests/.draft-{uuid.uuid4().hex}"), self._at(f"manifests/{version}")
+        out = self.fs.create(draft, True)
+        out.write(bytearray("\n".join(parts).encode()))
+        out.close()
+        if not self.fs.exists(final) and self.fs.rename(draft, final):
+            return True
+        self.fs.delete(draft, False)
+        return False
+
+    def read(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{part}" for part in parts))
+
+
 def cached(spark: SparkSession, path: str, make, key: str = "report_id", texts: DataFrame | None = None) -> DataFrame:
-    """Read-through Parquet cache: rows of make(texts) for ids or texts that the cache lacks are appended."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    """Read-through Parquet cache: rows of make(texts) for ids or texts that the cache lacks are added, once.
+
+    What is made is written as a part of its own, which counts from the manifest that names it on; so what a failed or stopped
+    fill leaves is never read, and a fill that another one has overtaken adds only what that one hasn't.
+    """
+    cache, names = _Manifest(spark, path), [key, "text_hash"]
     todo = texts.withColumn("text_hash", F.xxhash64("text"))
-    if there:
-        todo = todo.join(spark.read.parquet(path).select(key, "text_hash").distinct(), [key, "text_hash"], "left_anti")
-    if not there or not todo.isEmpty():
-        made = make(todo.drop("text_hash")).join(todo.select(key, "text_hash"), key, "right")
-        made.write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(texts.select(key, F.xxhash64("text").alias("text_hash")), [key, "text_hash"], "left_semi").drop("text_hash")
+    version, parts = cache.latest()
+    missing = todo.join(cache.read(parts).select(names).distinct(), names, "left_anti") if parts else todo
+    if not parts or not missing.isEmpty():
+        part = f"part-{uuid.uuid4().hex}"
+        make(missing.drop("text_hash")).join(missing.select(names), key, "right").write.parquet(f"{path}/{part}")
+        known = parts
+        while not cache.commit(version + 1, [*parts, part]):
+            version, parts = cache.latest()
+            others = cache.read([x for x in parts if x not in known]).select(names).distinct()
+            less = f"part-{uuid.uuid4().hex}"
+            cache.read([part]).join(others, names, "left_anti").write.parquet(f"{path}/{less}")
+            part, known = less, parts
+    return cache.read(cache.latest()[1]).join(todo.select(names), names, "left_semi").drop("text_hash")
 
 
 def resolve_ids(rows: DataFrame, id_map: DataFrame, column: str = "id") -> DataFrame:

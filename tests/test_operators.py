@@ -741,3 +741,21 @@ def test_notes_to_linked_mentions(spark):
     got = {r.text: r for r in flows.link_notes(notes, mentions.automaton(terms, kind), vectors.embedded(names.select("id", "text")), names.select("id", "cui"), types).collect()}
     assert set(got) == {"edema", "lung", "effusion"} and got["edema"].mods == ["lung"] and got["effusion"].category.endswith("definitely absent")
     assert (got["edema"].cui_text, got["edema"].cui_surface, got["effusion"].cui_text) == ("k1", "k2", "k3")
+
+
+def test_cache_survives_failed_and_concurrent_fills(spark, tmp_path):
+    """A fill that fails half-way leaves nothing that is read, and two fills at once add each row once."""
+    path = f"file://{tmp_path}/cache"
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "report_id int, text string")
+    make = lambda d: d.select("report_id", F.upper("text").alias("u"))
+    broken = lambda d: d.select("report_id", F.when(F.col("report_id") == 13, F.raise_error(F.lit("stop")).cast("string")).otherwise("x").alias("u"))
+    with pytest.raises(Exception, match="stop"):
+        sources.cached(spark, path, broken, texts=texts)
+
+    def overtaken(d):  # another fill of some of the rows ends while this one makes its own
+        sources.cached(spark, path, make, texts=texts.where("report_id < 8"))
+        return make(d)
+
+    got = sources.cached(spark, path, overtaken, texts=texts)
+    assert sorted(map(tuple, got.collect())) == [(i, f"T{i}") for i in range(20)]
+    assert sources.cached(spark, path, None, texts=texts).count() == 20
