@@ -759,3 +759,25 @@ def test_cache_survives_failed_and_concurrent_fills(spark, tmp_path):
     got = sources.cached(spark, path, overtaken, texts=texts)
     assert sorted(map(tuple, got.collect())) == [(i, f"T{i}") for i in range(20)]
     assert sources.cached(spark, path, None, texts=texts).count() == 20
+
+
+def test_low_tail_by_information_content(spark):
+    """With use_ic, turns take the references of least lin cost, one after the other."""
+    rng = random.Random(4)
+    h = spark.createDataFrame([(c, p) for c, p in zip("abcdefgh", "ijijkkkl")] + [(c, "m") for c in "ijkl"], "child string, parent string")
+    ids = [1, 2, *range(10, 16), 20, 21, 22]
+    sets_ = {i: ["a", *rng.sample("bcdefgh", rng.randrange(1, 4))] for i in ids}
+    labels_ = {1: "A", 2: "B", 20: "A", 21: "A", 22: "B"}
+    study = lambda some: spark.createDataFrame([(i, "text", f"p/{i}.dcm", labels_.get(i, "C"), float(labels_.get(i) == "A"), float(labels_.get(i) == "B")) for i in some], "dicom_id long, impression string, path string, `Finding Labels` string, A double, B double")
+    found = spark.createDataFrame([(i, str(k), c, c, "present", "Observation::definitely present") for i, cs in sets_.items() for k, c in enumerate(cs)], "report_id long, seq string, cui string, cui_text string, assertion string, category string")
+    config = sources.Config(image_base_path="img/", k=1, use_ic=True)
+    got = flows.fill_low_tail(study([1, 2]), study(range(10, 16)), study([1, 2, 20, 21, 22]), found, classes=["A", "B"], config=config, hierarchy=h)
+    frame = lambda some, key: pairs(spark, {i: sets_[i] for i in some}, key)
+    t, r = frame([1, 2], "target_id"), frame(ids[2:], "ref_id")
+    every = t.select("target_id").distinct().crossJoin(r.select("ref_id").distinct())
+    cost = costs.cost("lin", costs.Pairing(t, r, pairs=every, closure=ontology.ancestors(h), ic=ontology.information_content(h)))
+    lists = {int(x): [int(c.ref_id) for c in sorted(rows, key=lambda c: (c.cost, int(c.ref_id)))] for x, rows in itertools.groupby(sorted(cost.collect(), key=lambda c: int(c.target_id)), key=lambda c: c.target_id)}
+    taken = sorted((x.step, x.cls_no, x.seed_id, x.ref_id) for x in got.taken.collect())
+    assert taken == one_by_one([(0, 0, 1), (0, 1, 2), (1, 0, 1)], lists) and got.rows.count() == 2 + 3
+    with pytest.raises(ValueError):
+        flows.fill_low_tail(study([1]), study([10]), study([20]), found, classes=["A"], config=config)
