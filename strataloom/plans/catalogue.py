@@ -894,4 +894,4 @@ def running_loss(spark, d):
     return evaluate.losses(rows).select("epoch", "step", "running")
 
 
-from . import end_to_end, files  # noqa: E402, F401  they register their queries here
+from . import end_to_end, files, learning  # noqa: E402, F401  they register their queries here
