@@ -124,25 +124,6 @@ def embedded(texts: DataFrame, encode=None) -> DataFrame:
     return got.select("id", unit(F.col("embedding")).alias("embedding"))
 
 
-def save_index(vectors: DataFrame, path: str) -> None:
-    """Writes (id, embedding) as a Parquet table, which is the index: the search is exact."""
-    vectors.select("id", "embedding").write.mode("overwrite").parquet(path)
-
-
-def load_index(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def index_exists(spark, path: str) -> bool:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-
-
-def remove_ids(index: DataFrame, ids: DataFrame) -> DataFrame:
-    """The index without the ids (id)."""
-    return index.join(ids.select("id").distinct(), "id", "left_anti")
-
-
 def synonym_index(names: DataFrame, encode=None) -> tuple[DataFrame, DataFrame]:
     """The index of all names of concepts, one vector for each name, and the map (id, cui) of its ids; names: (cui, name)."""
     rows = names.select("cui", "name").distinct().withColumn("id", F.xxhash64("cui", "name"))

@@ -12,6 +12,7 @@ from ..functions import text
 from ..operators import evaluate, mentions, ontology, sets, vectors
 from ..operators.workers import shared_folder
 from ..sources import table
+from ..sources.index import VectorIndex
 from . import standins as si
 from .catalogue import _VEC, _scores, query
 
@@ -199,12 +200,11 @@ def unit_vectors(spark, d):
 
 @query(_VEC.replace("k AS (SELECT *", "k AS (SELECT *", 1).replace("JOIN u r ON q.vec_id <> r.vec_id", "JOIN u r ON r.vec_id % 7 <> 0") + " SELECT query_id, ref_id, score, rank::INTEGER AS rank FROM k WHERE rank <= 3")
 def vector_index(spark, d):
-    """Vectors are saved as an index, read again, and searched after some ids have been removed."""
+    """Vectors are saved as an index, and searched after two rounds of removals, which leave the vectors as they are."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    path = _path(spark, "index")
-    vectors.save_index(v, path)
-    index = vectors.remove_ids(vectors.load_index(spark, path), v.where("id % 7 = 0"))
-    return vectors.knn(v.where(si.is_query("id")), index, 3, exclude_self=False)
+    index = VectorIndex(spark, _path(spark, "index")).add(v)
+    index.remove(v.where("id % 14 = 0")).remove(v.where("id % 14 = 7"))
+    return vectors.knn(v.where(si.is_query("id")), index.read(), 3, exclude_self=False)
 
 
 _HASHED = """wd AS (SELECT cui, name, unnest(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w FROM (SELECT DISTINCT cui, name FROM name)),
