@@ -38,29 +38,40 @@ _SLOTS = 16
 BLOCK_WORDS = 2_000_000
 
 
+class BlockWords:
+    """Fingerprints and bytes of the words of a block of items."""
+
+    def __init__(self, w: _text.Words):
+        small = np.int32 if len(w.data) < 1 << 31 else np.int64
+        self.hash, self.data, self.start, self.size = w.hash, w.data, w.start.astype(small), (w.end - w.start).astype(small)
+
+
 class Patterns:
-    """Tables of the patterns of one length; items: sorted (pattern, item) pairs."""
-
-    def __init__(self, text: _text.Words, place: np.ndarray, owner: np.ndarray):
-        """place: (patterns, length) words of the items' text."""
-        self.length = m = place.shape[1]
-        words = text.hash[place]
-        order = np.lexsort(words.T[::-1])
-        words, owner, place = words[order], owner[order], place[order]
-        new = np.r_[True, (words[1:] != words[:-1]).any(1)]
-        ids = np.cumsum(new) - 1
-        self.words, place = words[new], place[new]
-        self.data, self.start, self.size = text.data, text.start[place], (text.end - text.start)[place]
-        pairs = np.unique(np.stack([ids, owner], 1), axis=0)
-        self.owners, self.owner_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1))
-        self.block = min(2, m)
+    """Tables of the patterns of one length.
+
+    The words of a block of items are kept once, and a pattern is the place of its first word among them;
+    patterns lie in the order of their suffix hashes, so a bucket is a range of them.  Equal windows are one pattern.
+    """
+
+    def __init__(self, text: BlockWords, length: int, place: np.ndarray, owner: np.ndarray):
+        """place: the first words of the windows, in the items `owner`."""
+        self.text, self.length, self.block = text, length, min(2, length)
+        h, m = text.hash, length
+        suffix = self._key_at(h, place + m - 1)
+        order = np.lexsort((owner, _text.window_hash(h, m)[place], suffix))
+        place, owner, suffix = place[order], owner[order], suffix[order]
+        same = np.ones(len(place) - 1, bool)
+        for j in range(m):  # neighbours of one fingerprint, told apart by their words
+            same &= h[place[1:] + j] == h[place[:-1] + j]
+        new = np.r_[True, ~same]
+        once = new | np.r_[True, owner[1:] != owner[:-1]]
+        self.place = place[new].astype(text.start.dtype)
+        self.owners = owner[once].astype(np.int32)
+        self.owner_at = np.r_[np.flatnonzero(new[once]), once.sum()].astype(text.start.dtype)
+        self.bucket_at = np.searchsorted(suffix[new], np.arange((1 << _SLOTS) + 1)).astype(np.int32)
         self.shift = np.full(1 << _SLOTS, m - self.block + 1, np.int32)
         for q in range(self.block, m + 1):
-            key = self._key(self.words[:, q - 1], self.words[:, q - 2] if self.block == 2 else None)
-            np.minimum.at(self.shift, key, m - q)
-        suffix = self._key(self.words[:, -1], self.words[:, -2] if self.block == 2 else None)
-        self.bucket = np.argsort(suffix, kind="stable")
-        self.bucket_at = np.searchsorted(suffix[self.bucket], np.arange((1 << _SLOTS) + 1))
+            np.minimum.at(self.shift, self._key_at(h, place + q - 1), m - q)
 
     @staticmethod
     def _key(last: np.ndarray, before: np.ndarray | None) -> np.ndarray:
@@ -92,9 +103,9 @@ class Patterns:
         key = self._key_at(h, at)
         n = self.bucket_at[key + 1] - self.bucket_at[key]
         pos = np.repeat(at - m + 1, n)
-        which = self.bucket[np.repeat(self.bucket_at[key], n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)]
+        which = np.repeat(self.bucket_at[key], n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
         for j in range(m):  # fingerprints first, so that few are left for the bytes
-            same = h[pos + j] == self.words[which, j]
+            same = h[pos + j] == self.text.hash[self.place[which] + j]
             pos, which = pos[same], which[same]
         for j in range(m):
             same = self._same_bytes(w, pos + j, which, j)
@@ -103,12 +114,13 @@ class Patterns:
 
     def _same_bytes(self, w: _text.Words, word: np.ndarray, which: np.ndarray, j: int) -> np.ndarray:
         """Whether words of w are, byte by byte, the j-th words of patterns."""
-        size = self.size[which, j]
+        own = self.place[which] + j
+        size = self.text.size[own].astype(np.int64)
         same = (w.end - w.start)[word] == size
         size = np.where(same, size, 0)
         stop = np.cumsum(size)
         inside = np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(stop - size, size)
-        differ = w.data[np.repeat(w.start[word], size) + inside] != self.data[np.repeat(self.start[which, j], size) + inside]
+        differ = w.data[np.repeat(w.start[word], size) + inside] != self.text.data[np.repeat(self.text.start[own].astype(np.int64), size) + inside]
         return same & (_text.row_sums(differ, np.r_[0, stop]) == 0)
 
 
@@ -117,27 +129,30 @@ def patterns(items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple
     names = sorted({i for i, _ in items})
     number = {x: k for k, x in enumerate(names)}
     w = _text.Words(pa.array([t for _, t in items], pa.string()), _text.NON_ALNUM, _text.LOWER)
-    by: dict[int, list] = {}
-    for (item, _), first, count in zip(items, w.first, w.count):
-        m = min(window, int(count))
-        if m:
-            own = np.lib.stride_tricks.sliding_window_view(np.arange(first, first + count), m)
-            by.setdefault(m, []).append((own, np.full(len(own), number[item])))
-    return names, [Patterns(w, *(np.concatenate(x) for x in zip(*parts))) for _, parts in sorted(by.items())]
+    text = BlockWords(w)
+    numbers = np.array([number[i] for i, _ in items], np.int64)
+    length = np.minimum(window, w.count)
+    out = []
+    for m in np.unique(length[length > 0]).tolist():
+        own = np.flatnonzero(length == m)
+        n = w.count[own] - m + 1
+        place = np.repeat(w.first[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out.append(Patterns(text, m, place, np.repeat(numbers[own], n)))
+    return names, out
 
 
 def _blocks(benchmark: DataFrame, window: int):
-    """The benchmark's patterns in blocks, one at a time."""
+    """(patterns, whether more follow) of the benchmark in blocks, each made when it is asked for."""
     held, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     for r in rows.toLocalIterator():
         more = len(r["text"] or "") // 2
         if held and size + more > BLOCK_WORDS:
-            yield patterns(held, window)
+            yield patterns(held, window), True
             held, size = [], 0
         held.append((r["item"], r["text"]))
         size += more
-    yield patterns(held, window)
+    yield patterns(held, window), False
 
 
 def scan_chunk(column, block, spans=None, items=None) -> tuple[np.ndarray, list[bytes], list[set[str]]]:
@@ -179,13 +194,12 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, schema, finish)
     """docs (c0, c1, .., text) with what finish(batch, words, spans, items) makes of each batch, after all blocks."""
     spark = docs.sparkSession
     carried = T.StructType([*docs.schema.fields, T.StructField("_spans", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))])
-    before, blocks = None, _blocks(benchmark, window)
-    block = next(blocks)
-    while block is not None:
-        after = next(blocks, None)
+    before = None
+    for block, more in _blocks(benchmark, window):
         held = spark.sparkContext.broadcast(block)
+        del block
 
-        def run(batches, held=held, more=after is not None):
+        def run(batches, held=held, more=more):
             for part in _text.chunks(batches):
                 old = [part.column(c).to_pylist() if c in part.schema.names else None for c in ("_spans", "_items")]
                 n, spans, items = scan_chunk(part.column("text"), held.value, *old)
@@ -195,13 +209,13 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, schema, finish)
                 own = [c for c in part.schema.names if c not in ("_spans", "_items")]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(spans, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*own, "_spans", "_items"])
 
-        if after is None:
+        if not more:
             return _spark.arrow_map(docs, run, schema)
         docs = _spark.written(_spark.arrow_map(docs, run, carried), "scanned")
         held.destroy()
         if before is not None:
             _spark.drop_written(before)
-        before, block = docs, after
+        before = docs
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

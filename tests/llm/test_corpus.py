@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -299,6 +300,18 @@ def test_wu_manber_finds_all_lengths(monkeypatch):
         assert (i, n[i], hit[i], len(found[i]), decontaminate.items_digest(found[i]), bool(hit[i]) and 20 * hit[i] >= n[i]) in exp
 
 
+def test_decontamination_tables_are_small():
+    """A benchmark word takes under 40 bytes in a block, and windows that occur again are one pattern."""
+    draw = np.random.default_rng(5)
+    words = ["".join(draw.choice(list("abcdefgh"), draw.integers(2, 9))) for _ in range(3000)]
+    items = [(str(i), " ".join(draw.choice(words, 200))) for i in range(2000)]
+    tables = decontaminate.patterns(items)[1]
+    fixed = sum(p.shift.nbytes + p.bucket_at.nbytes for p in tables)
+    assert len(pickle.dumps(tables)) - fixed < 40 * 400_000
+    names, (one,) = decontaminate.patterns([*items[:3], ("x", items[0][1]), ("x", items[0][1])])
+    assert len(one.place) == 3 * 188 and len(one.owners) == 4 * 188 and names[-1] == "x"
+
+
 def test_decontamination_in_passes(spark, sf_dir, monkeypatch):
     """A block for each item; columns with clashing names stay."""
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
