@@ -6,7 +6,8 @@ share `shared` columns by hash, so no word is left out.  An entry is (1 + ln of
 
 The right singular vectors come from a randomised range finder with power iterations.  One pass over the stored rows
 multiplies their Gram matrix by a matrix of (columns x (rank + extra)) numbers: each task folds its rows into one such
-matrix, and sums of at most FAN matrices a group add them up.  The matrix's size is set by the parameters, not by the
+matrix, and sums of at most FAN matrices a group add them up.  A task has at least as many entries as its matrix has
+numbers, so no more is shuffled than the rows have.  The matrix's size is set by the parameters, not by the
 texts, so the driver may hold it, make its columns orthogonal, and send it out again.
 
 Defined results: a null text, and one without words, has a zero vector; an empty table gives zero vectors; equal
@@ -114,8 +115,9 @@ def _gram(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
     """The Gram matrix of the stored sparse rows (at, w) times basis."""
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast(basis)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     columns, wide = basis.shape
+    entries = rows.agg(F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("n")).first()["n"]  # from the stored lists
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, entries // (columns * wide)))
 
     def fold(batches):
         from pyspark import TaskContext
@@ -147,7 +149,7 @@ def _gram(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
 
     schema, left = "block int, part int, sums binary", -(-parts // FAN)
     got = rows.coalesce(parts).mapInArrow(fold, schema)
-    while True:
+    while parts > 1:
         got = got.groupBy("block", "part").applyInArrow(add, schema)
         if left == 1:
             break

@@ -74,6 +74,23 @@ def test_axes_are_those_of_a_dense_svd(spark, topics):
     np.testing.assert_allclose(mine @ mine.T, want @ want.T, atol=1e-3)
 
 
+def test_matrices_of_many_tasks_add_up(spark, topics, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(topics[0][:400])], "id long, text string").repartition(8)
+    fit = lambda: encoder.fit(df, rank=3, size=30, shared=4, extra=2, passes=3)
+    monkeypatch.setattr(encoder, "FAN", 2)
+    monkeypatch.setattr(encoder, "BLOCK", 16)
+    many = fit()
+    monkeypatch.setattr(encoder, "BLOCK", 1024)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        one = fit()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert many.axes.any()
+    np.testing.assert_allclose(many.axes, one.axes, atol=1e-9)
+
+
 def test_encoder_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "A  b"), (None, "...")], "id long, text string")
     fitted = encoder.fit(df, rank=4)
