@@ -475,6 +475,47 @@ def test_bounds_leave_most_pairs_out(spark, name):
     assert 0 < cells.value < 30 * 300 / 10
 
 
+def test_references_go_out_once_for_all_blocks(spark, monkeypatch):
+    """However many blocks the targets make, a cell has them all, and each reference is in one cell."""
+    monkeypatch.setattr(blocks, "WIDE", 8)
+    rows, cell = spark.sparkContext.accumulator(0), blocks._cell
+
+    def counted(*a):
+        run = cell(*a)
+
+        def counting(left, right):
+            rows.add(left.num_rows)
+            return run(left, right)
+
+        return counting
+
+    monkeypatch.setattr(blocks, "_cell", counted)
+    rng = random.Random(5)
+    some = lambda key, p, n: pairs(spark, {f"{p}{i}": rng.sample("abcdefghij", 3) for i in range(n)}, key)
+    p = costs.Pairing(some("target_id", "t", 30), some("ref_id", "r", 50))
+    got = {(r.target_id, r.ref_id): (r.cost, r["rank"]) for r in costs.best("dice", p, 3).collect()}
+    assert rows.value == 50
+    assert got == {(r.target_id, r.ref_id): (r.cost, r["rank"]) for r in vectors.top(costs.cost("dice", p), "target_id", [F.asc("cost"), F.asc("ref_id")], 3).collect()}
+
+
+def test_targets_that_share_nothing_stop_early(spark, monkeypatch):
+    """A target without positive concepts isn't compared with all references; the rows are the same."""
+    monkeypatch.setattr(blocks, "STEP", 4)
+    rng = random.Random(7)
+    names = [f"c{i}" for i in range(200)]
+    some = lambda n, k, p: {f"{n}{i}": rng.sample(names, rng.randrange(1, 4)) if rng.random() < p else [] for i in range(k)}
+    t, tn, r, rn = some("t", 20, 0.3), some("t", 20, 0.5), some("r", 300, 0.7), some("r", 300, 0.5)
+    frames = [pairs(spark, s, key) for s, key in ((t, "target_id"), (tn, "target_id"), (r, "ref_id"), (rn, "ref_id"))]
+    ids = [spark.createDataFrame([(x,) for x in s], f"{key} string") for s, key in ((t, "target_id"), (r, "ref_id"))]
+    score = lambda a, b: costs.cost("dice", costs.Pairing(a, b))
+    want = retrieve.closest(*ids, frames[0], frames[1], frames[2], frames[3], 3, score)
+    cells = spark.sparkContext.accumulator(0)
+    got = retrieve.nearest(*ids, costs.Pairing(frames[0], frames[2], target_neg=frames[1], ref_neg=frames[3]), costs.Pairing(frames[1], frames[3]), "dice", 3, cells=cells)
+    key = ["target_id", "ref_id", "cost", "neg_cost", "branch", "rank"]
+    assert {tuple(x[c] for c in key) for x in got.collect()} == {tuple(x[c] for c in key) for x in want.collect()}
+    assert 0 < cells.value < 20 * 300 / 2
+
+
 def some_contents(spark, rng):
     """A hierarchy over letters, and what lin needs of it; not all letters are in it."""
     tree = [(c, p) for c, p in zip("abcdefgh", "ijijkkkl")] + [("i", "m"), ("j", "m"), ("k", "n"), ("m", "n"), ("l", "n"), ("a", "k")]
