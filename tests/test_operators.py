@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -703,6 +704,21 @@ def test_auroc(spark):
     assert got["a"] == pytest.approx(exp, abs=1e-6) and got["b"] is None
 
 
+def test_means_are_rounded_as_in_sql(spark):
+    """The mean of two figures of six digits is often half a digit."""
+    rng = random.Random(2)
+    rows = [(k, c, rng.randrange(10**6) / 1e6) for k in range(2000) for c in "ab"]
+    means = spark.createDataFrame(rows, "k int, class string, auroc double").groupBy("k").agg(evaluate._six(F.avg("auroc")).alias("m"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k INTEGER, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [(k, x) for k, _, x in rows])
+    assert dict(map(tuple, means.collect())) == dict(con.execute("SELECT k, round(avg(x), 6) FROM t GROUP BY 1").fetchall())
+    one = [(0.5, 0.500001), (0.000002, 0.000005)]
+    for a, b in one:
+        want = con.execute(f"SELECT round(({a}::DOUBLE + {b}::DOUBLE) / 2, 6)").fetchone()[0]
+        assert evaluate.macro(spark.createDataFrame([("a", a), ("b", b)], "class string, auroc double")).first()[0] == want
+
+
 def test_sets(spark):
     p = pairs(spark, {"x": "ab", "y": "ba", "z": "c"}, "id")
     got = {tuple(r.cset): r.ids for r in sets.inverted(sets.as_arrays(p, "id"), "id").collect()}
