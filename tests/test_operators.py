@@ -476,6 +476,24 @@ def test_bounds_leave_most_pairs_out(spark, name):
     assert 0 < cells.value < 30 * 300 / 10
 
 
+def test_vertices_with_the_same_neighbours_are_searched_once(spark):
+    """The masks' rows grow with the different neighbourhoods, not with the concepts; costs are those of the whole search."""
+    rng = random.Random(11)
+    leaves, hubs = [f"p{i}" for i in range(120)], ["h0", "h1", "h2", "z"]
+    links = {(a, h): ["SY"] if i % 2 else ["PAR"] for i, a in enumerate(leaves[:-4]) for h in rng.choice([("h0", "h1"), ("h1", "h2"), ("h0",)])} | {("h2", "z"): ["SY"]}
+    way = graph.both_ways(spark.createDataFrame([(a, b, r) for (a, b), r in links.items()], "a string, b string, rels array<string>"))
+    some = lambda key, p, n: pairs(spark, {f"{p}{i}": rng.sample([*leaves, *hubs], rng.randrange(1, 5)) for i in range(n)}, key)
+    t, tn, r, rn = some("target_id", "t", 12), some("target_id", "t", 12), some("ref_id", "r", 30), some("ref_id", "r", 30)
+    roots = t.select(F.col("target_id").alias("root_set"), F.col("concept").alias("v"))
+    weight = spark.createDataFrame([(c, k % 4) for k, c in enumerate([*leaves, *hubs])], "concept string, weight long")
+    forests = graph.forest(way, roots, 5), graph.forest(way, roots, 5, twins=True)
+    assert forests[1].levels.count() < forests[0].levels.count() / 2
+    rows = lambda d: {(x.target_id, x.ref_id): (x.cost, x["rank"]) for x in d.collect()}
+    for name in ("depth", "sym_tversky", "umls_neg"):
+        whole, short = (rows(costs.best(name, costs.Pairing(t, r, weight=weight, target_neg=tn, ref_neg=rn, forest=f), 4)) for f in forests)
+        assert whole == short and len(whole) >= 12
+
+
 def test_references_go_out_once_for_all_blocks(spark, monkeypatch):
     """However many blocks the targets make, a cell has them all, and each reference is in one cell."""
     monkeypatch.setattr(blocks, "WIDE", 8)
