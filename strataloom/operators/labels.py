@@ -73,11 +73,16 @@ def label_concepts(mentions: DataFrame, names: DataFrame, types: DataFrame, seed
     return seeds.where("cui is not null").select("label", "cui").unionByName(by_name).unionByName(devices).distinct()
 
 
+def string_concepts(rows: DataFrame, column: str, concepts: DataFrame) -> DataFrame:
+    """Distinct (column, cui): the concepts of the parts of each different label string."""
+    parts = rows.select(column).distinct().select(column, F.explode(text.tokens(F.col(column))).alias("label"))
+    return parts.join(concepts, "label").select(column, "cui").distinct()
+
+
 def concepts_of(rows: DataFrame, column: str, concepts: DataFrame, key: str = "report_id") -> DataFrame:
-    """(key, cuis): union of the concepts of a label string's parts; unknown parts have none, null is empty."""
-    parts = rows.select(key, F.explode(text.tokens(F.col(column))).alias("label"))
-    got = parts.join(concepts, "label").groupBy(key).agg(F.array_sort(F.collect_set("cui")).alias("cuis"))
-    return rows.select(key).join(got, key, "left").select(key, F.coalesce("cuis", F.array().cast("array<string>")).alias("cuis"))
+    """(key, cuis): union of the concepts of a label string's parts, made once a string; unknown parts have none, null is empty; keys are distinct."""
+    got = string_concepts(rows, column, concepts).groupBy(column).agg(F.array_sort(F.collect_list("cui")).alias("cuis"))
+    return rows.select(key, column).join(got, column, "left").select(key, F.coalesce("cuis", F.array().cast("array<string>")).alias("cuis"))
 
 
 def choose(rows: DataFrame, present: DataFrame, concepts: DataFrame, key: str = "report_id") -> DataFrame:
