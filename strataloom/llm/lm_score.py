@@ -16,7 +16,7 @@ distributions, so the score is a log10 probability, and bits per byte follow fro
 
 A text is coded whole, from its first token to its last, with slots in proportion to its
 decisions; the blocks of many texts are handled together.  The weights start from those
-that FIT_SHARE of the training texts end with, when coded without their own share of
+that the training texts end with, all of them, when coded without their own share of
 predictor 1.
 
 Token counts cover all training texts, and both scores use the count of every
@@ -48,8 +48,7 @@ NODE_BITS, PAIR_BITS = 10, 11
 GATES = 16
 #: Tokens of a block, once blocks have grown to it; a power of two.
 BLOCK = 32
-#: One of so many training texts, by crc32, fits the weights that a text starts with.
-FIT_SHARE = 64
+#: Weights that the training texts start with, to fit those of all texts.
 START = (1.0, 0.5, 0.3, 0.5, 0.0)
 #: Prior observations of predictors 1, 2 and 3, dealt by predictor 0.
 PRIOR = (8.0, 2.0, 1.0)
@@ -280,16 +279,18 @@ def _decisions(model: Model, symbol: np.ndarray, previous: np.ndarray):
 
 def _trained(batches, model: Model):
     """One row of summed counts per slice: (slice, blob); slice -1 is the byte model."""
-    pairs = np.zeros(2 << model.slot_bits, np.int64)
+    pairs = np.zeros(2 << model.slot_bits)  # of whole numbers
     letters = np.zeros(LETTER_CONTEXTS << 8, np.int64)
     bit, shift = model.path_bit.astype(np.int64) << model.slot_bits, np.uint32(32 - model.slot_bits)
     for part in _text.chunks(batches):
         w, h, offs = tokens(part.column("text"))
         _, symbol = _leaves(model, h)
-        at, _, pair = _decisions(model, symbol, _previous(symbol, offs))
-        pairs += np.bincount((pair >> shift).astype(np.int64) + _take(bit, at), minlength=len(pairs))
+        # equal neighbours make equal decisions
+        both, times = np.unique(_previous(symbol, offs).astype(np.uint64) << np.uint64(32) | symbol.astype(np.uint64), return_counts=True)
+        at, size, pair = _decisions(model, (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.uint32))
+        pairs += np.bincount((pair >> shift).astype(np.int64) + _take(bit, at), weights=np.repeat(times, size), minlength=len(pairs))
         letters += np.bincount(_letter_pairs(w.data, w.start, w.end)[0], minlength=len(letters))
-    step = 1 << 15
+    pairs, step = pairs.astype(np.int64), 1 << 15
     for k in range(0, len(pairs), step):
         if pairs[k : k + step].any():
             yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([pairs[k : k + step].tobytes()], pa.binary())], ["slice", "blob"])
@@ -358,13 +359,11 @@ def _fitted(batches, model: Model):
 
 
 def _start(training: DataFrame, model: Model) -> np.ndarray:
-    """(5, GATES): the mean weights at the ends of the texts that fit them."""
+    """(5, GATES): the mean weights at the ends of all training texts."""
     model.weights = np.repeat(np.array(START)[:, None], GATES, 1)
     held = training.sparkSession.sparkContext.broadcast(model)
-    text = F.col("text").cast("string")
-    share = training.where(F.pmod(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(FIT_SHARE)) == 0)
-    rows = _spark.arrow_map(share.select(text.alias("text")), lambda b: _fitted(b, held.value), "blob binary")
-    total = sum((np.frombuffer(bytes(r["blob"])).reshape(6, GATES) for r in rows.toLocalIterator()), np.zeros((6, GATES)))
+    rows = _spark.arrow_map(training.select(F.col("text").cast("string").alias("text")), lambda b: _fitted(b, held.value), "blob binary")
+    total = sum((np.frombuffer(bytes(r["blob"])).reshape(6, GATES) for r in rows.collect()), np.zeros((6, GATES)))  # less than a KB a task, by all tasks at once
     # rounded, so that the order of the sums doesn't show
     return np.where(total[5] > 0, np.round(total[:5] / np.maximum(total[5], 1), 6), model.weights)
 
@@ -385,7 +384,7 @@ def _blocks(most: int):
 
 
 def _mixed(model: Model, symbol: np.ndarray, offs: np.ndarray, fit: np.ndarray | None = None) -> np.ndarray:
-    """Natural log probability of each text's leaves; to fit, the texts are training texts, and fit (6, GATES) gains their last weights."""
+    """Natural log probability of each text's leaves; to fit, the texts are training texts, and fit (6, GATES) gains their last weights, without probabilities."""
     rows, made = len(offs) - 1, model.prepared()
     if not len(model.path_node) or not rows:
         return np.zeros(rows)
@@ -441,8 +440,9 @@ def _mixed(model: Model, symbol: np.ndarray, offs: np.ndarray, fit: np.ndarray |
         p = np.exp(z, out=z)
         p += 1
         np.divide(1, p, out=p)  # probability of the bit that came
-        edge = np.r_[0, np.cumsum(size)][stop - some]
-        cost[:k] += np.add.reduceat(np.log(p), edge, dtype=np.float64)
+        if fit is None:
+            edge = np.r_[0, np.cumsum(size)][stop - some]
+            cost[:k] += np.add.reduceat(np.log(p), edge, dtype=np.float64)
         p -= 1
         p *= sign  # the bit minus its probability
         times = np.bincount(g, minlength=k * GATES)

@@ -1,6 +1,7 @@
 """The corpus operators against brute force on a small corpus with nulls, empty and long texts, ties, copies and clashing names."""
 
 import collections
+import dataclasses
 import hashlib
 import itertools
 import math
@@ -639,6 +640,18 @@ def test_lm_texts_are_coded_whole(spark):
     assert together[1] > 1.9 * together[0]  # the second time is learned from the first
 
 
+def test_lm_start_weights_come_from_all_texts(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(5 + 3 * (n % 40))], k=30)) for n in range(200)]
+    model, _ = lm_score.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    start = dataclasses.replace(model, weights=np.repeat(np.array(lm_score.START)[:, None], lm_score.GATES, 1))
+    (row,) = lm_score._fitted([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])], start)
+    total = np.frombuffer(row.column(0)[0].as_py()).reshape(6, lm_score.GATES)
+    assert total[5].sum() == sum(len(range(*model.path_at[x : x + 2])) for t in texts for x in lm_score._leaves(model, lm_score.tokens(pa.array([t]))[1])[1])
+    some = total[5] > 0
+    assert np.allclose(model.weights[:, some], total[:5, some] / total[5, some], atol=2e-6)
+
+
 def test_lm_words_beyond_the_most_frequent_have_context(spark):
     words = [f"w{k}" for k in range(6000)]
     model, counts = lm_score.train(spark.createDataFrame([(k, " ".join(words)) for k in range(8)], "doc_id long, text string"))
