@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
@@ -42,11 +42,33 @@ def strongest(found: DataFrame) -> DataFrame:
     return found.groupBy("report_id", "label").agg(F.max_by("assertion", F.struct(text.precedence(F.col("assertion")), "assertion")).alias("assertion"))
 
 
+def _all_labels(mentions: DataFrame, names: DataFrame, parents: DataFrame, labels: list[str]) -> DataFrame:
+    """(report_id, label, assertion) of direct() and broader(): names are searched once a concept, and a mention meets its two concepts once."""
+    first = F.coalesce(*(F.when(_has(F.col("name"), F.lit(x)), k) for k, x in enumerate(labels)), F.lit(-1))
+    firsts = names.groupBy("cui").agg(F.collect_set(first).alias("firsts"))
+    hits = F.filter(F.array(*map(F.lit, labels)), lambda x: _has(F.col("name"), x))
+    ups = parents.join(names.select(F.col("cui").alias("parent"), F.explode(hits).alias("up")), "parent").groupBy("cui").agg(F.collect_set("up").alias("ups"))
+    known = firsts.join(ups, "cui", "full")
+    by = lambda c, out: known.select(F.col("cui").alias(c), F.col("firsts").alias(f"_f{out}"), F.col("ups").alias(f"_u{out}"))
+    met = mentions.join(by("cui", "s"), "cui", "left").join(by("cui_text", "t"), "cui_text", "left")
+    none, unnamed = F.array().cast("array<string>"), F.array(F.lit(-1))
+
+    def won(t: Column, s: Column) -> Column:  # the place of the label of one pair of names
+        a, b = (F.when(x >= 0, F.coalesce(F.col(c), F.lit(0.0))).otherwise(0.0) for x, c in ((t, "score_text"), (s, "score_surface")))
+        known_ = lambda x: F.when(x >= 0, x)
+        return F.when(F.greatest(a, b) > 0, F.when(a > b, t).when(b > a, s).otherwise(F.least(known_(t), known_(s))))
+
+    pairs = F.flatten(F.transform(F.coalesce("_ft", unnamed), lambda t: F.transform(F.coalesce("_fs", unnamed), lambda s: won(t, s))))
+    own = F.transform(F.array_distinct(F.array_compact(pairs)), lambda k: F.get(F.array(*map(F.lit, labels)), k))
+    rows = met.select("report_id", "seq", "assertion", own.alias("own"), F.array_union(F.coalesce("_us", none), F.coalesce("_ut", none)).alias("ups")).where("size(own) > 0 or size(ups) > 0")
+    some = F.max(F.size("own") > 0).over(Window.partitionBy("report_id", "seq")) & F.col("report_id").isNotNull() & F.col("seq").isNotNull()
+    rows = rows.withColumn("_some", some)
+    return rows.select("report_id", F.explode(F.when(F.col("_some"), F.col("own")).otherwise(F.array_union("own", "ups"))).alias("label"), "assertion")
+
+
 def report_labels(reports: DataFrame, mentions: DataFrame, names: DataFrame, parents: DataFrame, labels: list[str] = vocab.LABELS) -> DataFrame:
     """(report_id, label, assertion) of every report; one without a label gets a present 'No Finding'."""
-    found = direct(mentions, names, labels)
-    up = broader(mentions, found, parents, names, labels)
-    got = strongest(found.select("report_id", "label", "assertion").unionByName(up.select("report_id", "label", "assertion")))
+    got = strongest(_all_labels(mentions, names, parents, labels))
     return reports.select("report_id").distinct().join(got, "report_id", "left").select("report_id", F.coalesce("label", F.lit("No Finding")).alias("label"), F.when(F.col("label").isNull(), "present").otherwise(F.col("assertion")).alias("assertion"))
 
 
